@@ -137,18 +137,22 @@ class Statistics:
         dense = len("".join(text.split()))
         spread_words = sum(len(w) if w[0] >= "぀" and not "가" <= w[0] <= "힣" or _THAI.match(w) else 1 for w in words)
         marks = len(_MARKS.findall(text)) + (len(_THAI_GAP.findall(text)) + sum(len(x) > 45 and bool(_THAI.search(x)) and not _BULLET.match(x) for x in lines) if thai else 0)
-        table = listed = ended = 0
-        items = 0
+        table = listed = ended = items = separated = separated_lines = 0
         for x in lines:
             final = bool(_END.search(x))
             ended += final
             pipes, tabs, gaps = x.count("|"), x.count("\t"), len(_GAP.findall(x))
             commas = max(x.count(","), x.count(";"))
-            if pipes >= 2 or tabs or (gaps >= 2 and not final) or (commas >= 2 and not final and max(map(len, _CELLS.split(x))) <= 45):
+            if pipes >= 2 or tabs or (gaps >= 2 and not final):
                 table += len(x)
+            elif commas >= 2 and not final and max(map(len, _CELLS.split(x))) <= 45:
+                separated += len(x)
+                separated_lines += 1
             elif _BULLET.match(x) or (not final and len(x) <= 90):
                 listed += len(x)
                 items += 1
+        if separated_lines >= 3:  # one line with commas is an enumeration
+            table += separated
         cover = marks * (WIDE_SENTENCE_CHARS if wide > 0.3 * size else SENTENCE_CHARS) / size
         return (
             language, spread_words, round(letters / max(1, spread_words), 4), round(max(0.0, 1 - (letters + digits) / max(1, dense)), 4), round(ended / max(1, len(lines)), 4), round(common, 4),
