@@ -430,6 +430,15 @@ def identify(docs: DataFrame, words: DataFrame | None = None, fit_on: DataFrame
     return map_arrow(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), make, schema)
 
 
+def segments(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, doc_language, doc_confidence, segment_no, seg_start, seg_end, language, confidence: the documents' segments in order.
+
+    A document without a segment has one row with nulls in the last five columns.
+    """
+    told = identify(docs, words).select("doc_id", F.col("language").alias("doc_language"), F.col("confidence").alias("doc_confidence"), F.posexplode_outer("segments").alias("segment_no", "s"))
+    return told.select("doc_id", "doc_language", "doc_confidence", "segment_no", F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"), "s.language", "s.confidence")
+
+
 def mislabelled(docs: DataFrame, statistics: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """doc_id, language: documents whose label or whose run's language is missing or wrong, or whose text mixes languages; a row for each language.
 

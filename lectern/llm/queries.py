@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chunking, leakage, packing, sentences
+from . import chunking, languages, leakage, overlap, packing, personal, quality, sentences
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +18,36 @@ def p1_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(table(spark, sf, "documents"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a missing or wrong label or several languages, a row for each language."""
+    return languages.mislabelled(table(spark, sf, "documents"), table(spark, sf, "text_statistics"), table(spark, sf, "common_words"))
+
+
+def p2_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every document and of its segments."""
+    return languages.segments(table(spark, sf, "documents"), table(spark, sf, "common_words"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in the documents and in the contexts of issues."""
+    return personal.found_everywhere(table(spark, sf, "documents"), table(spark, sf, "verification_issues"))
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with typed placeholders for personal data."""
+    return personal.redacted(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of cases in train and outside it with the same or nearly the same text."""
+    return overlap.overlaps(table(spark, sf, "detection_cases"))
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping cases per split and source."""
+    return overlap.overlap_report(table(spark, sf, "detection_cases"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sentence units of the documents that have a task."""
     return sentences.asked_sentences(table(spark, sf, "documents"), table(spark, sf, "sentence_tasks"))
@@ -53,7 +83,17 @@ def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_chunks, p6_found, p6_sentences, p7_found, p7_packing, p7_fill, p8_found, p8_spans)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are no natural prose, with their kind."""
+    return quality.assessed(table(spark, sf, "documents"), table(spark, sf, "common_words")).where("text_kind <> 'prose'").select("doc_id", "text_kind")
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality statistics, outlier score and kind of every document."""
+    return quality.assessed(table(spark, sf, "documents"), table(spark, sf, "common_words"))
+
+
+QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit()}
 
 SQL = {
     "p7_found": """
