@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chunking, languages, leakage, overlap, packing, personal, quality, sentences
+from . import chunking, languages, leakage, overlap, packing, personal, quality, scanned, sentences
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,16 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return personal.redacted(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise of scanned documents by line."""
+    return scanned.noisy_lines(table(spark, sf, "documents"))
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, scanned ones as continuous paragraphs."""
+    return scanned.repaired(table(spark, sf, "documents"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of cases in train and outside it with the same or nearly the same text."""
     return overlap.overlaps(table(spark, sf, "detection_cases"))

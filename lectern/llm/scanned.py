@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 from functools import cache
 
@@ -34,14 +35,23 @@ _PAGE = rf"(?:[\[(—–\-]*\s*{_DIGIT}{{1,4}}(?:\s*/\s*{_DIGIT}{{1,4}})?\s*[\])
 _PAGE_LINE = re.compile(rf"\s*{_PAGE}\s*\Z")
 _PAGE_HEAD, _HEAD_PAGE = re.compile(rf"\s*({_PAGE})\s{{2,}}(\S.*)\Z"), re.compile(rf"(\S.*?)\s{{2,}}({_PAGE})\s*\Z")
 _TOKEN = re.compile(r"\S+")
+#: Signs that stand for several letters; scanned texts hold them where letters were taken together.
+_LIGATURES = re.compile("[ﬀﬁﬂﬃﬄﬅﬆ]")
 _STRIP = "\"'“”„«»‹›()[]{}（）「」『』,;:。，、；：？！…–—*•·.!?"
 _HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
+_SENTENCE = re.compile(r"[。！？]|[^\W\d_][.!?](?=\s|\Z)")
+_COLUMNS = re.compile(r"\t|\|.*\||\S {2,}\S+.*\S {2,}\S|,.*,.*,.*,")
+_HEADING = re.compile(r"\s*(?:\d{1,3} \S|[一二三四五六七八九十]+、|\W*\d{1,3}[.)] |[•*\-–] )|[^A-Z]*[.,;:，。；] \S|\s*[a-zß-öø-ÿ]")
+
+
 def is_broken(text: str) -> bool:
-    """Whether the lines of a text are those of a printed column."""
+    """Whether the lines of a text are those of a printed column of prose."""
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) < 4:
+    if len(lines) < 4 or sum(bool(_COLUMNS.search(x)) for x in lines) > 0.3 * len(lines):
+        return False
+    if 120 * len(_SENTENCE.findall(text)) < 0.4 * len(text):
         return False
     usual = sorted(map(len, lines))[-max(1, len(lines) // 10) - 1]
     return sum(0.75 * usual <= len(x) <= 1.12 * usual and not _END.search(x) for x in lines) >= BROKEN * len(lines)
@@ -59,7 +69,9 @@ def _alike(a: Counter, b: Counter) -> float:
 
 
 def _page_number(line: str) -> bool:
-    return bool(_PAGE_LINE.match(line)) and any(c.isdigit() or c in "lIO" for c in line) and (any(c.isdigit() for c in line) or not line.strip().isalpha())
+    if not _PAGE_LINE.match(line):
+        return False
+    return any(c.isdigit() for c in line) or (any(c in "lIO" for c in line) and (not line.strip().isalpha() or bool(re.fullmatch(r"[lIO]{1,3}", line.strip()))))
 
 
 def pair_features(lines: list[str], pages: set[int], usual: int, i: int, j: int, alike: float) -> np.ndarray:
@@ -136,7 +148,7 @@ def furniture(lines: list[str]) -> dict[int, set[str]]:
             if not _END.search(m[1]) and any(c.isdigit() or c in "lIO" for c in m[2]):
                 out[k], heads[k] = {"page_no", "running_head"}, m[1]
     pages = set(out)
-    short = [k for k, x in enumerate(lines) if k not in out and 2 <= len(x.strip()) <= 0.95 * usual and not _END.search(x)]
+    short = [k for k, x in enumerate(lines) if k not in out and 2 <= len(x.strip()) <= 0.95 * usual and not _END.search(x) and not _HEADING.match(x) and x.rstrip()[-1] not in ",-，、¬­‐"]
     grams = {k: _grams(lines[k]) for k in short} | {k: _grams(h) for k, h in heads.items()}
     weights = head_classifier()
     for k in short:
@@ -284,7 +296,7 @@ def _signs(text: str) -> str:
 def _occurrences(doc_id: int, text: str) -> list[tuple]:
     """(doc_id, line_no, role, unit, second, at): furniture, words, broken words and Han windows of a scanned text.
 
-    role is furniture, word, broken (unit the joined word, second the word with its hyphen, at the length of its first part) or han (unit
+    role is furniture, word, joined (letters taken together, second with them apart), broken (unit the joined word, second the word with its hyphen, at the length of its first part) or han (unit
     a window of five signs).
     """
     lines = text.split("\n")
@@ -296,14 +308,16 @@ def _occurrences(doc_id: int, text: str) -> list[tuple]:
         if m and n + 1 < len(body):
             j = body[n + 1]
             following = _TOKEN.search(lines[j])
-            if following and following[0][0].isalpha():
+            if following and any(c.isalpha() for c in following[0]) and following[0][0] not in _STRIP:
                 head, tail = _clean(m[1]) or m[1].casefold(), following[0].strip(_STRIP).casefold()
                 out.append((doc_id, k, "broken", head + tail, f"{head}-{tail}", len(head) if m[2] == "-" else -len(head)))
                 out.append((doc_id, j, "tail", head + tail, None, len(head)))
                 skip |= {(k, lines[k].rfind(" ", 0, m.start(1) + 1) + 1), (j, following.start())}
     for k in body:
         for m in _TOKEN.finditer(lines[k]):
-            if (k, m.start()) not in skip and (t := _clean(m[0])):
+            if _LIGATURES.search(m[0]):
+                out.append((doc_id, k, "joined", m[0], unicodedata.normalize("NFKC", m[0]), 0))
+            elif (k, m.start()) not in skip and (t := _clean(m[0])):
                 out.append((doc_id, k, "word", t, None, 0))
     if _HAN.search(text):
         signs, owner = [], []
@@ -426,11 +440,14 @@ def noise(docs: DataFrame) -> DataFrame:
     found = occurrences(docs).checkpoint()
     vocab = vocabulary(docs).checkpoint()
     known = vocab.where(F.col("n") >= KNOWN).select(F.col("unit").alias("known_unit"))
-    seen = vocab.select("unit", "n")
+    # words with a hyphen of their own may stand in scanned texts only
+    own = found.where("role = 'word' and instr(unit, '-') > 0").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    seen = vocab.select("unit", "n").unionByName(own).groupBy("unit").agg(F.sum("n").alias("n"))
     words = found.where("role in ('word', 'broken')").select("unit").distinct()
     unknown = words.join(known, F.col("unit") == F.col("known_unit"), "left_anti").where(F.length("unit") >= 3)
     fixes = word_corrections(unknown, vocab).checkpoint()
     furniture_rows = found.where("role = 'furniture'").select("doc_id", "line_no", F.col("unit").alias("noise_kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("correction"))
+    taken = found.where("role = 'joined'").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", F.col("second").alias("correction"))
     misread = found.where("role = 'word'").join(fixes, "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction")
     broken = found.where("role = 'broken'").join(seen.select("unit", F.col("n").alias("joined_n")), "unit", "left").join(seen.select(F.col("unit").alias("second"), F.col("n").alias("hyphen_n")), "second", "left").join(fixes.select("unit", "correction"), "unit", "left")
     joined_n, hyphen_n = F.coalesce("joined_n", F.lit(0)), F.coalesce("hyphen_n", F.lit(0))
@@ -442,7 +459,7 @@ def noise(docs: DataFrame) -> DataFrame:
     han = found.where("role = 'han'")
     han_fixes = han_corrections(han.select("unit").distinct(), vocab)
     signs = han.join(han_fixes, "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction")
-    return furniture_rows.unionByName(misread).unionByName(hyphens).unionByName(misparts).unionByName(signs)
+    return furniture_rows.unionByName(misread).unionByName(taken).unionByName(hyphens).unionByName(misparts).unionByName(signs)
 
 
 def noisy_lines(docs: DataFrame) -> DataFrame:
