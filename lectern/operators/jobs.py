@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 #: Steps of a job in order, the states that end it, and stage and progress shown.
 STEPS = ("queued", "upload_validated", "parsing", "checking_format", "checking_sensitive", "checking_chinese", "checking_english", "completed")
-FINAL = ("completed", "failed", "cancelled", "expired")
+FINAL = ("completed", "partial", "failed", "expired")
 
 
 def events(log: DataFrame) -> DataFrame:
