@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, statistics
 from ..functions import lexicon as lex
-from ..operators import edits, issues, jobs, layout, rules
+from ..operators import edits, issues, jobs, layout, rules, scenarios
 from ..session import table
 
 # Cases of the rules that the documents hardly hold: they stand beside the documents in queries and SQL alike.
@@ -152,6 +152,21 @@ def evaluated_expected(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.evaluate(expected, expected, cases)
 
 
+@query()
+def scenario_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of the consistency rules of each document's scenario."""
+    return scenarios.scenario_issues(table(spark, sf, "documents"))
+
+
+_SKIPPED = [(s, f"scenario.{s}.{name}") for s, own in scenarios.RULES.items() for name, whole, *_ in own if whole]
+
+
+@query(f"SELECT doc_id, rule_id FROM documents JOIN (VALUES {', '.join(map(str, _SKIPPED))}) t(scenario, rule_id) USING (scenario) WHERE coalesce(lower(file_type) NOT IN ('txt', 'md', 'markdown'), true)")
+def skipped_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that a document's file type rules out."""
+    return scenarios.skipped_rules(table(spark, sf, "documents"))
+
+
 # ------------------------------------------------------------------------------------------------------- counts and identities
 @query("""SELECT doc_id, length(text) AS char_count, length(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) AS char_count_no_space,
     len(string_split(text, chr(10))) AS line_count, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) > 0)) AS paragraph_count FROM documents""")
