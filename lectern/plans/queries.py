@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, statistics
 from ..functions import lexicon as lex
-from ..operators import edits, issues, jobs, layout, rules, scenarios
+from ..operators import edits, issues, jobs, layout, review, rules, scenarios
 from ..session import table
 
 # Cases of the rules that the documents hardly hold: they stand beside the documents in queries and SQL alike.
@@ -298,6 +298,35 @@ def literal_search(spark: SparkSession, sf: str) -> DataFrame:
     return edits.search(table(spark, sf, "documents"), "编辑").groupBy("doc_id").agg(F.count(F.lit(1)).alias("places"))
 
 
+@query()
+def review_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """At most five recorded candidates of each document, shared out among types."""
+    own = table(spark, sf, "verification_issues").distinct().where("confidence < 0.85").select("doc_id", F.col("issue_row_id").alias("issue_index"), F.col("issue_type").alias("type"))
+    return review.sample(own, 5)
+
+
+@query()
+def issue_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's recorded issues as a table of markup."""
+    own = table(spark, sf, "verification_issues").distinct().withColumn("issue_index", F.col("issue_row_id"))
+    return review.report(own)
+
+
+@query("""WITH b AS (SELECT DISTINCT doc_id, block_index, global_start, global_end FROM document_blocks), o AS (SELECT *, max(global_end) OVER (PARTITION BY doc_id ORDER BY global_start, global_end, block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b)
+    SELECT doc_id, block_index FROM o WHERE reach > global_start""")
+def overlapping_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that begin inside an earlier one."""
+    return review.block_overlaps(table(spark, sf, "document_blocks"))
+
+
+@query(f"{_ISSUES}, v2 AS (SELECT issue_row_id, severity, confidence, CASE issue_row_id % 3 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'uncertain' END AS verdict FROM v) SELECT issue_row_id, CASE WHEN verdict = 'uncertain' THEN 'info' ELSE severity END AS severity, CASE WHEN verdict = 'uncertain' THEN least(confidence, 0.55) ELSE confidence END AS confidence FROM v2 WHERE verdict IS DISTINCT FROM 'false_positive'")
+def judged_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded issues after made-up verdicts on two thirds of them."""
+    own = table(spark, sf, "verification_issues").distinct().select("doc_id", F.col("issue_row_id").alias("issue_index"), "severity", "confidence")
+    verdicts = own.select("doc_id", "issue_index", F.when(F.col("issue_index") % 3 == 0, "false_positive").when(F.col("issue_index") % 3 == 1, "uncertain").alias("verdict")).where("verdict is not null")
+    return review.judged(own, verdicts).select(F.col("issue_index").alias("issue_row_id"), "severity", "confidence")
+
+
 # -------------------------------------------------------------------------------------------------------------------------- jobs
 @query(f"{_EVENTS} SELECT job_id, max(sequence) AS sequence, arg_max(status, sequence) AS status, arg_max(progress, sequence) AS progress FROM e GROUP BY job_id")
 def job_latest(spark: SparkSession, sf: str) -> DataFrame:
