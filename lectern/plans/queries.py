@@ -96,6 +96,27 @@ _RULE_SQL = {
 }
 
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NO_BLANK = _BLANK.replace("[", "[^", 1)
+_RUNS = f"{_DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9０-９]+[Xx]?')) AS r FROM d), s AS (SELECT doc_id, CASE WHEN length(r) = 18 THEN r ELSE rtrim(r, 'Xx') END AS r FROM m WHERE length(r) = 18 OR length(rtrim(r, 'Xx')) BETWEEN 11 AND 19)"
+_DIGIT = "CAST(translate(substr(r, i, 1), '０１２３４５６７８９', '0123456789') AS INT)"
+_LUHN = f"list_sum([CASE WHEN (length(r) - i) % 2 = 1 THEN ({_DIGIT} * 2) // 10 + ({_DIGIT} * 2) % 10 ELSE {_DIGIT} END for i in range(1, length(r) + 1)]) % 10 = 0"
+_RESIDENT = f"""(length(r) = 18 AND regexp_full_match(r, '[0-9]{{17}}[0-9Xx]') AND try_strptime(substr(r, 7, 8), '%Y%m%d') IS NOT NULL AND TRY_CAST(substr(r, 7, 4) AS INT) BETWEEN 1900 AND 2031
+    AND substr('10X98765432', CAST(list_sum([TRY_CAST(substr(r, i, 1) AS INT) * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i] for i in range(1, 18)]) % 11 AS INT) + 1, 1) = upper(substr(r, 18, 1)))"""
+_RULE_SQL |= {
+    "repeat_punct": _matches("(?:" + "|".join(f"{c}{{2,}}" for c in "，。！？；：、") + ")"),
+    "trailing_space": f"{_DOCS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) SELECT doc_id, count(*) AS n FROM l WHERE regexp_matches(x, '{_NO_BLANK}') AND regexp_matches(x, '{_BLANK}$') GROUP BY doc_id",
+    "leading_space": f"{_DOCS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) SELECT doc_id, count(*) AS n FROM l WHERE regexp_matches(x, '{_NO_BLANK}') AND regexp_matches(x, '^{_BLANK}') GROUP BY doc_id",
+    "mixed_date_format": f"{_DOCS} SELECT doc_id, CAST(1 AS BIGINT) AS n FROM d WHERE regexp_matches(text, '[0-9０-９]{{4}}年') AND regexp_matches(text, '[一二三四五六七八九〇零]{{2,4}}年')",
+    "half_period_in_cn": f"{_DOCS}, c AS (SELECT doc_id, len(regexp_extract_all(text, '{_HAN}\.')) - len(regexp_extract_all(text, '[0-9０-９]\n?{_HAN}\.')) AS n FROM d) SELECT doc_id, CAST(n AS BIGINT) AS n FROM c WHERE n > 0",
+    "missing_particle": f"{_DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '由于[^，。！？\n]{{2,20}}原因')) AS w FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '为了[^，。！？\n]{{2,20}}目的')) FROM d) SELECT doc_id, count(*) AS n FROM m WHERE w NOT LIKE '%的原因' AND w NOT LIKE '%的目的' GROUP BY doc_id",
+    "long_sentence_en": f"{_DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][^.!?\n]+(?:[.!?]|\n|$)')) AS w FROM d) SELECT doc_id, count(*) AS n FROM m WHERE regexp_matches(w, '[.!?]$') AND len(regexp_extract_all(w, '{_NO_BLANK}+')) > 40 GROUP BY doc_id",
+    "pii_phone": f"{_RUNS} SELECT doc_id, count(*) AS n FROM s WHERE length(r) = 11 AND regexp_matches(r, '^1[3-9]') GROUP BY doc_id",
+    "pii_id": f"{_RUNS} SELECT doc_id, count(*) AS n FROM s WHERE {_RESIDENT} GROUP BY doc_id",
+    "pii_bank": f"{_RUNS} SELECT doc_id, count(*) AS n FROM s WHERE length(r) BETWEEN 15 AND 19 AND NOT regexp_matches(r, '[Xx]') AND NOT coalesce({_RESIDENT}, false) AND {_LUHN} GROUP BY doc_id",
+}
+
+
 def _rule_query(rule_id: str, check: str):
     options = rules.Options(only=(check,), ad_extreme=True)
 
