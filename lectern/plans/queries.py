@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, statistics
 from ..functions import lexicon as lex
-from ..operators import edits, issues, jobs, layout, review, rules, scenarios
+from ..operators import dictionary, edits, issues, jobs, layout, review, rules, scenarios
 from ..session import table
 
 # Cases of the rules that the documents hardly hold: they stand beside the documents in queries and SQL alike.
@@ -188,6 +188,16 @@ def skipped_rules(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.skipped_rules(table(spark, sf, "documents"))
 
 
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_'']', ' ', 'g'), '[A-Za-z0-9_'']+')) AS w FROM documents), f AS (SELECT w AS word, count(*) AS n FROM t WHERE regexp_full_match(w, '[a-z]{3,32}') GROUP BY w),
+    c AS (SELECT a.word, b.word AS candidate, b.n FROM f a JOIN f b ON a.n < 5 AND b.n >= 5 AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1),
+    r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS second FROM c WINDOW w AS (PARTITION BY word ORDER BY n DESC, candidate)),
+    s AS (SELECT word, n >= 10 AND n >= 5 * coalesce(second, 0) AS confident FROM r WHERE place = 1)
+    SELECT r.word, r.place, r.candidate, r.n, s.confident FROM r JOIN s USING (word) WHERE r.place <= 3""")
+def dictionary_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Rare words with the frequent words one edit away."""
+    return dictionary.suggestions(table(spark, sf, "documents"))
+
+
 # ------------------------------------------------------------------------------------------------------- counts and identities
 @query("""SELECT doc_id, length(text) AS char_count, length(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) AS char_count_no_space,
     len(string_split(text, chr(10))) AS line_count, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) > 0)) AS paragraph_count FROM documents""")

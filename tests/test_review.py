@@ -3,7 +3,7 @@
 import pytest
 
 from lectern.functions.udtf import register
-from lectern.operators import review
+from lectern.operators import dictionary, review
 
 
 def test_sample(spark):
@@ -41,3 +41,9 @@ def test_table_function(spark):
     spark.createDataFrame([(1, "帐号"), (2, None)], "doc_id bigint, text string").createOrReplaceTempView("texts")
     rows = spark.sql("SELECT doc_id, i.rule_id FROM texts, LATERAL issues_in(text, 'general') i").collect()
     assert {tuple(r) for r in rows} == {(1, "cn_typo"), (1, "variant_word")}
+
+
+def test_dictionary(spark):
+    docs = spark.createDataFrame([(1, "house " * 12 + "mouse " * 5 + "hause hous Xhouse h'ouse rouse"), (2, None), (3, "")], "doc_id bigint, text string")
+    rows = {(r.word, r.place): (r.candidate, r.confident) for r in dictionary.suggestions(docs).collect()}
+    assert rows == {("hause", 1): ("house", True), ("hous", 1): ("house", True), ("rouse", 1): ("house", False), ("rouse", 2): ("mouse", False)}
