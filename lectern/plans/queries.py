@@ -26,7 +26,7 @@ CASES = (
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     cases = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(CASES)], "doc_id bigint, text string")
-    return table(spark, sf, "documents").select("doc_id", "text").unionByName(cases)
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(cases.coalesce(1))
 
 
 _CASES_SQL = " UNION ALL ".join(f"SELECT {-1 - k}, '{t}'" for k, t in enumerate(CASES))

@@ -40,8 +40,6 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    if spark.sparkContext.master.startswith("local["):
-        return
     root = Path(__file__).resolve().parent
     handle, path = tempfile.mkstemp(suffix=".zip", prefix="lectern-code-")
     os.close(handle)
