@@ -108,7 +108,7 @@ _RULE_SQL |= {
     "trailing_space": f"{_DOCS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) SELECT doc_id, count(*) AS n FROM l WHERE regexp_matches(x, '{_NO_BLANK}') AND regexp_matches(x, '{_BLANK}$') GROUP BY doc_id",
     "leading_space": f"{_DOCS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) SELECT doc_id, count(*) AS n FROM l WHERE regexp_matches(x, '{_NO_BLANK}') AND regexp_matches(x, '^{_BLANK}') GROUP BY doc_id",
     "mixed_date_format": f"{_DOCS} SELECT doc_id, CAST(1 AS BIGINT) AS n FROM d WHERE regexp_matches(text, '[0-9０-９]{{4}}年') AND regexp_matches(text, '[一二三四五六七八九〇零]{{2,4}}年')",
-    "half_period_in_cn": f"{_DOCS}, c AS (SELECT doc_id, len(regexp_extract_all(text, '{_HAN}\.')) - len(regexp_extract_all(text, '[0-9０-９]\n?{_HAN}\.')) AS n FROM d) SELECT doc_id, CAST(n AS BIGINT) AS n FROM c WHERE n > 0",
+    "half_period_in_cn": f"{_DOCS}, c AS (SELECT doc_id, len(regexp_extract_all(text, '{_HAN}\\.')) - len(regexp_extract_all(text, '[0-9０-９]\n?{_HAN}\\.')) AS n FROM d) SELECT doc_id, CAST(n AS BIGINT) AS n FROM c WHERE n > 0",
     "missing_particle": f"{_DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '由于[^，。！？\n]{{2,20}}原因')) AS w FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '为了[^，。！？\n]{{2,20}}目的')) FROM d) SELECT doc_id, count(*) AS n FROM m WHERE w NOT LIKE '%的原因' AND w NOT LIKE '%的目的' GROUP BY doc_id",
     "long_sentence_en": f"{_DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][^.!?\n]+(?:[.!?]|\n|$)')) AS w FROM d) SELECT doc_id, count(*) AS n FROM m WHERE regexp_matches(w, '[.!?]$') AND len(regexp_extract_all(w, '{_NO_BLANK}+')) > 40 GROUP BY doc_id",
     "pii_phone": f"{_RUNS} SELECT doc_id, count(*) AS n FROM s WHERE length(r) = 11 AND regexp_matches(r, '^1[3-9]') GROUP BY doc_id",
