@@ -50,12 +50,12 @@ def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of cases in train and outside it with the same or nearly the same text."""
-    return overlap.overlaps(table(spark, sf, "detection_cases"))
+    return overlap.overlaps(table(spark, sf, "detection_cases"), copies=True)
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping cases per split and source."""
-    return overlap.overlap_report(table(spark, sf, "detection_cases"))
+    return overlap.overlap_report(table(spark, sf, "detection_cases"), copies=True)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

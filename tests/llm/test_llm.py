@@ -220,6 +220,34 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlaps(cases.where("false")).count() == 0
 
 
+def test_near_copies_against_brute_force(spark):
+    """A form letter with another name and number each, a third of all rows: both routes against all pairs."""
+    rng = random.Random(12)
+    word = lambda n=7: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, n)))
+    letter = [word() for _ in range(60)]
+    texts = [" ".join(word() for _ in range(rng.randint(20, 60))) for _ in range(240)]
+    for k in range(120):
+        own = list(letter)
+        for at in (9, 33, 50)[: 1 + k % 3]:
+            own[at] = f"{word(12)}{rng.randint(1000, 9999)}"
+        texts.append(" ".join(own))
+    rows = [(k, t, ("train", "holdout")[k % 2], "s") for k, t in enumerate(texts)]
+    norms = [letters_and_digits(t) for t in texts]
+    truth = {(a, b) for a in range(360) for b in range(a + 1, 360) if (a + b) % 2 and overlap.in_order(norms[a], norms[b]) >= 0.8 * max(len(norms[a]), len(norms[b]))}
+    cases = spark.createDataFrame(rows, "case_id bigint, text string, split string, source string")
+    found = {tuple(r) for r in overlap.overlaps(cases, copies=True).collect()}
+    assert len(truth) >= 3600 and found <= truth and len(found) >= 0.999 * len(truth)
+    assert len({tuple(r) for r in overlap.overlaps(cases).collect()}) < 0.5 * len(truth)
+
+
+def test_near_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+    own = [(k, EN + f" {k * 7919 % 10007}", ("train", "holdout")[k % 2], "s") for k in range(60)]
+    cases = spark.createDataFrame(own, "case_id bigint, text string, split string, source string")
+    found = overlap.overlaps(cases, copies=True).collect()
+    assert len(found) == 900 and {tuple(r) for r in found} == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
+
+
 # ----------------------------------------------------------------------------------------------------------------------- 6
 @pytest.mark.parametrize(
     ("text", "units"),
