@@ -16,9 +16,6 @@ from ..session import ensure_checkpoint_dir, map_arrow, ship, small_rows, spread
 
 #: Statistics that are ranked, and whether their low (-1), high (1) or both (0) tails are unusual for prose.
 RANKED = {"word_count": -1, "mean_word_length": 0, "symbol_ratio": 1, "punct_line_share": -1, "common_share": -1, "sentence_cover": -1, "letter_typicality": -1}
-#: Sum of the three highest negative log tail probabilities from which a document is looked at more closely. Deliberately low:
-#: the value of three statistics at their median.
-OUTLIER = 3 * 0.69
 #: Characters a sentence covers on average, in alphabetic scripts, and in Han, Kana and Hangul.
 SENTENCE_CHARS, WIDE_SENTENCE_CHARS = 85, 35
 #: Below this cover a text is no running prose; at least this share of lines makes it a table or a list.
@@ -69,7 +66,10 @@ def _pairs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def letter_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log counts of pairs of neighbours, and of their first, in buckets of a fixed number, counted over all texts."""
+    """Log counts of pairs of neighbours, and of their first, in buckets of a fixed number, counted over all different texts.
+
+    Copies count once, so that a text without a language does not become typical by being frequent.
+    """
     size = 1 << _PAIR_BITS
 
     def make():
@@ -87,7 +87,7 @@ def letter_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         return work
 
-    counted = map_arrow(spread(docs.select("text")), make, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(spread(docs.select("text").distinct()), make, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     pair, first = np.zeros(size), np.zeros(1 << 16)
     slots, n = counted.slot.to_numpy(np.int64), counted.n.to_numpy(float)
     pair[slots[slots >= 0]], first[-1 - slots[slots < 0]] = n[slots >= 0], n[slots < 0]
@@ -183,7 +183,7 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     language is the one whose function words are most frequent (`und`: none occurs). word_count counts each sign of a script without
     spaces; symbol_ratio is the share of signs that are neither letters nor digits; punct_line_share that of the non-blank lines that end
     in a final mark; common_share that of words that are function words; sentence_cover estimates the share of the text that sentences
-    cover; letter_typicality is the mean log probability of neighbouring letters in all texts. Null and empty texts count as empty: 0
+    cover; letter_typicality is the mean log probability of neighbouring letters in all different texts. Null and empty texts count as empty: 0
     words, typicality -9. Two narrow passes over the texts.
     """
     spark = docs.sparkSession
@@ -229,8 +229,8 @@ def assessed(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """The statistics with outlier_score and text_kind (prose, list, table or junk) of every document.
 
     outlier_score is the sum of the three highest negative log tail probabilities of a document's statistics among those of its language.
-    A document that reaches OUTLIER, or whose language is unknown, is looked at: unreadable letters make it junk; else little sentence
-    cover with mostly cells or mostly entries makes it a table or a list; all others are prose. Empty texts are junk. Repeated rows repeat.
+    It takes no part in the kind, since copies make any text usual. Unreadable letters make a document junk; else little sentence cover
+    with mostly cells or mostly entries makes it a table or a list; all others are prose. Empty texts are junk. Repeated rows repeat.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     own = statistics(docs, common_words).checkpoint()
@@ -241,12 +241,10 @@ def assessed(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     p = F.when(side[F.col("stat")] < 0, F.col("low")).when(side[F.col("stat")] > 0, F.col("high")).otherwise(F.least(F.lit(1.0), 2 * F.least("low", "high")))
     scores = long.join(tails, ["language", "stat", "value"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(-F.log(p)), asc=False).alias("logs"))
     scored = own.join(scores.select("doc_id", F.round(F.aggregate(F.slice("logs", 1, 3), F.lit(0.0), lambda a, b: a + b), 4).alias("outlier_score")), "doc_id")
-    unusual = (F.col("outlier_score") >= OUTLIER) | (F.col("language") == "und")
     unreadable = (F.col("letter_typicality") < UNREADABLE) | (F.col("symbol_ratio") > SYMBOLS) | (F.col("different_letters") < LETTERS)
     low = F.col("sentence_cover") < LOW_COVER
     kind = (
-        F.when(~unusual, "prose")
-        .when(unreadable, "junk")
+        F.when(unreadable, "junk")
         .when(low & (F.col("table_share") >= LINE_SHARE), "table")
         .when(low & (F.col("list_share") + F.col("table_share") >= LINE_SHARE) & (F.col("list_lines") >= 3), "list")
         .otherwise("prose")

@@ -369,3 +369,15 @@ def test_kinds(spark):
     rows = {r.doc_id: r.text_kind for r in quality.assessed(docs(spark, texts), words(spark)).collect()}
     assert [rows[k] for k in range(8, 16)] == ["list", "table", "prose", "junk", "junk", "junk", "junk", "prose"] and all(rows[k] == "prose" for k in range(8))
     assert quality.assessed(docs(spark, texts).where("false"), words(spark)).count() == 0
+
+
+def test_copies_keep_their_kind(spark):
+    """A text that most rows of its language, or of the table, hold is no more prose than once."""
+    rng = random.Random(9)
+    listed = "Open points of the week\n" + "\n".join(f"{k}. revised index of the glossary" for k in range(1, 15))
+    table = "\n".join(f"the index {k} | {k}.5 | 2031-01-0{k} | not in" for k in range(1, 9))
+    junk = "\n".join("".join(rng.choice("bcdfghjkqvwxz ") for _ in range(50)) + " the" for _ in range(6))
+    prose = [EN * 3 + f"The office of the editor published {k} copies. " for k in range(10)] + [DE * 3 + f"Das sind {k} Seiten. " for k in range(10)]
+    for text, kind in ((listed, "list"), (table, "table"), (junk, "junk")):
+        kinds = [r.text_kind for r in quality.assessed(docs(spark, prose + [text] * 40), words(spark)).orderBy("doc_id").collect()]
+        assert kinds == ["prose"] * 20 + [kind] * 40, kind
