@@ -39,6 +39,8 @@ _TOKEN = re.compile(r"\S+")
 _LIGATURES = re.compile("[ﬀﬁﬂﬃﬄﬅﬆ]")
 _STRIP = "\"'“”„«»‹›()[]{}（）「」『』,;:。，、；：？！…–—*•·.!?"
 _HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+#: The signs of _signs where they stand in a line.
+_SIGN = re.compile(r"\d(?:\s*\d)*|([A-Za-zÀ-ÿ])(?:\s*[A-Za-zÀ-ÿ])*|\S")
 
 
 _SENTENCE = re.compile(r"[。！？]|[^\W\d_][.!?](?=\s|\Z)")
@@ -293,15 +295,20 @@ def _signs(text: str) -> str:
     return re.sub(r"[A-Za-zÀ-ÿ]+", "a", re.sub(r"\d+", "0", re.sub(r"\s+", "", text)))
 
 
+def _placed_signs(line: str) -> list[tuple[str, int]]:
+    """The signs of _signs(line), each with its place in the line."""
+    return [("a" if m[1] else "0" if m[0][0].isdecimal() else m[0], m.start()) for m in _SIGN.finditer(line)]
+
+
 def _occurrences(doc_id: int, text: str) -> list[tuple]:
-    """(doc_id, line_no, role, unit, second, at): furniture, words, broken words and Han windows of a scanned text.
+    """(doc_id, line_no, role, unit, second, at, place, size): furniture, words, broken words and Han windows of a scanned text.
 
     role is furniture, word, joined (letters taken together, second with them apart), broken (unit the joined word, second the word with its hyphen, at the length of its first part) or han (unit
-    a window of five signs).
+    a window of five signs). place and size tell where in its line the word, or the sign in the middle of a window, stands; null for all others.
     """
     lines = text.split("\n")
     apart, body = _body(lines)
-    out: list[tuple] = [(doc_id, k, "furniture", kind, None, 0) for k, kinds in apart.items() for kind in kinds]
+    out: list[tuple] = [(doc_id, k, "furniture", kind, None, 0, None, None) for k, kinds in apart.items() for kind in kinds]
     skip: set[tuple[int, int]] = set()
     for n, k in enumerate(body):
         m = _HYPHEN.search(lines[k])
@@ -310,25 +317,26 @@ def _occurrences(doc_id: int, text: str) -> list[tuple]:
             following = _TOKEN.search(lines[j])
             if following and any(c.isalpha() for c in following[0]) and following[0][0] not in _STRIP:
                 head, tail = _clean(m[1]) or m[1].casefold(), following[0].strip(_STRIP).casefold()
-                out.append((doc_id, k, "broken", head + tail, f"{head}-{tail}", len(head) if m[2] == "-" else -len(head)))
-                out.append((doc_id, j, "tail", head + tail, None, len(head)))
+                out.append((doc_id, k, "broken", head + tail, f"{head}-{tail}", len(head) if m[2] == "-" else -len(head), None, None))
+                out.append((doc_id, j, "tail", head + tail, None, len(head), None, None))
                 skip |= {(k, lines[k].rfind(" ", 0, m.start(1) + 1) + 1), (j, following.start())}
     for k in body:
         for m in _TOKEN.finditer(lines[k]):
             if _LIGATURES.search(m[0]):
-                out.append((doc_id, k, "joined", m[0], unicodedata.normalize("NFKC", m[0]), 0))
+                out.append((doc_id, k, "joined", m[0], unicodedata.normalize("NFKC", m[0]), 0, m.start(), len(m[0])))
             elif (k, m.start()) not in skip and (t := _clean(m[0])):
-                out.append((doc_id, k, "word", t, None, 0))
+                before = len(m[0]) - len(m[0].lstrip(_STRIP))
+                out.append((doc_id, k, "word", t, None, 0, m.start() + before, len(m[0].strip(_STRIP))))
     if _HAN.search(text):
         signs, owner = [], []
         for k in body:
-            for c in _signs(lines[k]):
+            for c, at in _placed_signs(lines[k]):
                 signs.append(c)
-                owner.append(k)
+                owner.append((k, at))
         joined = "".join(signs)
         for i in range(2, len(joined) - 2):
             if _HAN.match(joined[i]):
-                out.append((doc_id, owner[i], "han", joined[i - 2 : i + 3], None, 0))
+                out.append((doc_id, owner[i][0], "han", joined[i - 2 : i + 3], None, 0, owner[i][1], 1))
     return out
 
 
@@ -346,12 +354,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [x for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) if is_broken(t) for x in _occurrences(d, t)]
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "line_no", "role", "unit", "second", "at"])
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "line_no", "role", "unit", "second", "at", "place", "size"])
 
     source = docs.where(is_scan(docs)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_arrow(spread(source), lambda: work, "doc_id bigint, line_no int, role string, unit string, second string, at int")
+    return map_arrow(spread(source), lambda: work, "doc_id bigint, line_no int, role string, unit string, second string, at int, place int, size int")
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -429,13 +437,15 @@ def han_corrections(windows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def noise(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, noise_kind, unit, correction: the noise of all scanned texts, line by line.
+    """doc_id, line_no, noise_kind, unit, correction, place, size: the noise of all scanned texts, line by line.
 
     running_head and page_no come from the line classifiers; hyphen where the joined word is known, or is not known with its hyphen either;
     misread where a word or Han sign has a correction. Texts that are not scanned, or not broken by their lines, have none; null texts too.
+    place and size tell what of the line the correction replaces; they are null where it is a line, or a word broken over two.
     """
     spark = docs.sparkSession
     ship(spark)
+    nowhere = (F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("size"))
     ensure_checkpoint_dir(spark)
     found = occurrences(docs).checkpoint()
     vocab = vocabulary(docs).checkpoint()
@@ -446,19 +456,19 @@ def noise(docs: DataFrame) -> DataFrame:
     words = found.where("role in ('word', 'broken')").select("unit").distinct()
     unknown = words.join(known, F.col("unit") == F.col("known_unit"), "left_anti").where(F.length("unit") >= 3)
     fixes = word_corrections(unknown, vocab).checkpoint()
-    furniture_rows = found.where("role = 'furniture'").select("doc_id", "line_no", F.col("unit").alias("noise_kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("correction"))
-    taken = found.where("role = 'joined'").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", F.col("second").alias("correction"))
-    misread = found.where("role = 'word'").join(fixes, "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction")
+    furniture_rows = found.where("role = 'furniture'").select("doc_id", "line_no", F.col("unit").alias("noise_kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("correction"), *nowhere)
+    taken = found.where("role = 'joined'").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", F.col("second").alias("correction"), "place", "size")
+    misread = found.where("role = 'word'").join(fixes.select("unit", "correction"), "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", "place", "size")
     broken = found.where("role = 'broken'").join(seen.select("unit", F.col("n").alias("joined_n")), "unit", "left").join(seen.select(F.col("unit").alias("second"), F.col("n").alias("hyphen_n")), "second", "left").join(fixes.select("unit", "correction"), "unit", "left")
     joined_n, hyphen_n = F.coalesce("joined_n", F.lit(0)), F.coalesce("hyphen_n", F.lit(0))
     really = (F.col("at") < 0) | (joined_n >= F.greatest(F.lit(1), hyphen_n)) | (hyphen_n < KNOWN)
-    hyphens = broken.where(really).select("doc_id", "line_no", F.lit("hyphen").alias("noise_kind"), "unit", F.coalesce("correction", "unit").alias("correction"))
+    hyphens = broken.where(really).select("doc_id", "line_no", F.lit("hyphen").alias("noise_kind"), "unit", F.coalesce("correction", "unit").alias("correction"), *nowhere)
     # a misread sign in a broken word stands in the line that holds it
-    parts = found.where("role in ('broken', 'tail')").join(fixes, "unit").where(F.when(F.col("role") == "broken", F.col("place") < F.abs("at")).otherwise(F.col("place") >= F.abs("at")))
-    misparts = parts.select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction")
+    parts = found.where("role in ('broken', 'tail')").drop("place").join(fixes, "unit").where(F.when(F.col("role") == "broken", F.col("place") < F.abs("at")).otherwise(F.col("place") >= F.abs("at")))
+    misparts = parts.select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", *nowhere)
     han = found.where("role = 'han'")
     han_fixes = han_corrections(han.select("unit").distinct(), vocab)
-    signs = han.join(han_fixes, "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction")
+    signs = han.join(han_fixes, "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", "place", "size")
     return furniture_rows.unionByName(misread).unionByName(taken).unionByName(hyphens).unionByName(misparts).unionByName(signs)
 
 
@@ -467,32 +477,41 @@ def noisy_lines(docs: DataFrame) -> DataFrame:
     return noise(docs).select("doc_id", "line_no", "noise_kind").distinct()
 
 
-def _repair(text: str, found: list[tuple[int, str, str | None, str | None]]) -> str:
-    """A scanned text as paragraphs: furniture gone, broken words joined, misread ones replaced."""
+def _cased(correction: str, raw: str) -> str:
+    """A correction in the case of what it replaces; letters that were only taken together keep theirs."""
+    if unicodedata.normalize("NFKC", raw) == correction:
+        return correction
+    return correction.upper() if len(raw) > 1 and raw.isupper() else correction.capitalize() if raw[:1].isupper() else correction
+
+
+def _repair(text: str, found: list[tuple[int, str, str | None, str | None, int | None, int | None]]) -> str:
+    """A scanned text as paragraphs: furniture gone, broken words joined, misread ones replaced where they stand."""
     lines = text.split("\n")
     apart = {k for k, kind, *_ in found if kind in ("running_head", "page_no")}
-    joins = {k for k, kind, *_ in found if kind == "hyphen"}
-    fixes: dict[int, list[tuple[str, str]]] = {}
-    for k, kind, unit, correction in found:
-        if kind == "misread" and unit and correction:
-            fixes.setdefault(k, []).append((unit, correction))
+    joins = {k: (unit, correction) for k, kind, unit, correction, *_ in found if kind == "hyphen"}
+    fixes: dict[int, list[tuple[int, int, str]]] = {}
+    for k, kind, _, correction, place, size in found:
+        if kind == "misread" and correction and place is not None:
+            fixes.setdefault(k, []).append((place, size, correction))
     filled = sorted(len(x) for x in lines if x.strip())
     usual = filled[-max(1, len(filled) // 10) - 1] if len(filled) > 1 else 0
-    out, glue = [], ""
+    out, glue, open_word, restored = [], "", False, False
     for k, line in enumerate(lines):
         if k in apart:
             continue
-        for unit, correction in fixes.get(k, ()):
-            if len(correction) == 1 and _HAN.match(correction):
-                line = re.sub(re.escape(unit[1:4].replace("0", "").replace("a", "")) if "0" in unit[1:4] or "a" in unit[1:4] else f"(?<={re.escape(unit[1])}){re.escape(unit[2])}(?={re.escape(unit[3])})", correction, line, count=1) if not ("0" in unit[1:4] or "a" in unit[1:4]) else line
-            else:
-                line = re.sub(rf"(?i){re.escape(unit)}", lambda m, c=correction: c.capitalize() if m[0][:1].isupper() else c, line, count=1)
         if not line.strip():
-            out.append("\n\n")
-            glue = ""
+            if not open_word:  # a word goes on behind the blank lines around a page's end
+                out.append("\n\n")
+                glue = ""
             continue
+        for place, size, correction in sorted(fixes.get(k, ()), reverse=True):
+            line = line[:place] + _cased(correction, line[place : place + size]) + line[place + size :]
+        if restored:  # the rest of a word that the line before holds as a whole
+            following = _TOKEN.search(line)
+            line = line[following.start() + len(following[0].strip(_STRIP)) :]
         m = _HYPHEN.search(line) if k in joins else None
-        body = line[: m.start(2)] if m else line.rstrip()
+        open_word, restored = bool(m), bool(m) and joins[k][0] != joins[k][1]
+        body = line.rstrip() if not m else line[: m.start(1)] + _cased(joins[k][1], m[1]) if restored else line[: m.start(2)]
         out.append(glue + body)
         ended = bool(_END.search(line)) and len(line) < 0.9 * usual
         short = len(line) < 0.7 * usual
@@ -506,13 +525,13 @@ def repaired(docs: DataFrame) -> DataFrame:
     A null text stays null.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = noise(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "noise_kind", "unit", "correction")).alias("found"))
+    rows = noise(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "noise_kind", "unit", "correction", "place", "size")).alias("found"))
     joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(rows, "doc_id", "left")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, n = [], []
         for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            marks = sorted(((x["line_no"], x["noise_kind"], x["unit"], x["correction"]) for x in found or ()), key=str)
+            marks = sorted(((x["line_no"], x["noise_kind"], x["unit"], x["correction"], x["place"], x["size"]) for x in found or ()), key=str)
             out.append(_repair(t, marks) if t and marks else t)
             n.append(len({k for k, *_ in marks}))
         return pa.RecordBatch.from_arrays([batch.column(0), _strings(out), pa.array(n, pa.int32())], names=["doc_id", "text", "noisy_lines"])

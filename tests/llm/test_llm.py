@@ -175,6 +175,45 @@ def test_scanned(spark):
     assert scanned.noisy_lines(own.where("false")).count() == 0
 
 
+BROKEN_TWICE = """The survey office published the revised index before
+the weekly meeting and the editor checked the gl0s-
+
+- 3 -
+
+sary, because two totals disagreed in the whole plan
+The ed1tor met the ed1tor of the long index. Ed1tor
+and office published the follow-up plan. The survey
+office checked the weekly index before the meeting.
+It is not clear whether the editor checked the index.
+"""
+HAN_SCAN = """审校人员表示，最新的索引系统停机时就改好
+丁。数据团队汇总了扫描的交付计划和脚汪12
+份。审校人员表示，最新的索引系统停机时就
+改好了。数据团队汇总了扫描的交付计划和脚
+注12份。审校人员表示，最新的索引系统停杌
+时就改好了。数据团队汇总了扫描的交付计划
+"""
+
+
+def test_repaired_where_they_stand(spark):
+    clean = (EN + "The editor met the office and checked the long index because two totals disagreed in the whole plan and manual with the follow-up. ") * 5
+    han = ZH.replace("脚注", "脚注12份") * 8
+    own = docs(spark, [BROKEN_TWICE, HAN_SCAN, clean, clean, han, han]).withColumn("file_type", F.when(F.col("doc_id") < 2, "pdf").otherwise("txt"))
+    text = {r.doc_id: r.text for r in scanned.repaired(own).collect()}
+    assert "checked the glossary, because two totals" in text[0]
+    assert "The editor met the editor of the long index. Editor" in text[0] and "1" not in text[0]
+    assert text[1].replace(" ", "").startswith((ZH.replace("脚注", "脚注12份") * 2)[:-1]) and not set("丁汪杌") & set(text[1])
+
+
+def test_placed_signs():
+    rng = random.Random(13)
+    for _ in range(2000):
+        line = "".join(rng.choice("aé12٣ 　审，-") for _ in range(rng.randint(0, 14)))
+        placed = scanned._placed_signs(line)
+        assert "".join(c for c, _ in placed) == scanned._signs(line)
+        assert all(line[at] == c or c in "a0" for c, at in placed)
+
+
 # ----------------------------------------------------------------------------------------------------------------------- 5
 def test_common_subsequence():
     rng = random.Random(2)
