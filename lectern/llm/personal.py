@@ -430,3 +430,10 @@ def redacted(texts: DataFrame, record_id: str, column: str) -> DataFrame:
         return work
 
     return map_arrow(spread(texts.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(column).alias("text"))), make, "record_id bigint, text string, spans int")
+
+
+def redacted_everywhere(docs: DataFrame, issues: DataFrame) -> DataFrame:
+    """record_table, record_id, text, spans of documents.text and verification_issues.context; repeated rows of the latter count once."""
+    own = redacted(docs, "doc_id", "text").withColumn("record_table", F.lit("documents"))
+    context = redacted(issues.select("issue_row_id", "context").distinct(), "issue_row_id", "context").withColumn("record_table", F.lit("verification_issues"))
+    return own.unionByName(context).select("record_table", "record_id", "text", "spans")

@@ -34,8 +34,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents with typed placeholders for personal data."""
-    return personal.redacted(table(spark, sf, "documents"), "doc_id", "text")
+    """The documents and the contexts of issues with typed placeholders for personal data."""
+    return personal.redacted_everywhere(table(spark, sf, "documents"), table(spark, sf, "verification_issues"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.text import letters_and_digits
-from lectern.llm import chunking, languages, leakage, overlap, packing, personal, quality, scanned, sentences
+from lectern.llm import chunking, languages, leakage, overlap, packing, personal, quality, queries, scanned, sentences
 
 EN = "The survey office published the revised index before the weekly meeting. It is not clear whether the editor checked the glossary. "
 DE = "Die Redaktion prüfte die neuen Handbücher vor der Sitzung. Es ist nicht klar, ob das Lektorat die Glossare gelesen hat. "
@@ -149,6 +149,13 @@ def test_personal_tables(spark):
     assert redacted == {0: (None, 0), 1: ("", 0), 2: ("to [EMAIL].", 1)}
 
 
+def test_redacted_query_covers_contexts(spark, tmp_path):
+    docs(spark, ["to a@b.test."]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "x a@b.test"), (1, "x a@b.test"), (2, None)], "issue_row_id bigint, context string").write.parquet(str(tmp_path / "verification_issues.parquet"))
+    rows = queries.p3_redacted(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {("documents", 0, "to [EMAIL].", 1), ("verification_issues", 1, "x [EMAIL]", 1), ("verification_issues", 2, None, 0)} and len(rows) == 3
+
+
 # ----------------------------------------------------------------------------------------------------------------------- 4
 SCAN = """The survey office published the revised index before
 the weekly meeting and the editor checked the glos-
