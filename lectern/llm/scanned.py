@@ -39,6 +39,8 @@ _TOKEN = re.compile(r"\S+")
 _LIGATURES = re.compile("[ﬀﬁﬂﬃﬄﬅﬆ]")
 _STRIP = "\"'“”„«»‹›()[]{}（）「」『』,;:。，、；：？！…–—*•·.!?"
 _HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+#: Stands for the two signs before the first and after the last of a text, of which there are no windows.
+_EDGE = "\x02"
 #: The signs of _signs where they stand in a line.
 _SIGN = re.compile(r"\d(?:\s*\d)*|([A-Za-zÀ-ÿ])(?:\s*[A-Za-zÀ-ÿ])*|\S")
 
@@ -333,10 +335,10 @@ def _occurrences(doc_id: int, text: str) -> list[tuple]:
             for c, at in _placed_signs(lines[k]):
                 signs.append(c)
                 owner.append((k, at))
-        joined = "".join(signs)
-        for i in range(2, len(joined) - 2):
-            if _HAN.match(joined[i]):
-                out.append((doc_id, owner[i][0], "han", joined[i - 2 : i + 3], None, 0, owner[i][1], 1))
+        joined = _EDGE * 2 + "".join(signs) + _EDGE * 2
+        for i, (k, at) in enumerate(owner):
+            if _HAN.match(joined[i + 2]):
+                out.append((doc_id, k, "han", joined[i : i + 5], None, 0, at, 1))
     return out
 
 
@@ -423,16 +425,36 @@ def word_corrections(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     return ranked.where("score > 0").withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
+def _edge_corrections(windows: DataFrame, tri: DataFrame) -> DataFrame:
+    """unit, correction of windows at the edges of a text, from those of their three windows that hold no edge: one or two."""
+    part = lambda at: F.substring("unit", at, 3)
+    others = lambda c, gap: F.concat(*[F.substring(c, k, 1) for k in (1, 2, 3) if k != gap])
+    whole = lambda at: ~F.contains(part(at), F.lit(_EDGE))
+    main = F.when(whole(2), part(2)).when(whole(1), part(1)).otherwise(part(3))
+    odd = windows.withColumn("main", main).join(tri.select(F.col("unit").alias("main")), "main", "left_anti").select("unit")
+    asked = F.explode(F.filter(F.array(*[F.when(whole(at), F.struct(F.lit(4 - at).alias("gap"), others(part(at), 4 - at).alias("others"))) for at in (1, 2, 3)]), lambda x: x.isNotNull()))
+    asked = odd.select("unit", asked.alias("x")).select("unit", "x.gap", "x.others").withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy("unit")))
+    lists = tri.where(F.col("n") >= CORRECTION).select("n", F.explode(F.array(*[F.struct(F.lit(gap).alias("gap"), others("unit", gap).alias("others"), F.substring("unit", gap, 1).alias("correction")) for gap in (1, 2, 3)])).alias("y")).select("n", "y.*")
+    met = asked.join(lists, ["gap", "others"]).where(F.col("correction") != F.substring("unit", 3, 1))
+    return met.groupBy("unit", "correction", "asked").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("n")).where("met = asked").select("unit", "correction", "n")
+
+
 def han_corrections(windows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """unit, correction: windows of five signs whose middle is unknown between its neighbours, and the sign that makes all three windows known."""
+    """unit, correction: windows of five signs whose middle is unknown between its neighbours, and the sign that makes all three windows known.
+
+    At the edges of a text, one or two of the windows do not exist; the others decide.
+    """
     tri = vocab.where(F.length("unit") == 3)
-    odd = windows.join(tri.select(F.col("unit").alias("mid")), F.substring("unit", 2, 3) == F.col("mid"), "left_anti")
+    edge = F.contains(F.col("unit"), F.lit(_EDGE))
+    edges = _edge_corrections(windows.where(edge), tri)
+    odd = windows.where(~edge).join(tri.select(F.col("unit").alias("mid")), F.substring("unit", 2, 3) == F.col("mid"), "left_anti")
     lists = tri.where(F.col("n") >= CORRECTION).select(F.concat(F.substring("unit", 1, 1), F.substring("unit", 3, 1)).alias("sides"), F.substring("unit", 2, 1).alias("correction"), F.col("n").alias("n2"))
     met = odd.withColumn("sides", F.concat(F.substring("unit", 2, 1), F.substring("unit", 4, 1))).join(lists, "sides").where(F.col("correction") != F.substring("unit", 3, 1))
     counts = lambda name: tri.where(F.col("n") >= CORRECTION).select(F.col("unit").alias("tri"), F.col("n").alias(name))
     met = met.withColumn("tri", F.concat(F.substring("unit", 1, 2), "correction")).join(counts("n1"), "tri").drop("tri")
     met = met.withColumn("tri", F.concat("correction", F.substring("unit", 4, 2))).join(counts("n3"), "tri").drop("tri")
-    best = Window.partitionBy("unit").orderBy(F.desc(F.least("n1", "n2", "n3")), "correction")
+    met = met.select("unit", "correction", F.least("n1", "n2", "n3").alias("n")).unionByName(edges)
+    best = Window.partitionBy("unit").orderBy(F.desc("n"), "correction")
     return met.where(F.col("correction").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("unit", "correction")
 
 

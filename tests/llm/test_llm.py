@@ -212,6 +212,17 @@ def test_repaired_where_they_stand(spark):
     assert text[1].replace(" ", "").startswith((ZH.replace("脚注", "脚注12份") * 2)[:-1]) and not set("丁汪杌") & set(text[1])
 
 
+def test_edge_signs(spark):
+    """The first two and the last two signs of a scanned text are judged as well."""
+    scan = HAN_SCAN.strip().translate(str.maketrans("丁汪杌", "。注机")).replace("好\n。", "好\n了") + "。"
+    han = ZH.replace("脚注", "脚注12份") * 8 + "计划。" * 3
+    for at in (0, 1, len(scan) - 2):
+        own = docs(spark, [scan[:at] + "杌" + scan[at + 1 :], scan, han, han]).withColumn("file_type", F.when(F.col("doc_id") < 2, "pdf").otherwise("txt"))
+        rows = {tuple(r) for r in scanned.noise(own).where("noise_kind = 'misread'").select("doc_id", "line_no", "place", "correction").collect()}
+        line = scan[:at].count("\n")
+        assert rows == {(0, line, at - scan.rfind("\n", 0, at) - 1, scan[at])}
+
+
 def test_placed_signs():
     rng = random.Random(13)
     for _ in range(2000):
