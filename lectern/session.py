@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of files for each core from which Spark's own splits give every core work.
+SPLIT_BYTES = 32 << 20
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,10 +52,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; one is set only where the session names none, as in tests."""
+    """The shared checkpoint folder of the session; one is set only where a local session names none, as in tests.
+
+    On a cluster, a session without the folder is an error: a machine's own folder is not shared.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lectern-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
@@ -66,13 +73,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work where the input comes as fewer splits than cores (one small file); else leave the splits alone."""
+    """Give every core work where the input comes as few, small files; else leave its partitions alone.
+
+    Only the files' number and size are looked at, on the driver: a frame without files, such as one behind a checkpoint, is left as it is, and
+    nothing is run to count partitions.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    files = df.inputFiles()
+    if not files or len(files) >= cores or _bytes(df, files) > cores * SPLIT_BYTES:
         return df
     return df.repartition(cores * 2)
 
 
+def _bytes(df: DataFrame, files: list[str]) -> int:
+    """Size of some files, as their file system gives it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with one worker object per task: make() runs once, its result once per batch."""
 
