@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -67,6 +68,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame written as a table into the shared checkpoint folder and read again: what comes after doesn't depend on how it was made.
+
+    Unlike a checkpoint, it runs the plan once and keeps columns apart, so later steps read those they need. The table goes when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
