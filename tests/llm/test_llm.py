@@ -281,10 +281,9 @@ def test_cosine_join_is_exact(spark):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         texts.append(" ".join(w))
     cases = spark.createDataFrame([(k, t, ("train", "holdout")[k % 2], "s") for k, t in enumerate(texts)], "case_id bigint, text string, split string, source string")
-    overlap.ensure_checkpoint_dir(spark)
     _, classes = overlap.distinct_texts(cases)
     vec, total = overlap.vectors(classes, overlap.places(classes))
-    own = [(r.class_id, r.some_train, r.some_other, r.norm_text, {t: np.log1p(total / n) for t, n in zip(r.terms, r.counts)}) for r in vec.join(classes.select("class_no", "class_id", F.col("norm").alias("norm_text")), "class_no").collect()]
+    own = [(r.class_id, r.some_train, r.some_other, r.norm_text, {t: np.log1p(total / n) for t, n in zip(r.terms, r.counts)}) for r in vec.withColumnRenamed("norm", "norm_text").collect()]
     size = lambda v: np.sqrt(sum(w * w for w in v.values()))
     truth = set()
     for a, at, _, ta, va in own:
