@@ -6,24 +6,32 @@ import re
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import code_points, texts_of
-from ..session import ensure_checkpoint_dir, map_arrow, ship, small_rows, spread
-
-#: Statistics that are ranked, and whether their low (-1), high (1) or both (0) tails are unusual for prose.
-RANKED = {"word_count": -1, "mean_word_length": 0, "symbol_ratio": 1, "punct_line_share": -1, "common_share": -1, "sentence_cover": -1, "letter_typicality": -1}
+from ..session import cut, map_arrow, ship, small_rows, spread
+
+#: Statistics that are ranked, and the side that is unusual for prose: low (-1) or high (1).
+RANKED = {"sentence_cover": -1, "punct_line_share": -1, "letter_typicality": -1, "different_letters": -1, "symbol_ratio": 1, "table_share": 1, "list_share": 1}
+#: Those of which only the most unusual counts: a text is no prose in one way or another.
+ONE_OF = ("letter_typicality", "different_letters", "symbol_ratio", "table_share", "list_share")
+#: Ranks are among the different texts with at least so many sentences; a language takes part with so many ranks of all languages together.
+SENTENCES, SHRINK = 2, 50
+#: Sum of negative log tail probabilities from which a text is no prose: three independent statistics of prose sum up to it in 1 of 10,000 texts.
+OUTLIER = 14.0
+#: Few texts with sentences can't be passed by much: then this share of what their ranks can tell at most is enough.
+OF_MOST = 0.8
+#: Ranked values have so many decimals and at most so many different letters, so the table of ranks is bounded whatever the input.
+DECIMALS, MOST_LETTERS = 3, 500
 #: Characters a sentence covers on average, in alphabetic scripts, and in Han, Kana and Hangul.
 SENTENCE_CHARS, WIDE_SENTENCE_CHARS = 85, 35
-#: Below this cover a text is no running prose; at least this share of lines makes it a table or a list.
-LOW_COVER, LINE_SHARE = 0.42, 0.5
-#: Mean log probability of letter transitions below which there is no readable language.
-UNREADABLE = -3.05
-#: From this share of symbols on, or below this number of different letters, there is none either.
-SYMBOLS, LETTERS = 0.42, 6
+#: What kind an unusual text is: without a readable language where the mean log probability of its letter transitions is lower, or its share of
+#: symbols higher, or its different letters fewer; else a table or a list, whichever holds more of it.
+UNREADABLE, SYMBOLS, LETTERS = -3.05, 0.42, 6
 _PAIR_BITS = 18
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,28 +76,33 @@ def _pairs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def letter_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log counts of pairs of neighbours, and of their first, in buckets of a fixed number, counted over all different texts.
 
-    Copies count once, so that a text without a language does not become typical by being frequent.
+    Copies share one count, so that a text without a language does not become typical by being frequent. Only the hashes of texts are shuffled;
+    the repeated ones are a table that Spark broadcasts where it is small.
     """
     size = 1 << _PAIR_BITS
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    repeated = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    weighted = spread(docs.select("text", F.xxhash64("text").alias("h"))).join(repeated, "h", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch.column(0))
-            pair, first = np.zeros(size, np.int64), np.zeros(1 << 16, np.int64)
+            texts, weights = texts_of(batch.column(0)), np.asarray(batch.column(1).to_pylist(), float)
+            pair, first = np.zeros(size), np.zeros(1 << 16)
             for k in range(0, len(texts), 500):
-                points, _ = code_points([t + "\0" for t in texts[k : k + 500]])
+                points, bounds = code_points([t + "\0" for t in texts[k : k + 500]])
                 if len(points) > 1:
                     _, a, bucket, ok = _pairs(points)
-                    pair += np.bincount(bucket[ok], minlength=size)
-                    first += np.bincount(a[ok], minlength=1 << 16)
+                    own = np.repeat(weights[k : k + 500], np.diff(bounds))[:-1][ok]
+                    pair += np.bincount(bucket[ok], own, size)
+                    first += np.bincount(a[ok], own, 1 << 16)
             at, to = np.flatnonzero(pair), np.flatnonzero(first)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - to])), pa.array(np.concatenate([pair[at], first[to]]))], names=["slot", "n"])
 
         return work
 
-    counted = map_arrow(spread(docs.select("text").distinct()), make, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(weighted, make, "slot bigint, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # two tables of a fixed size
     pair, first = np.zeros(size), np.zeros(1 << 16)
-    slots, n = counted.slot.to_numpy(np.int64), counted.n.to_numpy(float)
+    slots, n = counted.slot.to_numpy(np.int64), np.round(counted.n.to_numpy(float), 6)
     pair[slots[slots >= 0]], first[-1 - slots[slots < 0]] = n[slots >= 0], n[slots < 0]
     return np.log(pair + 0.5), np.log(first + 30.0)
 
@@ -174,11 +187,11 @@ class Statistics:
 
 
 _COLUMNS = [("language", pa.string()), ("word_count", pa.int32()), ("mean_word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("punct_line_share", pa.float64()), ("common_share", pa.float64()), ("sentence_cover", pa.float64()), ("letter_typicality", pa.float64()), ("line_count", pa.int32()), ("list_lines", pa.int32()), ("table_share", pa.float64()), ("list_share", pa.float64()), ("letters", pa.int32()), ("different_letters", pa.int32()), ("sentences", pa.int32())]
-_SCHEMA = "doc_id bigint, language string, word_count int, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, sentence_cover double, letter_typicality double, line_count int, list_lines int, table_share double, list_share double, letters int, different_letters int, sentences int"
+_SCHEMA = "doc_id bigint, text_hash bigint, language string, word_count int, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, sentence_cover double, letter_typicality double, line_count int, list_lines int, table_share double, list_share double, letters int, different_letters int, sentences int"
 
 
 def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id, language and the statistics of every document.
+    """doc_id, text_hash, language and the statistics of every document.
 
     language is the one whose function words are most frequent (`und`: none occurs). word_count counts each sign of a script without
     spaces; symbol_ratio is the share of signs that are neither letters nor digits; punct_line_share that of the non-blank lines that end
@@ -196,17 +209,18 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
         known = Statistics(*sent.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             rows = [x for k in range(0, len(texts), 200) for x in known.batch(texts[k : k + 200])]
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), _COLUMNS))], names=["doc_id", *(n for n, _ in _COLUMNS)])
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), _COLUMNS))], names=["doc_id", "text_hash", *(n for n, _ in _COLUMNS)])
 
         return work
 
-    return map_arrow(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), make, _SCHEMA)
+    return map_arrow(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")), make, _SCHEMA)
 
 
 def tail_probabilities(values: DataFrame) -> DataFrame:
-    """language, stat, value, low, high: exact shares of the rows of a language whose value is at most, and at least, this one.
+    """language, stat, value, low, high, total: exact shares of the rows of a language whose value is at most, and at least, this one, and
+    how many rows there are.
 
     values has language, stat, value. Equal values are counted together first, so a value that a third of all rows share is one row. The
     distinct values are sorted by range partitions; each partition sums up its own counts, and the sums of the partitions before it are its
@@ -214,39 +228,85 @@ def tail_probabilities(values: DataFrame) -> DataFrame:
     """
     counts = values.groupBy("language", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
     ranged = counts.repartitionByRange(values.sparkSession.sparkContext.defaultParallelism * 2, "language", "stat", "value").withColumn("part", F.spark_partition_id())
-    ensure_checkpoint_dir(values.sparkSession)
-    ranged = ranged.checkpoint()  # range bounds are sampled: the partitions must stay what they are
+    ranged = cut(ranged)  # range bounds are sampled: the partitions must stay what they are
     own = Window.partitionBy("part", "language", "stat").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = ranged.groupBy("part", "language", "stat").agg(F.sum("n").alias("part_n"))
     group = Window.partitionBy("language", "stat")
     offsets = sums.select("part", "language", "stat", (F.sum("part_n").over(group.orderBy("part")) - F.col("part_n")).alias("before"), F.sum("part_n").over(group).alias("total"))
     ranks = ranged.withColumn("upto", F.sum("n").over(own)).join(F.broadcast(offsets), ["part", "language", "stat"])  # partitions x languages x statistics rows
     rank = F.col("before") + F.col("upto")
-    return ranks.select("language", "stat", "value", (rank / F.col("total")).alias("low"), ((F.col("total") - rank + F.col("n")) / F.col("total")).alias("high"))
+    return ranks.select("language", "stat", "value", (rank / F.col("total")).alias("low"), ((F.col("total") - rank + F.col("n")) / F.col("total")).alias("high"), "total")
+
+
+_ALL = "*"
+
+
+class Tails:
+    """Tail probabilities of values by the ranks of a language and of all languages together."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.own: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, float]] = {}
+        for (language, stat), part in rows.sort_values("value").groupby(["language", "stat"]):
+            self.own[language, stat] = (part.value.to_numpy(), part["low" if RANKED[stat] < 0 else "high"].to_numpy(), float(part.total.iloc[0]))
+
+    def threshold(self) -> float:
+        """The score from which a text is no prose."""
+        n = self.own[_ALL, "sentence_cover"][2] if self.own else 0.0
+        return min(OUTLIER, OF_MOST * 3 * float(np.log(n + 1)))
+
+    def _among(self, language: str, stat: str, values: np.ndarray) -> tuple[np.ndarray, float]:
+        """How many rows of a language are as unusual as each value, and how many there are."""
+        known, share, total = self.own.get((language, stat), (np.zeros(0), np.zeros(0), 0.0))
+        if RANKED[stat] < 0:
+            return total * np.append(0.0, share)[np.searchsorted(known, values, side="right")], total
+        return total * np.append(share, 0.0)[np.searchsorted(known, values, side="left")], total
+
+    def evidence(self, language: str, stat: str, values: np.ndarray) -> np.ndarray:
+        """Negative log of the tail probability. Few rows of a language count together with the ranks of all."""
+        every, total = self._among(_ALL, stat, values)
+        own, n = self._among(language, stat, values) if language != "und" else (0.0, 0.0)
+        return -np.log((own + SHRINK * (every + 1) / (total + 1)) / (n + SHRINK))
+
+    def scores(self, languages: np.ndarray, values: dict[str, np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(languages))
+        for language in set(languages.tolist()):
+            at = np.flatnonzero(languages == language)
+            each = {s: self.evidence(language, s, values[s][at]) for s in RANKED}
+            out[at] = sum(e for s, e in each.items() if s not in ONE_OF) + np.maximum.reduce([each[s] for s in ONE_OF])
+        return out
+
+
+def _ranked(column: str):
+    value = F.least(F.col(column), F.lit(MOST_LETTERS)) if column == "different_letters" else F.col(column)
+    return F.round(value.cast("double"), DECIMALS)
 
 
 def assessed(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """The statistics with outlier_score and text_kind (prose, list, table or junk) of every document.
 
-    outlier_score is the sum of the three highest negative log tail probabilities of a document's statistics among those of its language.
-    It takes no part in the kind, since copies make any text usual. Unreadable letters make a document junk; else little sentence cover
-    with mostly cells or mostly entries makes it a table or a list; all others are prose. Empty texts are junk. Repeated rows repeat.
+    A statistic's tail probability is its rank among the different texts of the document's language that hold sentences (`und`: of all
+    languages), so that copies make no text usual; a rare language is helped out by the ranks of all. outlier_score is the sum of the
+    negative log tail probabilities of sentence_cover and punct_line_share and of the most unusual of letters, symbols, cells and entries. From
+    OUTLIER on, a text is no prose: junk where its letters or symbols are unreadable, else a table or a list, whichever holds more of it.
+    Empty texts are junk. Repeated rows repeat. Without any text that holds sentences, no text is prose.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    own = statistics(docs, common_words).checkpoint()
-    stats = F.array(*[F.struct(F.lit(name).alias("stat"), F.col(name).cast("double").alias("value")) for name in RANKED])
-    long = own.select("doc_id", "language", F.explode(stats).alias("s")).select("doc_id", "language", "s.stat", "s.value")
-    tails = tail_probabilities(long)
-    side = F.create_map(*[F.lit(x) for name, s in RANKED.items() for x in (name, s)])
-    p = F.when(side[F.col("stat")] < 0, F.col("low")).when(side[F.col("stat")] > 0, F.col("high")).otherwise(F.least(F.lit(1.0), 2 * F.least("low", "high")))
-    scores = long.join(tails, ["language", "stat", "value"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(-F.log(p)), asc=False).alias("logs"))
-    scored = own.join(scores.select("doc_id", F.round(F.aggregate(F.slice("logs", 1, 3), F.lit(0.0), lambda a, b: a + b), 4).alias("outlier_score")), "doc_id")
+    own = cut(statistics(docs, common_words))
+    stats = F.array(*[F.struct(F.lit(name).alias("stat"), _ranked(name).alias("value")) for name in RANKED])
+    usual = own.where(F.col("sentences") >= SENTENCES).dropDuplicates(["text_hash"])
+    long = usual.select(F.explode(F.array("language", F.lit(_ALL))).alias("language"), stats.alias("stats")).where("language <> 'und'").select("language", F.explode("stats").alias("s")).select("language", "s.stat", "s.value")
+    # languages x statistics x levels rows, whatever the input
+    tails = Tails(tail_probabilities(long).toPandas())
+    sent = docs.sparkSession.sparkContext.broadcast(tails)
+    names = list(RANKED)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = {s: np.asarray(batch.column(k + 1).to_pylist(), float) for k, s in enumerate(names)}
+        scores = sent.value.scores(np.asarray(batch.column(0).to_pylist(), object), values)
+        return pa.RecordBatch.from_arrays([pa.array(np.round(scores, 4)), batch.column(len(names) + 1)], names=["outlier_score", "s"])
+
+    kept = [c for c in own.columns if c != "text_hash"]
+    schema = f"outlier_score double, s {own.select(F.struct(*kept).alias('s')).schema['s'].dataType.simpleString()}"
+    scored = map_arrow(own.select("language", *[_ranked(s).alias(f"v_{s}") for s in names], F.struct(*kept).alias("s")), lambda: work, schema).select("s.*", "outlier_score")
     unreadable = (F.col("letter_typicality") < UNREADABLE) | (F.col("symbol_ratio") > SYMBOLS) | (F.col("different_letters") < LETTERS)
-    low = F.col("sentence_cover") < LOW_COVER
-    kind = (
-        F.when(unreadable, "junk")
-        .when(low & (F.col("table_share") >= LINE_SHARE), "table")
-        .when(low & (F.col("list_share") + F.col("table_share") >= LINE_SHARE) & (F.col("list_lines") >= 3), "list")
-        .otherwise("prose")
-    )
+    kind = F.when(F.col("outlier_score") < tails.threshold(), "prose").when(unreadable, "junk").when(F.col("table_share") >= F.col("list_share"), "table").otherwise("list")
     return scored.withColumn("text_kind", kind)
