@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import code_points, texts_of
 from ..session import map_arrow, ship, spread
 
 #: Fixed values of the data: longest window and context on either side, in characters.
 LIMIT, OVERLAP = 800, 100
-#: Units on either side of a gap whose words are compared, and buckets words are hashed into.
-BLOCK, BUCKETS = 6, 64
+#: Units on either side of a gap whose terms are compared, and buckets terms are hashed into.
+BLOCK, BUCKETS = 6, 1 << 20
+#: Share of the limit that a window has at least where a boundary lies beyond it, so that windows aren't cut into crumbs; 0 allows any.
+LEAST = 0.25
 #: A pause, the places after which a text may be cut: line breaks, marks with what white space follows them.
 _PAUSE = re.compile(r"\n|[。！？]\s*|[.!?]\s+")
 
@@ -35,32 +38,85 @@ def boundaries(text: str) -> list[int]:
     return sorted(out)
 
 
-def _similarities(texts: list[str], cuts: list[list[int]]) -> list[np.ndarray]:
-    """For each text, the cosine of hashed character-pair counts in the BLOCK units before and after each of its boundaries but the last."""
-    points, starts = code_points(texts)
-    if not len(points):
-        return [np.zeros(0) for _ in texts]
-    ends = np.concatenate([np.asarray(c, np.int64) + s for c, s in zip(cuts, starts)] or [np.zeros(0, np.int64)])
-    first = np.cumsum([0, *map(len, cuts)])
-    sizes = np.diff(ends, prepend=0)
-    unit = np.repeat(np.arange(len(ends)), sizes)
-    low = points | 0x20  # folds ASCII case, harmless elsewhere
-    pair = (low[:-1].astype(np.uint64) * np.uint64(0x9E3779B1) ^ low[1:].astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)
-    slot = unit[:-1] * BUCKETS + (pair % np.uint64(BUCKETS)).astype(np.int64)
-    counts = np.bincount(slot, minlength=len(ends) * BUCKETS)[: len(ends) * BUCKETS].reshape(-1, BUCKETS).astype(np.float32)
-    total = np.zeros((len(ends) + 1, BUCKETS), np.float32)
-    np.cumsum(np.sqrt(counts), axis=0, dtype=np.float32, out=total[1:])
-    out = []
-    for k in range(len(texts)):
-        a, b = first[k], first[k + 1]
-        gaps = np.arange(a + 1, b)
-        left = total[gaps] - total[np.maximum(gaps - BLOCK, a)]
-        right = total[np.minimum(gaps + BLOCK, b)] - total[gaps]
-        norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-        out.append((left * right).sum(1) / np.maximum(norm, 1e-9))
+@cache
+def _kinds() -> np.ndarray:
+    """For every code point: 0 for signs, blanks and digits, 1 for letters of scripts with words, 2 for Han, Kana and Thai."""
+    out = np.zeros(0x110000, np.uint8)
+    for cp in range(0x30000):
+        if not 0xD800 <= cp < 0xE000 and (chr(cp).isalpha() or 0xE01 <= cp <= 0xE4E):
+            out[cp] = 2 if 0xE01 <= cp <= 0xE4E or 0x3040 <= cp <= 0x9FFF or 0xF900 <= cp <= 0xFAFF or cp >= 0x20000 else 1
     return out
 
 
+@cache
+def _folded() -> np.ndarray:
+    """For every code point, the one it has in lower case."""
+    return np.array([cp if 0xD800 <= cp < 0xE000 else ord(chr(cp).lower()[0]) for cp in range(0x110000)], np.uint32)
+
+
+def terms_at(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last sign, bucket) of each term: a word, or in scripts without blanks between words, two neighbouring signs."""
+    kind = _kinds()[points]
+    low = _folded()[points].astype(np.uint64)
+    m = np.uint64(0x9E3779B97F4A7C15)
+    mixed = (low + np.uint64(1)) * m
+    mixed ^= mixed >> np.uint64(29)
+    word = kind == 1
+    first = word & ~np.concatenate([[False], word[:-1]])
+    last = word & ~np.concatenate([word[1:], [False]])
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    # the place of a sign in its word is part of its share of the word's number
+    place = np.arange(len(points)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(points)]])))
+    share = np.where(word, mixed * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)), np.uint64(0))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(share, dtype=np.uint64)])
+    words = sums[ends + 1] - sums[starts]
+    pairs = np.flatnonzero((kind[:-1] == 2) & (kind[1:] == 2)) if len(points) > 1 else np.zeros(0, np.int64)
+    numbers = np.concatenate([words, mixed[pairs] * np.uint64(31) + mixed[pairs + 1]])
+    return np.concatenate([ends, pairs + 1]), ((numbers * m) >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def _similarities(texts: list[str], cuts: list[list[int]]) -> list[np.ndarray]:
+    """For each text, the cosine of the root counts of terms in the BLOCK units before and after each of its boundaries but the last.
+
+    The products of two blocks are sums over pairs of units that hold the same term, each of which counts at a run of boundaries.
+    """
+    if not texts:
+        return []
+    points, starts = code_points([t + "\0" for t in texts])  # no term reaches from one text into another
+    span = 2 * BLOCK
+    ends = np.concatenate([np.asarray(c, np.int64) + s for c, s in zip(cuts, starts)])
+    sizes = np.array([len(c) for c in cuts])
+    first = np.cumsum([0, *(sizes + span)])  # texts stand so far apart that no block reaches from one into another
+    number = np.arange(len(ends)) + np.repeat(first[:-1] - np.cumsum([0, *sizes[:-1]]), sizes)
+    every = int(first[-1])
+    at, term = terms_at(points)
+    unit = number[np.searchsorted(ends, at, side="right")]
+    key, n = np.unique(term * (every + span) + unit, return_counts=True)
+    unit, n = key % (every + span), np.sqrt(n)
+    before, after, both = (np.zeros(every + span + 1) for _ in range(3))
+
+    def add(total: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray) -> None:
+        some = low <= high
+        total += np.bincount(np.maximum(low[some], 0), w[some], len(total)) - np.bincount(np.maximum(high[some], -1) + 1, w[some], len(total))
+
+    a, lag = np.arange(len(key)), 0
+    while len(a):
+        u, v = unit[a], unit[a + lag]
+        w = n[a] * n[a + lag]
+        near = v - u < BLOCK
+        x, y, z = u[near], v[near], w[near] * (2 if lag else 1)
+        add(before, y + 1, x + BLOCK, z)  # both units in the block before boundary g: v < g <= u + BLOCK
+        add(after, y - BLOCK + 1, x, z)
+        if lag:  # one on either side: u < g <= v, and both within BLOCK of it
+            add(both, np.maximum(u + 1, v - BLOCK + 1), np.minimum(v, u + BLOCK), w)
+        lag += 1
+        a = a[a + lag < len(key)]
+        a = a[key[a + lag] - key[a] < span]
+    before, after, both = (np.cumsum(x) for x in (before, after, both))
+    out = both / np.sqrt(np.maximum(before * after, 1e-12))
+    return [out[f + 1 : f + k] for f, k in zip(first, sizes)]
+
+
 def _depths(similarity: np.ndarray) -> np.ndarray:
     """How far each gap lies below the nearest peak on its left and on its right."""
     n, s = len(similarity), similarity.tolist()
@@ -75,11 +131,11 @@ def _depths(similarity: np.ndarray) -> np.ndarray:
     return np.array(left) + np.array(right)
 
 
-def windows(length: int, cuts: list[int], depth: list[float], limit: int = LIMIT) -> list[tuple[int, int]]:
+def windows(length: int, cuts: list[int], depth: list[float], limit: int = LIMIT, least: float = LEAST) -> list[tuple[int, int]]:
     """Consecutive windows of at most `limit` characters over [0, length).
 
-    Each ends at the deepest valley among the boundaries in the second half of its size window, else at the last boundary of the first
-    half, else after exactly `limit` characters; a rest that fits is the last window.
+    Each ends at the deepest valley among the boundaries of its size window that lie at least `least` of the limit away, the last of equal
+    ones; where there are none, at the last boundary; without any, after exactly `limit` characters. A rest that fits is the last window.
     """
     out, start, k, n = [], 0, 0, len(cuts)
     while start < length:
@@ -90,7 +146,7 @@ def windows(length: int, cuts: list[int], depth: list[float], limit: int = LIMIT
             k += 1
         best, last, j = -1, -1, k
         while j < n and cuts[j] <= start + limit:
-            if cuts[j] > start + limit // 2 and (best < 0 or depth[j] >= depth[best]):
+            if cuts[j] >= start + least * limit and (best < 0 or depth[j] >= depth[best]):
                 best = j
             last = j
             j += 1
@@ -101,11 +157,12 @@ def windows(length: int, cuts: list[int], depth: list[float], limit: int = LIMIT
 
 
 def segment(texts: list[str], limit: int = LIMIT) -> list[tuple[list[int], list[tuple[int, int]]]]:
-    """(boundaries, chosen windows) of each text."""
+    """(boundaries, chosen windows) of each text; one within the limit is one window."""
     cuts = [boundaries(t) for t in texts]
-    out = []
-    for t, c, s in zip(texts, cuts, _similarities(texts, cuts)):
-        out.append((c, windows(len(t), c, [*_depths(s).tolist(), 0.0], limit)))
+    long = [k for k, t in enumerate(texts) if len(t) > limit]
+    out = [(c, [(0, len(t))] if t else []) for t, c in zip(texts, cuts)]
+    for k, s in zip(long, _similarities([texts[k] for k in long], [cuts[k] for k in long])):
+        out[k] = (cuts[k], windows(len(texts[k]), cuts[k], [*_depths(s).tolist(), 0.0], limit))
     return out
 
 
@@ -144,33 +201,45 @@ def chunks(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, longer_t
     )
 
 
+def admits(cuts: list[int], start: int, end: int, limit: int = LIMIT) -> bool:
+    """Whether a window may end there: at one of the boundaries among which the segmentation chooses, or after `limit` characters where it has none."""
+    low = bisect_right(cuts, start)
+    high = bisect_right(cuts, start + limit, low)
+    at = bisect_left(cuts, end, low, high)
+    return at < high and cuts[at] == end if high > low else end - start == limit
+
+
 def wrong_chunks(docs: DataFrame, recorded: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, chunk_id of the recorded chunks that break a rule of the windows, held against the boundaries the segmentation admits.
+    """doc_id, chunk_id of the recorded chunks that break a rule of the windows.
 
-    Repeated rows count once. A chunk after one whose chunk_end is null does not start at a recorded end and is reported. Chunks of unknown
-    documents, or of those without a text, have no valid extent and are reported; those of a text within the limit must end with it. A null chunk_id sorts first and is reported; chunks of a
-    null doc_id are reported as well.
+    Each is held against the segmentation of its text: a window that this chooses is right; of another, the end must be one of the boundaries that
+    the segmentation chooses among. Only positions are joined. Repeated rows count once. A chunk after one whose chunk_end is null does not start
+    at a recorded end and is reported. Chunks of unknown documents, or of those without a text, have no valid extent and are reported; those of a text
+    within the limit must end with it. A null chunk_id sorts first and is reported; chunks of a null doc_id are reported as well, without being brought
+    together.
     """
+    ship(docs.sparkSession)
     fields = ["doc_id", "chunk_id", "chunk_start", "chunk_end", "context_start", "context_end"]
-    rows = recorded.select(*[F.col(c).cast("bigint" if c == "doc_id" else "int").alias(c) for c in fields]).distinct()
-    order = Window.partitionBy("doc_id").orderBy("chunk_id", "chunk_start", "chunk_end", "context_start", "context_end")
-    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("before", F.when(F.col("nth") == 1, F.lit(0)).otherwise(F.lag("chunk_end").over(order))).withColumn("last", F.lead("nth").over(order).isNull())
-    known = cohesion_windows(docs, limit, limit).select("doc_id", "n_chars", "boundaries")
-    short = docs.where(F.length("text") <= limit).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("int").alias("short_chars"))
-    joined = rows.join(known, "doc_id", "left").join(short, "doc_id", "left")
-    start, end, size = F.col("chunk_start"), F.col("chunk_end"), F.coalesce("n_chars", "short_chars")
-    cuts = F.coalesce("boundaries", F.array("short_chars"))
-    within = F.exists(cuts, lambda b: (b > start) & (b <= start + limit))
-    broken = (
-        F.greatest(*[F.col(c).isNull().cast("int") for c in fields]).cast("boolean")
-        | size.isNull()
-        | ~start.eqNullSafe(F.col("before"))
-        | ~((start < end) & (end <= size))
-        | (end - start > limit)
-        | (F.col("context_start") != F.greatest(F.lit(0), start - overlap))
-        | (F.col("context_end") != F.least(size, end + overlap))
-        | (F.col("last") & (end != size))
-        | (~F.array_contains(cuts, end) & within)
-        | (~within & (end - start != limit))
-    )
-    return joined.where(F.coalesce(broken, F.lit(True))).select("doc_id", "chunk_id").distinct()
+    rows = recorded.select(*[F.col(c).cast("bigint" if c == "doc_id" else "int").alias(c) for c in fields])
+    nameless = rows.where("doc_id is null").select("doc_id", "chunk_id").distinct()
+    lists = rows.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct(*fields[1:])).alias("own"))
+    known = cohesion_windows(docs, limit, -1)
+
+    def judged(size: int | None, cuts: list[int], chosen: list[dict], own: list[dict]) -> set[int | None]:
+        order = sorted((tuple(x[c] for c in fields[1:]) for x in own), key=lambda x: tuple((v is not None, v or 0) for v in x))
+        right = {(x["start"], x["end"]) for x in chosen or ()}
+        wrong, before = set(), 0
+        for k, (no, start, end, low, high) in enumerate(order):
+            fine = size is not None and None not in (no, start, end, low, high) and start == before and start < end <= size and end - start <= limit
+            fine = fine and low == max(0, start - overlap) and high == min(size, end + overlap) and (k + 1 < len(order) or end == size)
+            if not (fine and ((start, end) in right or admits(cuts, start, end, limit))):
+                wrong.add(no)
+            before = end
+        return wrong
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(d, no) for d, *x in zip(*(batch.column(k).to_pylist() for k in range(5))) for no in judged(*x)]
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([no for _, no in found], pa.int32())], names=["doc_id", "chunk_id"])
+
+    joined = lists.join(known, "doc_id", "left").select("doc_id", "n_chars", "boundaries", "windows", "own")
+    return map_arrow(joined, lambda: work, "doc_id bigint, chunk_id int").unionByName(nameless)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import map_arrow, ship
+from ..session import cut, map_arrow, ship, small_rows
 
 #: Length classes per capacity. The histogram, the patterns and the plan are bounded by it, whatever the number of documents.
 BINS = 96
@@ -20,6 +20,8 @@ BINS = 96
 SALTS = 64
 #: Scenario of documents that name none.
 DEFAULT_SCENARIO = "general"
+#: Capacity from which a container holds any character and its end token; specifications below it don't count. And rows of specifications at most.
+LEAST_CAPACITY, MOST_SPECS = 5, 10_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -78,10 +80,11 @@ def patterns(sizes: list[int], capacity: int) -> np.ndarray:
     return np.array(list(seen), dtype=float).T if seen else np.zeros((len(sizes), 0))
 
 
-def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(pattern as {class: count}, repeats) that together use up the histogram [(largest size of the class, documents)] exactly.
+def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[dict[int, int], int, bool]]:
+    """(pattern as {class: count}, repeats, fitted) that together use up the histogram [(largest size of the class, documents)] exactly.
 
-    Repeats of the fitted patterns are rounded down; what is left is packed by best fit, in the histogram too.
+    Repeats of the fitted patterns are rounded down. What is left, and what only patterns with much room would hold, is packed by patterns of
+    the largest classes that fit, made anew whenever a class is used up.
     """
     sizes, left = [s for s, _ in histogram], np.array([n for _, n in histogram], dtype=np.int64)
     if not len(sizes):
@@ -92,15 +95,15 @@ def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[dict[int
     good |= a.sum(0) == a.max(0)  # single classes keep the fit feasible
     a, fill = a[:, good], fill[good]
     weight = 1 / np.sqrt(np.maximum(left, 1))
-    x = nnls(a * weight[:, None], left * weight, rounds=4 * len(sizes))
-    out: list[tuple[dict[int, int], int]] = []
+    x = nnls(a * weight[:, None], left * weight)
+    out: list[tuple[dict[int, int], int, bool]] = []
     for k in sorted(np.flatnonzero(x >= 1), key=lambda k: -fill[k]):
         used = np.flatnonzero(a[:, k])
         counts = a[used, k].astype(np.int64)
         n = int(min(np.floor(x[k]), (left[used] // counts).min()))
         if n > 0 and fill[k] >= 0.9:
             left[used] -= n * counts
-            out.append((dict(zip(used.tolist(), counts.tolist())), n))
+            out.append((dict(zip(used.tolist(), counts.tolist())), n, True))
     by_size = sorted(range(len(sizes)), key=lambda k: -sizes[k])
     while left.any():
         room, pattern = capacity, {}
@@ -112,7 +115,7 @@ def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[dict[int
         n = int(min(left[k] // c for k, c in pattern.items()))
         for k, c in pattern.items():
             left[k] -= n * c
-        out.append((pattern, n))
+        out.append((pattern, n, False))
     return out
 
 
@@ -120,7 +123,7 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Pieces of a batch of texts: (doc_id, scenario, capacity, piece, start, end, size)."""
     rows = []
     for doc_id, scenario, capacity, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-        data, room = text.encode("utf-8", "surrogatepass"), max(4, capacity - 1)
+        data, room = text.encode("utf-8", "surrogatepass"), capacity - 1
         at = start = piece = 0
         while at < len(data):
             to = min(len(data), at + room)
@@ -134,48 +137,49 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "scenario", "capacity", "piece", "piece_start", "piece_end", "size"])
 
 
+def capacities(specs: DataFrame) -> dict[str, int]:
+    """The capacity of each scenario, the largest of several; rows with a null, or with one too small for a character, don't count."""
+    rows = small_rows(specs.select("scenario", F.col("capacity").cast("int").alias("capacity")).where("scenario is not null").where(F.col("capacity") >= LEAST_CAPACITY).groupBy("scenario").agg(F.max("capacity").alias("capacity")), MOST_SPECS, "the table of capacities")
+    return {r.scenario: r.capacity for r in rows}
+
+
 def measured(docs: DataFrame, specs: DataFrame) -> DataFrame:
     """doc_id, scenario, capacity, size, oversize and text of every document with a text.
 
     size is that of the ByT5 tokenizer: a token per UTF-8 byte and one end token. A null or unlisted scenario counts as `general`; where
     that has no capacity either, the document is left out, as is a null text. An empty text has size 1.
     """
-    listed = specs.select(F.col("scenario").alias("spec_scenario"), F.col("capacity").cast("int").alias("spec_capacity")).where("spec_scenario is not null and spec_capacity is not null").groupBy("spec_scenario").agg(F.max("spec_capacity").alias("spec_capacity"))
-    general = listed.where(F.col("spec_scenario") == DEFAULT_SCENARIO).select(F.col("spec_capacity").alias("general_capacity"))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("scenario", F.lit(DEFAULT_SCENARIO)).alias("scenario"), "text").where("text is not null")
-    sized = base.withColumn("size", F.octet_length("text").cast("bigint") + 1).join(listed, F.col("scenario") == F.col("spec_scenario"), "left").join(general, F.lit(True), "left")
-    return sized.select(
-        "doc_id", F.when(F.col("spec_capacity").isNull(), F.lit(DEFAULT_SCENARIO)).otherwise(F.col("scenario")).alias("scenario"), F.coalesce("spec_capacity", "general_capacity").alias("capacity"), "size", "text"
-    ).where("capacity is not null").withColumn("oversize", F.col("size") > F.col("capacity"))
+    known = capacities(specs)
+    name = F.coalesce("scenario", F.lit(DEFAULT_SCENARIO))
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.expr("cast(map() as map<string,int>)")
+    own = F.element_at(table, name)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(own.isNull(), F.lit(DEFAULT_SCENARIO)).otherwise(name).alias("scenario"), F.coalesce(own, F.lit(known.get(DEFAULT_SCENARIO)).cast("int")).alias("capacity"), "text")
+    return base.where("text is not null and capacity is not null").withColumn("size", F.octet_length("text").cast("bigint") + 1).withColumn("oversize", F.col("size") > F.col("capacity"))
 
 
-def items(docs: DataFrame, specs: DataFrame, whole: bool = True) -> DataFrame:
+def items(docs: DataFrame, specs: DataFrame) -> DataFrame:
     """The things to pack: a document each, and the pieces of documents above the capacity (cut between characters, each with an end token).
 
-    doc_id, scenario, capacity, piece, piece_start, piece_end (characters), size; without `whole`, of the pieces only.
+    doc_id, scenario, capacity, piece, piece_start, piece_end (characters), size.
     """
     ship(docs.sparkSession)
     sized = measured(docs, specs)
     uncut = sized.where(~F.col("oversize")).select("doc_id", "scenario", "capacity", F.lit(0).alias("piece"), F.lit(0).alias("piece_start"), F.length("text").cast("int").alias("piece_end"), "size")
     schema = "doc_id bigint, scenario string, capacity int, piece int, piece_start int, piece_end int, size bigint"
     parts = map_arrow(sized.where("oversize").select("doc_id", "scenario", "capacity", "text"), lambda: _cut, schema)
-    return uncut.unionByName(parts) if whole else parts
-
-
-def cut_documents(docs: DataFrame, specs: DataFrame) -> DataFrame:
-    """doc_id of the documents of which the packing packs pieces, since they exceed the capacity of their scenario; one row each."""
-    return items(docs, specs, whole=False).select("doc_id").distinct()
+    return uncut.unionByName(parts)
 
 
 def pack(docs: DataFrame, specs: DataFrame, bins: int = BINS) -> DataFrame:
-    """doc_id, piece, piece_start, piece_end, scenario, capacity, size, container: every item in a container of its scenario.
+    """doc_id, piece, piece_start, piece_end, scenario, capacity, size, container, fitted: every item in a container of its scenario, and
+    whether that is of a fitted pattern.
 
     The histogram of length classes (at most `bins` per scenario) goes to the driver, which plans in it; documents find their container by
     their rank in their class, which is a sum of a rank in one of SALTS shares and an offset. Each row of `docs` is an item, and repeated
     rows are items too; doc_id breaks ties. No document is dropped, and none is cut that fits.
     """
     spark = docs.sparkSession
-    packed = items(docs, specs)
+    packed = cut(items(docs, specs))  # places and sizes only; the texts are read once
     binned = packed.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("size") - 1) * bins / F.col("capacity"))).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     counts = binned.groupBy("scenario", "capacity", "bin", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"))
     rows = counts.toPandas()  # scenarios x bins x salts rows
@@ -183,24 +187,36 @@ def pack(docs: DataFrame, specs: DataFrame, bins: int = BINS) -> DataFrame:
     for (scenario, capacity), part in rows.groupby(["scenario", "capacity"], sort=True):
         per_bin = part.groupby("bin").agg(n=("n", "sum"), largest=("largest", "max")).sort_index()
         taken, base = dict.fromkeys(range(len(per_bin)), 0), 0
-        for pattern, n in plan(list(zip(per_bin.largest.tolist(), per_bin.n.tolist())), int(capacity)):
+        for pattern, n, fitted in plan(list(zip(per_bin.largest.tolist(), per_bin.n.tolist())), int(capacity)):
             for k, c in pattern.items():
-                where.append((scenario, int(per_bin.index[k]), taken[k], taken[k] + n * c, c, base))
+                where.append((scenario, int(per_bin.index[k]), taken[k], taken[k] + n * c, c, base, fitted))
                 taken[k] += n * c
             base += n
         for bin_, own in part.sort_values(["bin", "salt"]).groupby("bin"):
             for salt, start in zip(own.salt, own.n.cumsum() - own.n):
                 offsets.append((scenario, int(bin_), int(salt), int(start)))
-    places = spark.createDataFrame(pd.DataFrame(where, columns=["p_scenario", "p_bin", "low", "high", "each", "base"]) if where else [], T.StructType.fromDDL("p_scenario string, p_bin int, low bigint, high bigint, each bigint, base bigint"))
+    places = spark.createDataFrame(pd.DataFrame(where, columns=["p_scenario", "p_bin", "low", "high", "each", "base", "fitted"]) if where else [], T.StructType.fromDDL("p_scenario string, p_bin int, low bigint, high bigint, each bigint, base bigint, fitted boolean"))
     starts = spark.createDataFrame(pd.DataFrame(offsets, columns=["o_scenario", "o_bin", "o_salt", "offset"]) if offsets else [], T.StructType.fromDDL("o_scenario string, o_bin int, o_salt int, offset bigint"))
     ranked = binned.withColumn("place", F.row_number().over(Window.partitionBy("scenario", "bin", "salt").orderBy("doc_id", "piece", "size")) - 1)
     # both tables have at most scenarios x bins x max(bins, salts) rows, whatever the input
     ranked = ranked.join(F.broadcast(starts), (F.col("scenario") == F.col("o_scenario")) & (F.col("bin") == F.col("o_bin")) & (F.col("salt") == F.col("o_salt"))).withColumn("rank", F.col("place") + F.col("offset"))
     placed = ranked.join(F.broadcast(places), (F.col("scenario") == F.col("p_scenario")) & (F.col("bin") == F.col("p_bin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return placed.select("doc_id", "piece", "piece_start", "piece_end", "scenario", "capacity", "size", (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("bigint").alias("container"))
+    return placed.select("doc_id", "piece", "piece_start", "piece_end", "scenario", "capacity", "size", (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("bigint").alias("container"), "fitted")
+
+
+def cut_documents(docs: DataFrame, specs: DataFrame) -> DataFrame:
+    """doc_id of the documents that the packing puts into containers in several pieces, since they exceed the capacity of their scenario."""
+    return pack(docs, specs).where("piece > 0").select("doc_id").distinct()
+
+
+def account(packed: DataFrame) -> DataFrame:
+    """scenario, documents, characters, overfull: what the containers of each scenario hold, and how many hold more than their capacity."""
+    held = packed.groupBy("scenario").agg(F.count_distinct("doc_id").alias("documents"), F.sum(F.col("piece_end") - F.col("piece_start")).cast("bigint").alias("characters"))
+    over = packed.groupBy("scenario", "capacity", "container").agg(F.sum("size").alias("used")).groupBy("scenario").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    return held.join(over, "scenario")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """scenario, items, containers, used, fill: how full the containers of each scenario are."""
-    boxes = packed.groupBy("scenario", "capacity", "container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items"))
-    return boxes.groupBy("scenario", "capacity").agg(F.sum("items").alias("items"), F.count(F.lit(1)).alias("containers"), F.sum("used").alias("used")).withColumn("fill", F.round(F.col("used") / (F.col("containers") * F.col("capacity")), 4))
+    """scenario, capacity, items, containers, used, fitted, fill: how full the containers of each scenario are, and the share of items in fitted patterns."""
+    boxes = packed.groupBy("scenario", "capacity", "container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items"), F.count_if("fitted").alias("fitted"))
+    return boxes.groupBy("scenario", "capacity").agg(F.sum("items").alias("items"), F.count(F.lit(1)).alias("containers"), F.sum("used").alias("used"), F.round(F.sum("fitted") / F.sum("items"), 4).alias("fitted")).withColumn("fill", F.round(F.col("used") / (F.col("containers") * F.col("capacity")), 4))

@@ -83,6 +83,11 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, sf))
 
 
+def p7_account(spark: SparkSession, sf: str) -> DataFrame:
+    """What the containers of each scenario hold."""
+    return packing.account(p7_packing(spark, sf))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the test items they leak."""
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id")
@@ -109,4 +114,7 @@ SQL = {
     "p7_found": """
         SELECT d.doc_id FROM documents d LEFT JOIN packing_specs s ON s.scenario = coalesce(d.scenario, 'general')
         WHERE octet_length(encode(d.text)) + 1 > coalesce(s.capacity, (SELECT max(capacity) FROM packing_specs WHERE scenario = 'general'))""",
+    "p7_account": """
+        SELECT CASE WHEN s.scenario IS NULL THEN 'general' ELSE s.scenario END AS scenario, count(*) AS documents, CAST(sum(length(d.text)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS overfull
+        FROM documents d LEFT JOIN packing_specs s ON s.scenario = coalesce(d.scenario, 'general') WHERE d.text IS NOT NULL GROUP BY 1""",
 }

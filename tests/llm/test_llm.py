@@ -76,6 +76,28 @@ def test_wrong_windows(spark):
     assert chunking.wrong_chunks(docs(spark, AWKWARD), unknown).count() == 1
 
 
+def test_similarities_against_brute_force():
+    rng = random.Random(6)
+    words_ = ["cat", "dog", "bird", "审校", "人员", "ねこ", "Cat", "sun"]
+    texts = ["".join(rng.choice(words_) + rng.choice((" ", "", ". ", "\n")) for _ in range(n)) for n in (1, 3, 40, 90, 200)]
+    cuts = [chunking.boundaries(t) for t in texts]
+    for t, c, told in zip(texts, cuts, chunking._similarities(texts, cuts)):
+        at, terms = chunking.terms_at(chunking.code_points([t])[0])
+        unit = np.searchsorted(np.array(c), at, side="right")
+        assert len(told) == len(c) - 1
+        for g in range(1, len(c)):
+            sides = []
+            for low, high in ((g - chunking.BLOCK, g), (g, g + chunking.BLOCK)):
+                v = {}
+                for u in range(max(0, low), min(len(c), high)):
+                    for x, n in zip(*np.unique(terms[unit == u], return_counts=True)):
+                        v[x] = v.get(x, 0.0) + n**0.5
+                sides.append(v)
+            a, b = sides
+            norm = (sum(w * w for w in a.values()) * sum(w * w for w in b.values())) ** 0.5
+            assert abs(told[g - 1] - (sum(w * b.get(x, 0.0) for x, w in a.items()) / norm if norm else 0.0)) < 1e-6
+
+
 def test_valley_is_chosen():
     topic = "cats purr softly. kittens sleep. cats nap. " * 14, "engines roar loudly. pistons move. motors turn. " * 12
     text = "".join(topic)
@@ -380,7 +402,7 @@ def test_plan_uses_all():
     for _ in range(20):
         histogram = [(s, rng.randint(1, 50)) for s in sorted(rng.sample(range(1, 101), rng.randint(1, 12)))]
         used = dict.fromkeys(range(len(histogram)), 0)
-        for pattern, n in packing.plan(histogram, 100):
+        for pattern, n, _ in packing.plan(histogram, 100):
             assert sum(histogram[k][0] * c for k, c in pattern.items()) <= 100
             for k, c in pattern.items():
                 used[k] += n * c
@@ -402,7 +424,10 @@ def test_packing(spark):
     capacity = {0: 90, 1: 200, 2: 200}
     assert {r.doc_id for r in packing.cut_documents(own, specs).collect()} == {k for k, t in enumerate(texts) if t is not None and len(t.encode()) + 1 > capacity[k % 3]}
     assert all(r.fill > 0.85 for r in packing.fill_report(packing.pack(own, specs)).collect())
+    assert sum(r.overfull for r in packing.account(packing.pack(own, specs)).collect()) == 0
     assert packing.pack(own.where("false"), specs).count() == 0
+    tiny = spark.createDataFrame([("general", 4)], "scenario string, capacity int")
+    assert packing.pack(own, tiny).count() == 0
 
 
 # ----------------------------------------------------------------------------------------------------------------------- 8
