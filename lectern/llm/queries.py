@@ -98,6 +98,11 @@ def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the passages of test items."""
+    return leakage.cleaned(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are no natural prose, with their kind."""
     return quality.assessed(table(spark, sf, "documents"), table(spark, sf, "common_words")).where("text_kind <> 'prose'").select("doc_id", "text_kind")

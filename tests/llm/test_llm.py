@@ -448,6 +448,30 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(docs(spark, texts), table.where("false")).count() == 0
 
 
+def test_cleaned(spark):
+    item = "The ｓurvey office, in MAY: published 1,204 revised maps!"
+    texts = ["Before. The survey office — in May — published 1204 revised maps. After.", "x " + item + " y " + item[:40] + " z", "e\u0301t\u00e9 the survey office in may publi", "nothing here", None, ""]
+    table = spark.createDataFrame([(1, item), (2, "published 1204 revised maps: two")], "item_id bigint, text string")
+    rows = {r.doc_id: r for r in leakage.cleaned(docs(spark, texts), table).collect()}
+    assert [rows[k].text for k in range(6)] == ["Before. . After.", rows[1].text, "e\u0301t\u00e9 ", *texts[3:]]
+    assert "urvey" not in rows[1].text and rows[1].text.startswith("x ") and rows[1].text.endswith(" z")
+    found = {(r.doc_id, r.item_id): texts[r.doc_id][r.span_start : r.span_end] for r in leakage.leaks(docs(spark, texts), table).collect()}
+    assert found[0, 1] == "The survey office — in May — published 1204 revised maps" and found[0, 2] == "published 1204 revised maps" and found[2, 1] == "the survey office in may publi"
+    assert all(rows[k].removed == len(texts[k] or "") - len(rows[k].text or "") for k in range(6))
+
+
+def test_original_spans():
+    rng = random.Random(21)
+    for _ in range(800):
+        t = "".join(rng.choice("aB ,é.Ｃ１ﬁ\n审") for _ in range(rng.randint(1, 20)))
+        n = letters_and_digits(t)
+        if n:
+            a = rng.randrange(len(n))
+            b = rng.randint(a + 1, len(n))
+            i, j = leakage.Places(t).span(a, b)
+            assert n[a:b] in letters_and_digits(t[i:j]) and len(letters_and_digits(t[i:j])) <= b - a + 2
+
+
 # ----------------------------------------------------------------------------------------------------------------------- 9
 def test_ranks_against_brute_force(spark):
     rng = random.Random(7)
