@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_points, texts_of
-from ..session import map_arrow, ship, spread
+from ..session import cut, map_arrow, ship, spread
 
 # Symbols of the input alphabet
 OTHER, UPPER, LOWER, DIGIT, SPACE, LINE, DOT, GLUED, MARK, FULL, OPEN, CLOSE, KEEP, STRAY, THAI, PUNCT, LETTER = range(17)
@@ -242,7 +242,11 @@ def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     A line break always ends a unit, and a line without marks is one. Null, empty and blank texts have no units; repeated rows repeat
     theirs. One narrow pass; of the input only the positions leave it.
     """
-    ship(docs.sparkSession)
+    return _units(spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))))
+
+
+def _units(source: DataFrame) -> DataFrame:
+    ship(source.sparkSession)
     schema = "doc_id bigint, sent_no int, sent_start int, sent_end int"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -263,11 +267,19 @@ def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "sent_no", "sent_start", "sent_end"])
 
-    return map_arrow(spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))), lambda: work, schema)
+    return map_arrow(source, lambda: work, schema)
+
+
+#: Ids of asked documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
+MOST_ASKED = 4_000_000
 
 
 def asked_sentences(docs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """doc_id, sent_start, sent_end of the documents that have a task. Repeated tasks count once; tasks of unknown documents yield nothing."""
-    asked = tasks.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-    return sentences(own).select("doc_id", "sent_start", "sent_end")
+    """doc_id, sent_start, sent_end of the documents that have a task. Repeated tasks count once; tasks of unknown documents yield nothing.
+
+    The ids are counted first: up to MOST_ASKED of them go to the texts; with more, texts and ids meet by a shuffle.
+    """
+    asked = cut(tasks.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct())
+    source = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    own = source.join(F.broadcast(asked) if asked.count() <= MOST_ASKED else asked, "doc_id", "left_semi")
+    return _units(own).select("doc_id", "sent_start", "sent_end")
