@@ -1,11 +1,13 @@
-"""Personal data in free text: a semi-Markov conditional model scores candidate spans as wholes, and dynamic programming chooses among them."""
+"""Personal data in free text: a semi-Markov conditional random field over bounded segments; dynamic programming chooses boundaries and types jointly."""
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from functools import cache
+from math import exp, inf, log, sqrt
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -51,6 +53,9 @@ _TITLED = re.compile(rf"(?<!\w)(?:{_TITLES})\b\.?[  ]+((?:(?:[A-Z]\.[  ]?){{1,
 _RUN = re.compile(rf"{_N}(?:(?:,? | ){_N})+")
 _PART = re.compile(_N)
 _INITIALS = re.compile(rf"[A-Z]\.\s?(?:[A-Z]\.\s?){{0,2}}{_N}(?![\w@])")
+_GROUP = re.compile(r"[0-9０-９]+")
+#: Digits of a number that may be personal, at least and at most.
+LEAST_DIGITS, MOST_DIGITS = 7, 18
 _DIGITS = re.compile(r"[0-9０-９][0-9０-９ ().（）/\-－xX]{6,}")
 #: Cheap signs that a slower pattern can match at all.
 _TITLE_SIGNS = tuple(f"{t}{e}" for t in _TITLES.split("|") for e in (".", " ", "\u00a0"))
@@ -99,6 +104,20 @@ def candidates(text: str) -> list[Candidate]:
         for name, pattern in _SHAPES:
             for m in pattern.finditer(text, a, b):
                 add(m.start(), m.end(), "id_number" if name in ("resident", "social", "letters") else "phone", name)
+        # numbers of no known shape: all segments of whole groups of digits
+        groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, run.start(), run.end())]
+        for i, (start, _) in enumerate(groups):
+            if start and (text[start - 1].isalnum() or text[start - 1] in "_@#."):
+                continue
+            digits = 0
+            for x, y in groups[i:]:
+                digits += y - x
+                if digits > MOST_DIGITS or y - start > LONGEST:
+                    break
+                if digits >= LEAST_DIGITS and not (text[y : y + 1].isalnum() or text[y : y + 1] in ("_", "@")):
+                    at = start - (text[start - 1 : start] in ("+", "＋", "("))
+                    for kind in ("phone", "id_number"):
+                        add(at, y, kind, "digits")
     if "号" in text:
         for m in _ZH_STREET.finditer(text):
             for a in range(max(0, m.start() - 22), m.start()):
@@ -188,6 +207,9 @@ def features(text: str, c: Candidate) -> list[str]:
         out.append(f"name|{c.kind}|starts={start}|contact={bool(start and re.search(r'[@＠]|\bat\b|[0-9０-９]{3,4}[ .\-]?[0-9０-９]{4}', line))}")
         if re.match(r"[  ]*(?:&|und|and|et|y)[  ]+[A-Z][a-z]+ (?:Ltd|Inc|Co|Corp|LLC|GmbH|AG|SA|Bros)|,? (?:Ltd|Inc|Corp|LLC|GmbH|Co\b|AG\b|SA\b|S\.A)", text[c.end : c.end + 30]) or before.rstrip().endswith("&"):
             out.append("name|company")
+    elif c.type in ("phone", "id_number"):
+        shape = re.sub(r"[0-9０-９]", "9", span)
+        out += [f"{c.type}|shape={shape}", f"{c.type}|digits={shape.count('9')}", f"{c.type}|{c.kind}|digits={shape.count('9')}|l={before[-1:] or '^'}"]
     elif c.type == "address":
         out.append(f"address|town={bool(re.search(r'[市]|, (?:[A-ZÀ-Þ]|\d{5})', span))}")
         if c.kind == "zh":
@@ -195,53 +217,97 @@ def features(text: str, c: Candidate) -> list[str]:
     return out
 
 
-class Model:
-    """Weights of the span features, and of two spans side by side."""
+#: Entities with at most so many characters between them, on one line, bear on each other.
+NEAR = 10
 
-    def __init__(self) -> None:
-        self.weights: dict[str, float] = defaultdict(float)
 
-    def score(self, text: str, c: Candidate) -> float:
-        w = self.weights
-        return sum(w.get(f, 0.0) for f in features(text, c))
+def _sum(values: list[float]) -> float:
+    """Logarithm of a sum of exponentials."""
+    top = max(values)
+    return top + log(sum(exp(v - top) for v in values)) if top > -inf else -inf
+
+
+class Lattice:
+    """The candidate segments of a text by their ends, and which of them may come before which.
+
+    Of each segment, `upto` counts those that end at or before its start, and those from `near` on do so within NEAR characters of it.
+    """
+
+    def __init__(self, text: str, found: list[Candidate]):
+        self.order = sorted(found, key=lambda c: (c.end, c.start))
+        ends = [c.end for c in self.order]
+        self.upto = [bisect_right(ends, c.start) for c in self.order]
+        self.near = [bisect_left(ends, c.start - NEAR, 0, n) for c, n in zip(self.order, self.upto)]
+        self.sides = [[self.side(text, self.order[j], c) for j in range(m, n)] for c, m, n in zip(self.order, self.near, self.upto)]
 
     @staticmethod
     def side(text: str, a: Candidate, b: Candidate) -> str | None:
-        """The feature of two entities within a few characters of each other."""
-        return f"next|{a.type}|{b.type}" if 0 <= b.start - a.end <= 10 and "\n" not in text[a.end : b.start] else None
-
-    def best(self, text: str, found: list[Candidate], costs: dict[Candidate, float] | None = None) -> list[Candidate]:
-        """The best set of spans that don't overlap: dynamic programming over segment ends; what no span covers scores nothing."""
-        if not found:
-            return []
-        order = sorted(found, key=lambda c: (c.end, c.start))
-        own = [self.score(text, c) + (costs.get(c, 0.0) if costs else 0.0) for c in order]
-        best, back = [0.0] * len(order), [-1] * len(order)
-        top, top_at = [0.0] * (len(order) + 1), [-1] * (len(order) + 1)  # best of the first k spans
-        ends = [c.end for c in order]
-        for k, c in enumerate(order):
-            n = _at_most(ends, c.start, k)
-            best[k], back[k] = top[n], top_at[n]
-            for j in range(n - 1, max(-1, n - 6), -1):
-                f = self.side(text, order[j], c)
-                if f is None:
-                    continue
-                if best[j] + self.weights.get(f, 0.0) > best[k]:
-                    best[k], back[k] = best[j] + self.weights.get(f, 0.0), j
+        """The feature of two entities side by side."""
+        return f"next|{a.type}|{b.type}" if "\n" not in text[a.end : b.start] else None
+
+    def best(self, own: list[float], weights: dict[str, float]) -> list[int]:
+        """The best segments that don't overlap: dynamic programming over segment ends; what no segment covers scores nothing."""
+        best, back = [0.0] * len(own), [-1] * len(own)
+        top, top_at = [0.0] * (len(own) + 1), [-1] * (len(own) + 1)  # best of the first k segments
+        for k, (m, n) in enumerate(zip(self.near, self.upto)):
+            best[k], back[k] = top[m], top_at[m]
+            for j, f in zip(range(m, n), self.sides[k]):
+                score = best[j] + (weights.get(f, 0.0) if f else 0.0)
+                if score > best[k]:
+                    best[k], back[k] = score, j
             best[k] += own[k]
             top[k + 1], top_at[k + 1] = (best[k], k) if best[k] > top[k] else (top[k], top_at[k])
-        out, k = [], top_at[len(order)]
+        out, k = [], top_at[len(own)]
         while k >= 0:
-            out.append(order[k])
+            out.append(k)
             k = back[k]
         return out[::-1]
 
+    def marginals(self, own: list[float], weights: dict[str, float]) -> tuple[list[float], dict[str, float], float]:
+        """(probability of each segment, expected number of each side feature, log of the sum over all segmentations), forward and backward."""
+        n = len(own)
+        side = lambda f: weights.get(f, 0.0) if f else 0.0
+        alpha, top = [0.0] * n, [0.0] * (n + 1)
+        for k in range(n):
+            m, upto = self.near[k], self.upto[k]
+            alpha[k] = own[k] + _sum([top[m], *(alpha[j] + side(f) for j, f in zip(range(m, upto), self.sides[k]))])
+            top[k + 1] = _sum([top[k], alpha[k]])
+        # beta[k]: all that may follow segment k; a far segment l follows any k < near[l], a near one its own sides
+        total, follow = top[n], [[0.0] for _ in range(n)]
+        pairs: list[tuple[int, int, str | None]] = [(j, k, f) for k in range(n) for j, f in zip(range(self.near[k], self.upto[k]), self.sides[k])]
+        after = {k: [] for k in range(n)}
+        for j, k, f in pairs:
+            after[j].append((k, f))
+        beta = [0.0] * n
+        for k in range(n - 1, -1, -1):
+            values = follow[k]
+            values += [own[x] + beta[x] for x in range(k + 1, n) if k < self.near[x]]
+            values += [own[x] + beta[x] + side(f) for x, f in after[k]]
+            beta[k] = _sum(values)
+        own_p = [exp(min(0.0, a + b - total)) for a, b in zip(alpha, beta)]
+        expected: dict[str, float] = defaultdict(float)
+        for j, k, f in pairs:
+            if f:
+                expected[f] += exp(min(0.0, alpha[j] + side(f) + own[k] + beta[k] - total))
+        return own_p, expected, total
 
-def _at_most(ends: list[int], start: int, k: int) -> int:
-    """How many of the first k ends are at most `start`."""
-    while k and ends[k - 1] > start:
-        k -= 1
-    return k
+
+class Model:
+    """Weights of the features of segments as wholes, and of two segments side by side: a semi-Markov conditional random field."""
+
+    def __init__(self) -> None:
+        self.weights: dict[str, float] = defaultdict(float)
+
+    def score(self, text: str, c: Candidate) -> float:
+        w = self.weights
+        return sum(w.get(f, 0.0) for f in features(text, c))
+
+    def best(self, text: str, found: list[Candidate]) -> list[Candidate]:
+        """The most probable segmentation's entities."""
+        if len(found) == 1:
+            return found if self.score(text, found[0]) > 0 else []
+        lattice = Lattice(text, found)
+        return [lattice.order[k] for k in lattice.best([self.score(text, c) for c in lattice.order], self.weights)]
 
 
 # -------------------------------------------------------------------------------------------------------------------- training
@@ -262,12 +328,15 @@ Invoice (D) covers the manual.|Part no. (P) is listed in the index.|Order no. 74
 """
 
 
-def _sentence(template: str, rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
+#: What made-up names, towns and hosts consist of.
+_SYLLABLES = "ba dor ven mil ska tor ra lin mo fel gar hu sen wy ox per ali qua zin bre tha ol und ark isk eth".split()
+_GIVEN = "予岚墨汀砚秋云舟听澜书棠北辰晚笙若漪景珩知渺亦峦安宁子轩雨桐明远文静思齐海洋志强"
+
+
+def _sentence(template: str, rng: random.Random, syllables: list[str] = _SYLLABLES, han: str = _GIVEN) -> tuple[str, list[tuple[int, int, str]]]:
     """A template filled in, and its entities."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    syllables = "ba dor ven mil ska tor ra lin mo fel gar hu sen wy ox per ali qua zin bre tha ol und ark isk eth".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice((2, 2, 3)))).capitalize()
-    han = "予岚墨汀砚秋云舟听澜书棠北辰晚笙若漪景珩知渺亦峦安宁子轩雨桐明远文静思齐海洋志强"
 
     def mobile() -> str:
         a, b, c = "1" + rng.choice("3456789") + d(1), d(4), d(4)
@@ -317,47 +386,73 @@ def _sentence(template: str, rng: random.Random) -> tuple[str, list[tuple[int, i
     return text, gold
 
 
-@cache
-def trained(sentences: int = 6000, epochs: int = 3, seed: int = 5) -> Model:
-    """The model after averaged structured updates on generated sentences, with a margin for wrong spans."""
+def sentences_of(templates: list[str], count: int, seed: int, **names) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts made of templates, with their entities; some begin or end in the middle, as contexts do, but in no entity."""
     rng = random.Random(seed)
-    templates = [t for line in _TEMPLATES.strip().splitlines() for t in re.split(r"(?<! )\|(?! )", line)]
     filler = ["The survey office published it. ", "审校人员表示，清单已经更正。", "Es ist nicht klar. ", "On ne sait pas encore. ", "", "", "", "\n"]
     data = []
-    for _ in range(sentences):
+    for _ in range(count):
         template = rng.choice(templates)
         before = "" if template[:3] in ("{n}", "{z}") and template[3:4] in ",（。，" else rng.choice(filler)
-        text, gold = _sentence(template, rng)
+        text, gold = _sentence(template, rng, **names)
         table = "|" in text or ";" in text or "\t" in text or "   " in text
         before = "\n" if table else before
-        data.append((before + text + ("" if template.endswith("，{z}") else rng.choice(("", "\n", "\nThe end.") if table else ("", " ", "\n"))), [(a + len(before), b + len(before), t) for a, b, t in gold]))
+        text, gold = before + text + ("" if template.endswith("，{z}") else rng.choice(("", "\n", "\nThe end.") if table else ("", " ", "\n"))), [(a + len(before), b + len(before), t) for a, b, t in gold]
+        edges = [k for k in range(len(text) + 1) if not any(a < k < b for a, b, _ in gold)]
+        low = rng.choice([a for a, *_ in gold] or edges) if rng.random() < 0.12 else rng.choice(edges) if rng.random() < 0.1 else 0
+        high = rng.choice([b for _, b, _ in gold] or edges) if rng.random() < 0.12 else rng.choice(edges) if rng.random() < 0.1 else len(text)
+        if low < high:
+            text, gold = text[low:high], [(a - low, b - low, t) for a, b, t in gold if low <= a and b <= high]
+        data.append((text, gold))
+    return data
+
+
+def templates() -> list[str]:
+    return [t for line in _TEMPLATES.strip().splitlines() for t in re.split(r"(?<! )\|(?! )", line)]
+
+
+def fit(data: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 4, rate: float = 0.3, ridge: float = 1e-4, seed: int = 5) -> Model:
+    """The weights of the highest conditional likelihood of the entities given the texts, by stochastic gradients with adapted rates.
+
+    The gradient of a text is what is expected of each feature given its entities less what is expected without knowing them, both by the
+    forward and backward sums over all segmentations. Several candidates of one span may stand for an entity; given the entities, these are the
+    segmentations with each of them.
+    """
+    rng = random.Random(seed)
+    texts = []
+    for text, gold in data:
+        lattice = Lattice(text, candidates(text))
+        if lattice.order:
+            texts.append((lattice, [features(text, c) for c in lattice.order], [(c.start, c.end, c.type) in set(gold) for c in lattice.order]))
     model = Model()
-    total: dict[str, float] = defaultdict(float)
-    step = 0
+    w, seen = model.weights, defaultdict(float)
     for _ in range(epochs):
-        rng.shuffle(data)
-        for text, gold in data:
-            step += 1
-            found = candidates(text)
-            right = {(a, b, t) for a, b, t in gold}
-            truth = [c for c in found if (c.start, c.end, c.type) in right]
-            # one candidate stands for each true span; kinds of the same span share the update
-            costs = {c: (-1.0 if (c.start, c.end, c.type) in right else 1.0) for c in found}
-            told = model.best(text, found, costs)
-            want = {(c.start, c.end, c.type) for c in truth}
-            got = {(c.start, c.end, c.type) for c in told}
-            if want == got:
-                continue
-            for sign, chosen in ((1.0, [c for c in truth if (c.start, c.end, c.type) not in got]), (-1.0, [c for c in told if (c.start, c.end, c.type) not in want])):
-                for c in chosen:
-                    for f in features(text, c):
-                        model.weights[f] += sign
-                        total[f] += sign * step
-    averaged = Model()
-    for f, w in model.weights.items():
-        if value := round(w - total[f] / max(1, step), 4):
-            averaged.weights[f] = value
-    return averaged
+        rng.shuffle(texts)
+        for lattice, own, right in texts:
+            scores = [sum(w.get(f, 0.0) for f in fs) for fs in own]
+            p, sides, _ = lattice.marginals(scores, w)
+            given = [x + 60.0 if r else -inf for x, r in zip(scores, right)]  # with each entity, and with no other segment
+            q, right_sides, _ = lattice.marginals(given, w) if any(right) else ([0.0] * len(p), {}, 0.0)
+            gradient: dict[str, float] = defaultdict(float)
+            for fs, a, b in zip(own, q, p):
+                if abs(a - b) > 1e-4:
+                    for f in fs:
+                        gradient[f] += a - b
+            for f in {*sides, *right_sides}:
+                gradient[f] += right_sides.get(f, 0.0) - sides.get(f, 0.0)
+            for f, g in gradient.items():
+                g -= ridge * w.get(f, 0.0)
+                seen[f] += g * g
+                w[f] += rate * g / (sqrt(seen[f]) + 1e-6)
+    out = Model()
+    out.weights.update({f: round(x, 4) for f, x in w.items() if abs(x) >= 5e-5})
+    return out
+
+
+@cache
+def trained(count: int = 6000, seed: int = 5) -> Model:
+    """The model fitted on generated texts."""
+    return fit(sentences_of(templates(), count, seed))
 
 
 def find(text: str, model: Model) -> list[tuple[int, int, str]]:
@@ -367,11 +462,13 @@ def find(text: str, model: Model) -> list[tuple[int, int, str]]:
         return []
     out: list[tuple[int, int, str]] = []
     group: list[Candidate] = []
-    for c in found:  # spans far apart don't bear on each other
-        if group and c.start - max(g.end for g in group[-8:]) > 12:
+    end = 0
+    for c in found:  # segments that are not near any before them don't bear on these
+        if group and c.start - end > NEAR:
             out += [(g.start, g.end, g.type) for g in model.best(text, group)]
             group = []
         group.append(c)
+        end = max(end, c.end)
     out += [(g.start, g.end, g.type) for g in model.best(text, group)]
     return out
 
