@@ -48,6 +48,11 @@ def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.repaired(table(spark, sf, "documents"))
 
 
+def p4_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of scanned documents, repaired."""
+    return scanned.repaired_blocks(table(spark, sf, "documents"), table(spark, sf, "document_blocks"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of cases in train and outside it with the same or nearly the same text."""
     return overlap.overlaps(table(spark, sf, "detection_cases"))

@@ -262,6 +262,41 @@ def test_repaired_where_they_stand(spark):
     assert text[1].replace(" ", "").startswith((ZH.replace("脚注", "脚注12份") * 2)[:-1]) and not set("丁汪杌") & set(text[1])
 
 
+def test_repaired_blocks(spark):
+    clean = (EN + "The editor met the office and checked the long index because two totals disagreed in the whole plan and manual with the follow-up. ") * 5
+    own = docs(spark, [BROKEN_TWICE, clean, clean]).withColumn("file_type", F.when(F.col("doc_id") < 1, "pdf").otherwise("txt"))
+    lines, at, rows = BROKEN_TWICE.split("\n"), 0, []
+    for k, x in enumerate(lines):
+        rows.append((100 + k, 0, k, at, at + len(x)))
+        at += len(x) + 1
+    rows += [rows[0], (200, 0, 50, 4, len(lines[0]) + 6), (201, 1, 0, 0, 9), (202, 0, 51, None, 9)]
+    blocks = spark.createDataFrame(rows, "block_row_id bigint, doc_id bigint, block_index int, global_start int, global_end int")
+    text = {r.block_row_id: r.text for r in scanned.repaired_blocks(own, blocks).collect()}
+    assert set(text) == {*range(100, 100 + len(lines)), 200}
+    assert text[100] == lines[0] and text[101].endswith("checked the glossary") and text[103] == "" and text[105].startswith(", because two totals") and "The editor met the editor" in text[106]
+    assert text[200] == lines[0][4:] + "\n" + lines[1][:5]
+
+
+def test_alike_lines_against_all_pairs():
+    rng = random.Random(31)
+    for _ in range(60):
+        lines = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(25)]
+        lines += [x[:-1] + "z" for x in lines[:8]] + lines[:3]
+        grams = {k: scanned._grams(x) for k, x in enumerate(lines)}
+        truth = {(a, b) for a in grams for b in grams if a != b and scanned._alike(grams[a], grams[b]) >= scanned.ALIKE}
+        found = {(a, b) for a, b, _ in scanned._alike_lines(list(grams), grams)}
+        assert found <= truth and {a for a, _ in truth} == {a for a, _ in found}
+        assert {(a, b) for a, b in truth if grams[a] != grams[b]} == {(a, b) for a, b in found if grams[a] != grams[b]}
+
+
+def test_page_numbers_by_classifier():
+    w = scanned.page_classifier()
+    lines = ["the long text of a page that goes on", "and on until the page ends with a", "— 12 —", "word of the next page, which is as long as", "12 copies of it.", "and so on until its end, when there is", "— 13 —", "2031-04-12", "3. third item"]
+    parts = {k: x for k, x in enumerate(lines) if scanned._may_number(x, 40)}
+    others = scanned._pages_of(parts)
+    assert {k for k, x in parts.items() if scanned.page_features(x, lines, k, others, 40) @ w > 0} == {2, 6}
+
+
 def test_edge_signs(spark):
     """The first two and the last two signs of a scanned text are judged as well."""
     scan = HAN_SCAN.strip().translate(str.maketrans("丁汪杌", "。注机")).replace("好\n。", "好\n了") + "。"
