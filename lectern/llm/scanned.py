@@ -467,44 +467,80 @@ def _placed_signs(line: str) -> list[tuple[str, int]]:
     return [("a" if m[1] else "0" if m[0][0].isdecimal() else m[0], m.start()) for m in _SIGN.finditer(line)]
 
 
-def _occurrences(doc_id: int, text: str) -> list[tuple]:
-    """(doc_id, line_no, role, unit, second, at, place, size): furniture, words, broken words and Han windows of a scanned text.
-
-    role is furniture, word, joined (letters taken together, second with them apart), broken (unit the joined word, second the word with its hyphen, at the length of its first part) or han (unit
-    a window of five signs). place and size tell where in its line the word, or the sign in the middle of a window, stands; null for all others.
-    """
-    lines = text.split("\n")
-    apart, body = _body(lines, is_broken(text))
-    out: list[tuple] = [(doc_id, k, "furniture", kind, None, 0, None, None) for k, kinds in apart.items() for kind in kinds]
-    skip: set[tuple[int, int]] = set()
-    for n, k in enumerate(body):
-        m = _HYPHEN.search(lines[k])
-        if m and n + 1 < len(body):
-            j = body[n + 1]
-            following = _TOKEN.search(lines[j])
-            if following and any(c.isalpha() for c in following[0]) and following[0][0] not in _STRIP:
-                head, tail = _clean(m[1]) or m[1].casefold(), following[0].strip(_STRIP).casefold()
-                out.append((doc_id, k, "broken", head + tail, f"{head}-{tail}", len(head) if m[2] == "-" else -len(head), None, None))
-                out.append((doc_id, j, "tail", head + tail, None, len(head), None, None))
-                skip |= {(k, lines[k].rfind(" ", 0, m.start(1) + 1) + 1), (j, following.start())}
-    for k in body:
-        for m in _TOKEN.finditer(lines[k]):
-            if _LIGATURES.search(m[0]):
-                out.append((doc_id, k, "joined", m[0], unicodedata.normalize("NFKC", m[0]), 0, m.start(), len(m[0])))
-            elif (k, m.start()) not in skip and (t := _clean(m[0])):
-                before = len(m[0]) - len(m[0].lstrip(_STRIP))
-                out.append((doc_id, k, "word", t, None, 0, m.start() + before, len(m[0].strip(_STRIP))))
-    if _HAN.search(text):
-        signs, owner = [], []
+class _Reading:
+    """What the scanned texts of a batch hold: few rows of furniture and broken words, and the places of each different word and Han window."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.units: dict[tuple[str, str], int] = {}
+        self.owner, self.docs, self.lines, self.places, self.sizes = [], [], [], [], []
+        self._tokens: dict[str, tuple[str, int, int]] = {}
+
+    def _token(self, raw: str) -> tuple[str, int, int]:
+        """(its word, where that begins in it, its length)."""
+        known = self._tokens.get(raw)
+        if known is None:
+            known = self._tokens[raw] = (_clean(raw), len(raw) - len(raw.lstrip(_STRIP)), len(raw.strip(_STRIP)))
+        return known
+
+    def _place(self, role: str, unit: str, doc_id: int, line: int, place: int, size: int) -> None:
+        key = (role, unit)
+        self.owner.append(self.units.setdefault(key, len(self.units)))
+        self.docs.append(doc_id)
+        self.lines.append(line)
+        self.places.append(place)
+        self.sizes.append(size)
+
+    def read(self, doc_id: int, text: str) -> None:
+        lines = text.split("\n")
+        apart, body = _body(lines, is_broken(text))
+        rows = self.rows
+        rows += [(doc_id, k, "furniture", kind, None, 0) for k, kinds in apart.items() for kind in kinds]
+        skip: set[tuple[int, int]] = set()
+        for n, k in enumerate(body):
+            m = _HYPHEN.search(lines[k])
+            if m and n + 1 < len(body):
+                j = body[n + 1]
+                following = _TOKEN.search(lines[j])
+                if following and any(c.isalpha() for c in following[0]) and following[0][0] not in _STRIP:
+                    head, tail = _clean(m[1]) or m[1].casefold(), following[0].strip(_STRIP).casefold()
+                    rows.append((doc_id, k, "broken", head + tail, f"{head}-{tail}", len(head) if m[2] == "-" else -len(head)))
+                    rows.append((doc_id, j, "tail", head + tail, None, len(head)))
+                    skip |= {(k, lines[k].rfind(" ", 0, m.start(1) + 1) + 1), (j, following.start())}
+        words = 0
         for k in body:
-            for c, at in _placed_signs(lines[k]):
-                signs.append(c)
-                owner.append((k, at))
-        joined = _EDGE * 2 + "".join(signs) + _EDGE * 2
-        for i, (k, at) in enumerate(owner):
-            if _HAN.match(joined[i + 2]):
-                out.append((doc_id, k, "han", joined[i : i + 5], None, 0, at, 1))
-    return out
+            for m in _TOKEN.finditer(lines[k]):
+                if _LIGATURES.search(m[0]):
+                    self._place("joined", m[0], doc_id, k, m.start(), len(m[0]))
+                elif (k, m.start()) not in skip:
+                    word, before, size = self._token(m[0])
+                    if word:
+                        words += 1
+                        self._place("word", word, doc_id, k, m.start() + before, size)
+        if words:
+            rows.append((doc_id, None, "words", None, None, words))
+        if _HAN.search(text):
+            signs, owner = [], []
+            for k in body:
+                for c, at in _placed_signs(lines[k]):
+                    signs.append(c)
+                    owner.append((k, at))
+            joined = _EDGE * 2 + "".join(signs) + _EDGE * 2
+            for i, (k, at) in enumerate(owner):
+                if _HAN.match(joined[i + 2]):
+                    self._place("han", joined[i : i + 5], doc_id, k, at, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        order = np.argsort(np.array(self.owner, np.int64), kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(np.array(self.owner, np.int64), minlength=len(self.units)))])
+        taken = [pa.array(np.array(x, t)[order]) for x, t in ((self.docs, np.int64), (self.lines, np.int32), (self.places, np.int32), (self.sizes, np.int32))]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(taken, ["doc_id", "line_no", "place", "size"]))
+        n, m = len(self.rows), len(self.units)
+        columns = list(zip(*self.rows)) if n else [()] * 6
+        more = ([None] * m, [None] * m, [r for r, _ in self.units], [u for _, u in self.units], [unicodedata.normalize("NFKC", u) if r == "joined" else None for r, u in self.units], [None] * m)
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+        arrays = [pa.array([*c, *x], t) for c, x, t in zip(columns, more, kinds)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.concat_arrays([pa.nulls(n, lists.type), lists])], names=["doc_id", "line_no", "role", "unit", "second", "at", "places"])
 
 
 def is_scan(docs: DataFrame):
@@ -517,16 +553,22 @@ def _strings(values) -> pa.Array:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The words, broken words and Han windows of all scanned texts, and the furniture of those that are columns of prose."""
+    """The words, broken words and Han windows of all scanned texts, and the furniture of those that are columns of prose.
+
+    role is furniture (unit its kind), broken (unit the joined word, second the word with its hyphen, at the length of its first part, below zero where
+    the hyphen is no plain one), tail (the line in which it ends), words (at their number in a text), or, with all their places in a batch of texts in
+    one row: word, joined (letters taken together, second with them apart) and han (a window of five signs). A place tells where in its line the word, or the sign in the
+    middle of a window, stands. Texts that share words share rows, so what is joined later are different words, not all words.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [x for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) for x in _occurrences(d, t)]
-        columns = list(zip(*rows)) if rows else [[]] * 8
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "line_no", "role", "unit", "second", "at", "place", "size"])
+        reading = _Reading()
+        for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            reading.read(d, t)
+        return reading.batch()
 
     source = docs.where(is_scan(docs)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_arrow(spread(source), lambda: work, "doc_id bigint, line_no int, role string, unit string, second string, at int, place int, size int")
+    return map_arrow(spread(source), lambda: work, "doc_id bigint, line_no int, role string, unit string, second string, at int, places array<struct<doc_id:bigint,line_no:int,place:int,size:int>>")
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -670,26 +712,29 @@ def noise(docs: DataFrame) -> DataFrame:
     windows_often = max(CORRECTION, math.ceil(2 * SHARE * (every.windows or 0)))
     known = vocab.where(F.col("n") >= words_known).select(F.col("unit").alias("known_unit"))
     # words with a hyphen of their own may stand in scanned texts only
-    own = found.where("role = 'word' and instr(unit, '-') > 0").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    own = found.where("role = 'word' and instr(unit, '-') > 0").groupBy("unit").agg(F.sum(F.size("places")).alias("n"))
     seen = cut(vocab.where(~F.col("unit").rlike(_HAN.pattern)).select("unit", "n").unionByName(own).groupBy("unit").agg(F.sum("n").alias("n")))
-    spoken = found.where("role in ('word', 'broken')").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    unknown = cut(spoken.join(known, F.col("unit") == F.col("known_unit"), "left_anti").where(F.length("unit") >= 3).select("unit"))
-    strange = found.where("role = 'word'").select("doc_id", "unit").join(unknown.withColumn("strange", F.lit(1)), "unit", "left").groupBy("doc_id").agg(F.avg(F.coalesce("strange", F.lit(0))).alias("share")).where(F.col("share") >= STRANGE).select("doc_id")
+    spoken = found.where("role in ('word', 'broken')").select("unit").distinct()
+    unknown = cut(spoken.join(known, F.col("unit") == F.col("known_unit"), "left_anti").where(F.length("unit") >= 3))
+    places = lambda frame, *columns: frame.select(*columns, F.explode("places").alias("p")).select(*columns, "p.*")
+    odd = places(found.where("role = 'word'").select("unit", "places").join(unknown, "unit", "left_semi")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("odd"))
+    strange = odd.join(found.where("role = 'words'").select("doc_id", "at"), "doc_id").where(F.col("odd") >= STRANGE * F.col("at")).select("doc_id").distinct()
     fixes = cut(word_corrections(unknown, vocab, words_often))
     furniture_rows = found.where("role = 'furniture'").select("doc_id", "line_no", F.col("unit").alias("noise_kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("correction"), *nowhere)
-    taken = found.where("role = 'joined'").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", F.col("second").alias("correction"), "place", "size")
-    misread = found.where("role = 'word'").join(fixes.select("unit", "correction"), "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", "place", "size")
-    broken = found.where("role = 'broken'").join(seen.select("unit", F.col("n").alias("joined_n")), "unit", "left").join(seen.select(F.col("unit").alias("second"), F.col("n").alias("hyphen_n")), "second", "left").join(fixes.select("unit", "correction"), "unit", "left")
+    shape = ["doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", "place", "size"]
+    taken = places(found.where("role = 'joined'").select("unit", F.col("second").alias("correction"), "places"), "unit", "correction").select(*shape)
+    misread = places(found.where("role = 'word'").select("unit", "places").join(fixes.select("unit", "correction"), "unit"), "unit", "correction").select(*shape)
+    broken = found.where("role = 'broken'").drop("places").join(seen.select("unit", F.col("n").alias("joined_n")), "unit", "left").join(seen.select(F.col("unit").alias("second"), F.col("n").alias("hyphen_n")), "second", "left").join(fixes.select("unit", "correction"), "unit", "left")
     joined_n, hyphen_n = F.coalesce("joined_n", F.lit(0)), F.coalesce("hyphen_n", F.lit(0))
     w = hyphen_weights(vocab.where(~F.col("unit").rlike(_HAN.pattern) & (F.col("n") >= words_known)), seen.where(F.contains("unit", F.lit("-")) & (F.col("n") >= words_known)))
     really = F.lit(w[0]) + w[1] * (F.col("at") < 0).cast("int") + w[2] * F.log1p(joined_n) - w[3] * F.log1p(hyphen_n) + w[4] * (joined_n >= hyphen_n).cast("int") > 0
     hyphens = broken.where(really).select("doc_id", "line_no", F.lit("hyphen").alias("noise_kind"), "unit", F.coalesce("correction", "unit").alias("correction"), *nowhere)
     # a misread sign in a broken word stands in the line that holds it
-    parts = found.where("role in ('broken', 'tail')").drop("place").join(fixes, "unit").where(F.when(F.col("role") == "broken", F.col("place") < F.abs("at")).otherwise(F.col("place") >= F.abs("at")))
+    parts = found.where("role in ('broken', 'tail')").drop("places").join(fixes, "unit").where(F.when(F.col("role") == "broken", F.col("place") < F.abs("at")).otherwise(F.col("place") >= F.abs("at")))
     misparts = parts.select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", *nowhere)
-    han = found.where("role = 'han'")
+    han = found.where("role = 'han'").select("unit", "places")
     han_fixes = cut(han_corrections(han.select("unit").distinct(), vocab, windows_often))
-    signs = han.join(han_fixes, "unit").select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", "place", "size")
+    signs = places(han.join(han_fixes, "unit"), "unit", "correction").select(*shape)
     told = misread.unionByName(misparts).unionByName(signs).join(strange, "doc_id", "left_anti")
     return furniture_rows.unionByName(told).unionByName(taken).unionByName(hyphens)
 
