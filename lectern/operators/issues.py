@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as lex
-from ..functions.masks import Page, Stretches, word_pattern
+from ..functions.masks import Page, Stretches, standing
 from ..functions.text import texts_of
 from ..session import map_arrow, ship, spread
 from .rules import Options, findings
@@ -34,7 +34,7 @@ def raw_issues(docs: DataFrame, options: Options = Options(), doc_id: str = "doc
             if not found:
                 continue
             page = Page(t)
-            shields = Stretches(m.span() for _, s in options.glossary if s.strip() for m in word_pattern(s.strip()).finditer(t))
+            shields = Stretches(span for _, s in options.glossary if s.strip() for span in standing(t, s.strip()))
             for check, k, f in found:
                 a, b = max(0, f.start - 15), min(len(t), f.end + 15)
                 rows.append((d, check, k, f.type, f.severity, f.rule_id, f.start, f.end, t[f.start : f.end], f.suggestion, f.confidence, list(f.alternatives) or None, page.technical.touches(f.start, f.end), shields.covers(f.start, f.end), ("..." if a else "") + t[a:b] + ("..." if b < len(t) else "")))
@@ -123,9 +123,13 @@ def summary(issues: DataFrame) -> DataFrame:
     return sets.select(dimension.alias("dimension"), F.coalesce("type", "severity", "rule_id", "layer", F.lit("")).alias("key"), F.col("n").cast("bigint").alias("n"))
 
 
+# Rules whose suggestions tell what to do instead of what to write.
+MANUAL = ("mixed_num_format", "mixed_date_format", "numbering_gap", "numbering_order", "numbering_duplicate", "missing_conjunction_pair", "banned_word")
+
+
 def auto_fixable(issues: DataFrame) -> DataFrame:
-    """auto_fixable: there is a suggestion, and it changes the text."""
-    return issues.withColumn("auto_fixable", F.coalesce(F.col("suggestion") != F.col("original"), F.lit(False)))
+    """auto_fixable: there is a suggestion that changes the text, and no hand is needed."""
+    return issues.withColumn("auto_fixable", F.coalesce(F.col("suggestion") != F.col("original"), F.lit(False)) & ~F.col("rule_id").isin(*MANUAL))
 
 
 def located(issues: DataFrame, blocks: DataFrame, width: int = 4096) -> DataFrame:
