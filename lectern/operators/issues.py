@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..functions import lexicon as lex
 from ..functions.masks import Page, Stretches, standing
 from ..functions.text import texts_of
 from ..session import map_arrow, ship, spread
+from . import scenarios
 from .rules import Options, findings
 
 #: More raw findings than this in one document are an error of the document, not of the job.
@@ -19,29 +22,45 @@ _SCHEMA = "doc_id bigint, check_ord int, emit_ord int, type string, severity str
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.string()]
 
 
-def raw_issues(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Fields of a settings column and the options they stand for.
+_SETTINGS = {"scenario": "scenario", "enable_security": "security", "enable_sensitive": "sensitive", "enable_ad_extreme": "ad_extreme", "enable_extended_rules": "extended", "custom_glossary": "glossary", "banned_words": "banned"}
+
+
+def own_options(options: Options, settings: dict | None) -> Options:
+    """The options with a row's settings in place of their own; null and absent fields change nothing. A glossary is a list of original and standard."""
+    changed = {_SETTINGS[k]: v for k, v in (settings or {}).items() if k in _SETTINGS and v is not None}
+    if "glossary" in changed:
+        changed["glossary"] = tuple((g["original"] or "", g["standard"] or "") for g in changed["glossary"] if g)
+    if "banned" in changed:
+        changed["banned"] = tuple(w for w in changed["banned"] if w)
+    return replace(options, **changed) if changed else options
+
+
+def raw_issues(docs: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text", settings: str | None = None) -> DataFrame:
     """Every finding of the selected rules with its place in the order of checks, before any is dropped.
 
     technical: touches technical text; shielded: inside a standard form of the glossary. Null, empty and blank texts have none; repeated
-    rows repeat theirs. One narrow pass that reads the id and the text only.
+    rows repeat theirs. settings names a struct column by which each row has options of its own. One narrow pass that reads the id, the text and that.
     """
     ship(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            found = findings(t, options)
+        own = batch.column(2).to_pylist() if settings else [None] * batch.num_rows
+        for d, t, mine in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), own):
+            chosen = own_options(options, mine)
+            found = findings(t, chosen)
             if not found:
                 continue
             page = Page(t)
-            shields = Stretches(span for _, s in options.glossary if s.strip() for span in standing(t, s.strip()))
+            shields = Stretches(span for _, s in chosen.glossary if s.strip() for span in standing(t, s.strip()))
             for check, k, f in found:
                 a, b = max(0, f.start - 15), min(len(t), f.end + 15)
                 rows.append((d, check, k, f.type, f.severity, f.rule_id, f.start, f.end, t[f.start : f.end], f.suggestion, f.confidence, list(f.alternatives) or None, page.technical.touches(f.start, f.end), shields.covers(f.start, f.end), ("..." if a else "") + t[a:b] + ("..." if b < len(t) else "")))
         columns = list(zip(*rows)) if rows else [[]] * len(_KINDS)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *([F.col(settings).alias("settings")] if settings else []))
     return map_arrow(spread(source), lambda: work, _SCHEMA)
 
 
@@ -105,7 +124,12 @@ def issues_of(docs: DataFrame, options: Options = Options(), **columns: str) ->
 
     All post-processing is per document on positions and short strings; the texts don't leave the first pass.
     """
-    found = unshielded(unprotected(with_defaults(raw_issues(docs, options, **columns))))
+    return of_findings(raw_issues(docs, options, **columns))
+
+
+def of_findings(raw: DataFrame) -> DataFrame:
+    """The issues that raw findings give."""
+    found = unshielded(unprotected(with_defaults(raw)))
     return numbered(family_distinct(exact_distinct(found))).drop("technical", "shielded")
 
 
@@ -132,15 +156,49 @@ def auto_fixable(issues: DataFrame) -> DataFrame:
     return issues.withColumn("auto_fixable", F.coalesce(F.col("suggestion") != F.col("original"), F.lit(False)) & ~F.col("rule_id").isin(*MANUAL))
 
 
+def canonical(docs: DataFrame, options: Options = Options(), terms: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, place, rule_id, type, severity, layer, start, end, original, suggestion, confidence, context: the issues of the rules and behind them those
+    of each document's scenario, in the order of layers, then in their own.
+
+    Columns doc_id, text, scenario, file_type. Scenario issues have no suggestion, belong to the layer of discourse and show 40 signs on either side.
+    """
+    columns = ["doc_id", "source", "nth", "rule_id", "type", "severity", "layer", "start", "end", "original", "suggestion", "confidence", "context"]
+    base = issues_of(docs, options).withColumn("source", F.lit(0)).withColumn("nth", F.col("issue_index")).select(*columns)
+    told = scenarios.scenario_issues(docs, terms)
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "rule_id")
+    own = told.withColumn("source", F.lit(1)).withColumn("nth", F.row_number().over(order)).withColumn("type", F.lit("expression")).withColumn("layer", F.lit("discourse")).withColumn("suggestion", F.lit(None).cast("string")).select(*columns)
+    rank = _table({x: k for k, x in enumerate(lex.LAYER_ORDER)}, F.col("layer"), len(lex.LAYER_ORDER))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, "source", "nth")) - 1
+    return base.unionByName(own).select("doc_id", place.alias("place"), *columns[3:])
+
+
+def adapted(recorded: DataFrame, docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, issue_row_id, start, end, original, block_index, block_start, block_end, auto_fixable: recorded findings as issues of their texts.
+
+    recorded: doc_id, issue_row_id, rule_id, start, end, original, suggestion. An end that is not behind its start is where `original` ends, if that
+    stands there; what has no place in the text is dropped. The original is what the text holds. Only the findings' slices of the texts
+    go on. Repeated rows count once.
+    """
+    rows = recorded.select("doc_id", "issue_row_id", "rule_id", "start", "end", "original", "suggestion").distinct()
+    met = rows.join(docs.select("doc_id", "text").where("text is not null"), "doc_id")
+    size, reach = F.length("text"), F.col("start") + F.length("original")
+    stands = (F.length("original") > 0) & (reach <= size) & (F.col("text").substr(F.col("start") + 1, F.length("original")) == F.col("original"))
+    end = F.when(F.col("end") > F.col("start"), F.col("end")).when(stands, reach)
+    kept = met.where((F.col("start") >= 0) & (F.col("start") <= size)).withColumn("end", end).where((F.col("end") > F.col("start")) & (F.col("end") <= size))
+    sliced = kept.withColumn("original", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))).drop("text")
+    return located(auto_fixable(sliced), blocks).drop("block_id", "rule_id", "suggestion")
+
+
 def located(issues: DataFrame, blocks: DataFrame, width: int = 4096) -> DataFrame:
     """The first block of its document that holds each issue, by an equi-join on document and stretches of `width` signs.
 
-    Issues in no block keep null columns. Repeated block rows count once.
+    Issues in no block keep null columns. Repeated block rows count once. Each issue carries a number of its own through the join, and what else it
+    has as one struct.
     """
-    own = blocks.select("doc_id", "block_index", "block_id", "global_start", "global_end").distinct().withColumn("slot", F.explode(F.sequence(F.floor(F.col("global_start") / width), F.floor(F.greatest("global_start", F.col("global_end") - 1) / width))))
-    slotted = issues.withColumn("slot", F.floor(F.col("start") / width))
-    keys = [c for c in issues.columns]
+    own = blocks.select("doc_id", "block_index", "block_id", "global_start", "global_end").where("global_end >= global_start").distinct().withColumn("slot", F.explode(F.sequence(F.floor(F.col("global_start") / width), F.floor(F.greatest("global_start", F.col("global_end") - 1) / width))))
+    keys = issues.columns
+    slotted = issues.select("doc_id", "start", "end", F.floor(F.col("start") / width).alias("slot"), F.struct(*keys).alias("row"), F.xxhash64(*keys).alias("issue_no"))
     met = slotted.join(own, ["doc_id", "slot"], "left").withColumn("inside", (F.col("global_start") <= F.col("start")) & (F.col("end") <= F.col("global_end")))
     at = F.when(F.col("inside"), F.struct("block_index", "block_id", (F.col("start") - F.col("global_start")).alias("block_start"), (F.col("end") - F.col("global_start")).alias("block_end")))
-    found = met.groupBy(*keys).agg(F.min(at).alias("at"))
-    return found.select(*keys, "at.block_index", "at.block_id", "at.block_start", "at.block_end")
+    found = met.groupBy("doc_id", "start", "end", "issue_no").agg(F.min(at).alias("at"), F.first("row").alias("row"))
+    return found.select("row.*", "at.block_index", "at.block_id", "at.block_start", "at.block_end")

@@ -6,6 +6,7 @@ Rules about amounts, parties to contracts and duties are business rules and are
 from __future__ import annotations
 
 import datetime
+import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -36,7 +37,7 @@ _DATED = re.compile(r"[ \t]*(开始日期|结束日期|Start date|End date)[ \t]
 _CLAUSE, _CLAUSE_NAMED = re.compile(r"^[ \t]*第([0-9]{1,3}|[零一二三四五六七八九十百]{1,6})条", re.M), re.compile(r"本合同第([0-9]{1,3}|[零一二三四五六七八九十百]{1,6})条")
 _HEADLINE, _LEAD = re.compile(r"^[ \t]*标题[：:]([^\r\n]+)", re.M), re.compile(r"^[ \t]*导语[：:]([^\r\n]+)", re.M)
 _COUNTED = re.compile(r"[ \t]*([^。！？，；：、（）()\n\d]{1,80}(?:造成|导致|共有|共|新增|新建))([0-9]{1,9})(人(?:受伤|死亡|失踪)|家企业|所学校|家医院|座桥梁)[。！]?\s*")
-_UNSURE = re.compile("预计|预期|预测|估计|估算|计划|规划|拟|可能|或|将|有望|力争|争取|约|近|至少|至多|最多|不少于|不超过|超过|不足|未|不|没有")
+_UNSURE = re.compile("预计|预期|预测|估计|估算|计划|规划|拟|可能|或|将|有望|力争|争取|约|近|至少|至多|最多|不少于|不超过|超过|不足|未|不|没有|[零〇一二三四五六七八九十百千万亿两]+(?:年|月|日|家|所|座|人|个|次|项|台|辆)")
 _DAY = r"([0-9]{4})(?:年|-)([0-9]{1,2})(?:月|-)([0-9]{1,2})日?"
 _PUBLISHED, _RELATIVE = re.compile(r"^[ \t]*发布日期[：:][ \t]*" + _DAY + r"[ \t]*\r?$", re.M), re.compile(r"(今日|昨日|明日)[（(]" + _DAY + r"[）)]")
 _TIME_BASIS = re.compile(r"(?:以|按)[^。！？\r\n]{1,60}(?:为|作为)(?:(?:叙述|叙事|时间|日期|报道)?基准|准)|(?:叙述|叙事|时间|日期)(?:基准|参照)[：:]")
@@ -44,16 +45,24 @@ _VAGUE = re.compile("据统计(?!局)|有数据显示")
 _SOURCE = re.compile(r"(?:数据|统计|信息|消息|资料)(?:来自|来源于|来源[：:])[ \t]*[^\s，,。！？；;（）()：:]+|(?:^|[（(，,；;])[ \t]*来源[：:][ \t]*[^\s，,。！？；;（）()：:]+|(?:根据|据)[ \t]*[^，,。！？；;（）()\r\n]{1,60}(?:发布|公布|报告|调查|统计|数据)|(?:来自|出自)[^，,。！？；;（）()\r\n]{1,60}的(?:数据|统计|报告|调查)")
 _RELEASE = r"([0-9]{1,6}(?:\.[0-9]{1,6}){0,2})"
 _VERSIONS = re.compile(r"^[ \t]*支持版本[：:][ \t]*" + _RELEASE + r"[ \t]+-[ \t]+" + _RELEASE + r"[ \t]*\r?\n\s*?[ \t]*当前版本[：:][ \t]*" + _RELEASE + r"[ \t]*\r?$", re.M)
-_STEPS, _STEP, _STEP_NAMED = re.compile(r"^[ \t]*操作步骤[：:][ \t]*\r?$", re.M), re.compile(r"[ \t]*步骤([1-9][0-9]{0,3})[：:]"), re.compile(r"(?:返回|转到|跳转到|参见)(步骤([1-9][0-9]{0,3}))")
+_STEPS, _STEP, _STEP_NAMED = re.compile(r"^[ \t]*操作步骤[：:][ \t]*\r?$", re.M), re.compile(r"^[ \t]*步骤([1-9][0-9]{0,3})[：:]", re.M), re.compile(r"(?:返回|转到|跳转到|参见)(步骤([1-9][0-9]{0,3}))")
+_PARAMETERS, _EXAMPLE = re.compile(r"^[ \t]*参数定义[：:][ \t]*\r?$", re.M), re.compile(r"^[ \t]*示例[：:][ \t]*\r?$", re.M)
+_PARAMETER = re.compile(r"[ \t]*`?([A-Za-z][A-Za-z0-9_]*)`?[：:][^\n]+")
+_FENCED = re.compile(r"\s*```json[ \t]*\r?\n(?P<body>[^`]+)\r?\n```[ \t]*(?:\r?\n|$)")
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _KINDS = {"图": "figure", "figure": "figure", "表": "table", "table": "table"}
 
 
 class Prose(Page):
-    """A text that knows what is quoted, and its lines."""
+    """A text that knows what is quoted, its lines, and the standard forms of the glossary."""
+
+    def __init__(self, text: str, terms: frozenset[str] = frozenset()):
+        super().__init__(text)
+        self.terms = terms
 
     @cached_property
     def quoted(self) -> Stretches:
-        spans = [m.span() for m in re.finditer(r'"[^"]*"|“[^“”]*”|‘[^‘’]*’|「[^「」]*」|(?m:^ {0,3}>)(?:[^\n]+\n?)+', self.text)]
+        spans = [m.span() for m in re.finditer(r'"[^"]*"|“[^“”]*”|‘[^‘’]*’|「[^「」]*」|(?m:^ {0,3}>)(?:[^\n]*\S[^\n]*(?:\n|\Z))+', self.text)]
         return Stretches(spans)
 
     def plain(self, start: int, end: int) -> bool:
@@ -110,6 +119,9 @@ def abbreviations(page: Prose) -> Iterator[Span]:
                 known = {}
                 continue
             meaning = " ".join(m[2].casefold().split())
+            if page.terms & {m[1].casefold(), meaning}:
+                known = {}
+                continue
             latin, han = bool(re.search("[a-z]", meaning)), bool(re.search("[一-鿿]", meaning))
             if latin != han:
                 if known.get((m[1], han), meaning) != meaning:
@@ -205,53 +217,88 @@ def versions(page: Prose) -> Iterator[Span]:
 
 
 def steps(page: Prose) -> Iterator[Span]:
-    """Named steps beyond the last of the only sequence of steps, numbered from one throughout."""
+    """Named steps beyond the last of the only sequence of steps, numbered from one throughout; a step before the heading ends the rule."""
     heads = page.hits(_STEPS)
     if len(heads) != 1 or re.search("摘录|节选|示例流程", page.text):
         return
-    found = [_STEP.match(x) for x in page.text[heads[0].end() :].splitlines() if x.strip()]
-    if len(found) < 2 or not all(found) or [int(m[1]) for m in found] != [*range(1, len(found) + 1)]:
+    begin = heads[0].end()
+    if not all(_STEP.match(x) for x in page.text[begin:].splitlines() if x.strip()):
+        return
+    found = page.hits(_STEP)
+    if len(found) < 2 or found[0].start() < begin or [int(m[1]) for m in found] != [*range(1, len(found) + 1)]:
         return
     for m in page.hits(_STEP_NAMED):
-        if m.start() > heads[0].end() and int(m[2]) > len(found):
+        if m.start() > begin and int(m[2]) > len(found):
             yield m.span(1)
 
 
+def _alike(name: str) -> str:
+    return name.lower().replace("_", "")
+
+
+def parameters(page: Prose) -> Iterator[Span]:
+    """Keys of the only example, a flat object, that differ from a defined parameter in case or underscores only. The example is technical text."""
+    defined, shown = page.hits(_PARAMETERS), page.hits(_EXAMPLE)
+    if len(defined) != 1 or len(shown) != 1 or defined[0].end() >= shown[0].start():
+        return
+    lines = [_PARAMETER.fullmatch(x) for x in page.text[defined[0].end() : shown[0].start()].strip().splitlines()]
+    block = _FENCED.match(page.text, shown[0].end())
+    if not lines or not all(lines) or not block:
+        return
+    names = {_alike(m[1]): m[1] for m in lines}
+    body, at = block["body"], block.start("body")
+    outside = _STRING.sub("", body).strip()
+    if len(names) < len(lines) or outside[:1] != "{" or outside[-1:] != "}" or re.search(r"[\"{}\[\]]", outside[1:-1]):
+        return
+    try:
+        keys = [k for k, _ in json.loads(body, object_pairs_hook=list)]
+    except ValueError:
+        return
+    if len(keys) > len(set(keys)):
+        return
+    for m in _STRING.finditer(body):
+        key = m[0][1:-1]
+        if re.fullmatch("[A-Za-z][A-Za-z0-9_]*", key) and re.match(r"\s*:", body[m.end() :]) and names.get(_alike(key), key) != key:
+            yield at + m.start() + 1, at + m.end() - 1
+
+
 #: scenario -> (rule, whether it needs the whole structure of a plain text, severity, confidence, function)
 RULES: dict[str, tuple[tuple[str, bool, str, float, Callable[[Prose], Iterator[Span]]], ...]] = {
     "academic": (("citation_reference", True, "warning", 0.85, citations), ("caption_reference", True, "warning", 0.85, captions), ("abbreviation_definition", False, "warning", 0.85, abbreviations)),
     "business": (("date_order", False, "warning", 0.85, date_order),),
     "legal": (("missing_clause", True, "warning", 0.85, clauses),),
     "news": (("headline_count", False, "warning", 0.85, headline), ("relative_date", False, "warning", 0.85, relative_dates), ("vague_source", False, "info", 0.7, vague_sources)),
-    "technical": (("version_range", False, "warning", 0.85, versions), ("missing_step", True, "warning", 0.85, steps)),
+    "technical": (("parameter_spelling", False, "warning", 0.85, parameters), ("version_range", False, "warning", 0.85, versions), ("missing_step", True, "warning", 0.85, steps)),
 }
 COMPLETE_TYPES = ("txt", "md", "markdown")
 
 
-def scenario_findings(text: str, scenario: str, complete: bool) -> list[tuple[int, int, str, str, float]]:
+def scenario_findings(text: str, scenario: str, complete: bool, terms: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, float]]:
     """(start, end, rule_id, severity, confidence) in order, each once."""
-    if not text.strip():
+    own = RULES.get(scenario, ())
+    if not own or not text.strip():
         return []
-    page = Prose(text)
-    return sorted({(a, b, f"scenario.{scenario}.{name}", severity, sure) for name, whole, severity, sure, f in RULES.get(scenario, ()) if complete or not whole for a, b in f(page)})
+    page = Prose(text, terms)
+    return sorted({(a, b, f"scenario.{scenario}.{name}", severity, sure) for name, whole, severity, sure, f in own if complete or not whole for a, b in f(page)})
 
 
-def scenario_issues(docs: DataFrame) -> DataFrame:
-    """doc_id, rule_id, severity, confidence, start, end, original of the scenario rules of each document; columns text, scenario, file_type.
+def scenario_issues(docs: DataFrame, terms: tuple[str, ...] = (), doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, rule_id, severity, confidence, start, end, original, context of the scenario rules of each document; columns text, scenario, file_type.
 
-    Null and unknown scenarios have no rules; null and blank texts no issues.
+    terms are standard forms of a glossary. Null and unknown scenarios have no rules; null and blank texts no issues.
     """
     ship(docs.sparkSession)
+    standard = frozenset(t.strip().casefold() for t in terms if t.strip())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts, scenarios, types = batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        rows = [(d, r, v, c, a, b, t[a:b]) for d, t, s, k in zip(ids, texts, scenarios, types) for a, b, r, v, c in scenario_findings(t, s or "", (k or "").lower() in COMPLETE_TYPES)]
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "rule_id", "severity", "confidence", "start", "end", "original"])
+        rows = [(d, r, v, c, a, b, t[a:b], t[max(0, a - 40) : b + 40]) for d, t, s, k in zip(ids, texts, scenarios, types) for a, b, r, v, c in scenario_findings(t, s or "", (k or "").lower() in COMPLETE_TYPES, standard)]
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "rule_id", "severity", "confidence", "start", "end", "original", "context"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "scenario", "file_type")
-    return map_arrow(spread(source), lambda: work, "doc_id bigint, rule_id string, severity string, confidence double, start int, end int, original string")
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), "text", "scenario", "file_type").where(F.col("scenario").isin(*RULES))
+    return map_arrow(spread(source), lambda: work, "doc_id bigint, rule_id string, severity string, confidence double, start int, end int, original string, context string")
 
 
 def skipped_rules(docs: DataFrame) -> DataFrame:

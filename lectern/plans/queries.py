@@ -189,7 +189,7 @@ def skipped_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_'']', ' ', 'g'), '[A-Za-z0-9_'']+')) AS w FROM documents), f AS (SELECT w AS word, count(*) AS n FROM t WHERE regexp_full_match(w, '[a-z]{3,32}') GROUP BY w),
-    c AS (SELECT a.word, b.word AS candidate, b.n FROM f a JOIN f b ON a.n < 5 AND b.n >= 5 AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1),
+    c AS (SELECT a.word, b.word AS candidate, b.n FROM f a JOIN f b ON a.n < 5 AND b.n >= 5 AND abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) = 1),
     r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS second FROM c WINDOW w AS (PARTITION BY word ORDER BY n DESC, candidate)),
     s AS (SELECT word, n >= 10 AND n >= 5 * coalesce(second, 0) AS confident FROM r WHERE place = 1)
     SELECT r.word, r.place, r.candidate, r.n, s.confident FROM r JOIN s USING (word) WHERE r.place <= 3""")
