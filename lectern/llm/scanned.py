@@ -30,6 +30,8 @@ BROKEN = 0.4
 SHARE, KNOWN, CORRECTION = 2e-7, 2, 3
 #: From this share of unknown words on, a text is not in a language whose words are known, and none of them is taken for misread.
 STRANGE = 0.5
+#: Letters by which a misread word differs at most from the right one: two for each sign that was taken for two, and one more.
+MOST_EDITS = 3
 #: Most frequent known words that the ranking is fitted on at most.
 FIT_WORDS = 2000
 #: What scanners take for what.
@@ -468,29 +470,34 @@ def _placed_signs(line: str) -> list[tuple[str, int]]:
 
 
 class _Reading:
-    """What the scanned texts of a batch hold: few rows of furniture and broken words, and the places of each different word and Han window."""
+    """What the scanned texts of a batch hold: few rows of furniture and broken words, and the places of each different word and Han window.
+
+    Places are kept as runs: of a text's line, how many there are, and then each one's unit, place and size.
+    """
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
         self.units: dict[tuple[str, str], int] = {}
-        self.owner, self.docs, self.lines, self.places, self.sizes = [], [], [], [], []
-        self._tokens: dict[str, tuple[str, int, int]] = {}
-
-    def _token(self, raw: str) -> tuple[str, int, int]:
-        """(its word, where that begins in it, its length)."""
-        known = self._tokens.get(raw)
-        if known is None:
-            known = self._tokens[raw] = (_clean(raw), len(raw) - len(raw.lstrip(_STRIP)), len(raw.strip(_STRIP)))
+        self.owner: list[int] = []
+        self.places: list[int] = []
+        self.sizes: list[int] = []
+        self.runs: list[tuple[int, int, int]] = []
+        self._tokens: dict[str, tuple[int, int, int]] = {}
+        self._windows: dict[str, int] = {}
+
+    def _unit(self, role: str, unit: str) -> int:
+        return self.units.setdefault((role, unit), len(self.units))
+
+    def _token(self, raw: str) -> tuple[int, int, int]:
+        """(its unit, or -1; where that begins in it; its length)."""
+        if _LIGATURES.search(raw):
+            known = (self._unit("joined", raw), 0, len(raw))
+        else:
+            word = _clean(raw)
+            known = (self._unit("word", word) if word else -1, len(raw) - len(raw.lstrip(_STRIP)), len(raw.strip(_STRIP)))
+        self._tokens[raw] = known
         return known
 
-    def _place(self, role: str, unit: str, doc_id: int, line: int, place: int, size: int) -> None:
-        key = (role, unit)
-        self.owner.append(self.units.setdefault(key, len(self.units)))
-        self.docs.append(doc_id)
-        self.lines.append(line)
-        self.places.append(place)
-        self.sizes.append(size)
-
     def read(self, doc_id: int, text: str) -> None:
         lines = text.split("\n")
         apart, body = _body(lines, is_broken(text))
@@ -498,7 +505,7 @@ class _Reading:
         rows += [(doc_id, k, "furniture", kind, None, 0) for k, kinds in apart.items() for kind in kinds]
         skip: set[tuple[int, int]] = set()
         for n, k in enumerate(body):
-            m = _HYPHEN.search(lines[k])
+            m = _HYPHEN.search(lines[k]) if lines[k].rstrip()[-1:] in "-¬\xad‐" else None
             if m and n + 1 < len(body):
                 j = body[n + 1]
                 following = _TOKEN.search(lines[j])
@@ -507,39 +514,53 @@ class _Reading:
                     rows.append((doc_id, k, "broken", head + tail, f"{head}-{tail}", len(head) if m[2] == "-" else -len(head)))
                     rows.append((doc_id, j, "tail", head + tail, None, len(head)))
                     skip |= {(k, lines[k].rfind(" ", 0, m.start(1) + 1) + 1), (j, following.start())}
-        words = 0
+        owner, places, sizes, tokens = self.owner, self.places, self.sizes, self._tokens
+        first = len(owner)
         for k in body:
+            before_line = len(owner)
             for m in _TOKEN.finditer(lines[k]):
-                if _LIGATURES.search(m[0]):
-                    self._place("joined", m[0], doc_id, k, m.start(), len(m[0]))
-                elif (k, m.start()) not in skip:
-                    word, before, size = self._token(m[0])
-                    if word:
-                        words += 1
-                        self._place("word", word, doc_id, k, m.start() + before, size)
-        if words:
-            rows.append((doc_id, None, "words", None, None, words))
+                raw = m[0]
+                unit, before, size = tokens.get(raw) or self._token(raw)
+                if unit >= 0:
+                    at = m.start()
+                    if not skip or (k, at) not in skip:
+                        owner.append(unit)
+                        places.append(at + before)
+                        sizes.append(size)
+            self.runs.append((doc_id, k, len(owner) - before_line))
+        if len(owner) > first:
+            rows.append((doc_id, None, "words", None, None, len(owner) - first))
         if _HAN.search(text):
-            signs, owner = [], []
-            for k in body:
-                for c, at in _placed_signs(lines[k]):
-                    signs.append(c)
-                    owner.append((k, at))
-            joined = _EDGE * 2 + "".join(signs) + _EDGE * 2
-            for i, (k, at) in enumerate(owner):
-                if _HAN.match(joined[i + 2]):
-                    self._place("han", joined[i : i + 5], doc_id, k, at, 1)
+            placed = [_placed_signs(lines[k]) for k in body]
+            joined = _EDGE * 2 + "".join(c for line in placed for c, _ in line) + _EDGE * 2
+            windows, i = self._windows, 0
+            for k, line in zip(body, placed):
+                before_line = len(owner)
+                for c, at in line:
+                    if "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff":
+                        window = joined[i : i + 5]
+                        unit = windows.get(window)
+                        if unit is None:
+                            unit = windows[window] = self._unit("han", window)
+                        owner.append(unit)
+                        places.append(at)
+                    i += 1
+                n = len(owner) - before_line
+                sizes += [1] * n
+                self.runs.append((doc_id, k, n))
 
     def batch(self) -> pa.RecordBatch:
-        order = np.argsort(np.array(self.owner, np.int64), kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(np.array(self.owner, np.int64), minlength=len(self.units)))])
-        taken = [pa.array(np.array(x, t)[order]) for x, t in ((self.docs, np.int64), (self.lines, np.int32), (self.places, np.int32), (self.sizes, np.int32))]
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(taken, ["doc_id", "line_no", "place", "size"]))
+        owner = np.array(self.owner, np.int64)
+        order = np.argsort(owner, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(self.units)))])
+        docs, lines, counts = (np.array(x, np.int64) for x in zip(*self.runs)) if self.runs else (np.zeros(0, np.int64),) * 3
+        columns = (np.repeat(docs, counts), np.repeat(lines, counts).astype(np.int32), np.array(self.places, np.int32), np.array(self.sizes, np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(x[order]) for x in columns], ["doc_id", "line_no", "place", "size"]))
         n, m = len(self.rows), len(self.units)
-        columns = list(zip(*self.rows)) if n else [()] * 6
+        few = list(zip(*self.rows)) if n else [()] * 6
         more = ([None] * m, [None] * m, [r for r, _ in self.units], [u for _, u in self.units], [unicodedata.normalize("NFKC", u) if r == "joined" else None for r, u in self.units], [None] * m)
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
-        arrays = [pa.array([*c, *x], t) for c, x, t in zip(columns, more, kinds)]
+        arrays = [pa.array([*c, *x], t) for c, x, t in zip(few, more, kinds)]
         return pa.RecordBatch.from_arrays([*arrays, pa.concat_arrays([pa.nulls(n, lists.type), lists])], names=["doc_id", "line_no", "role", "unit", "second", "at", "places"])
 
 
@@ -609,7 +630,7 @@ def _candidates(unknown: DataFrame, vocab: DataFrame, often: int) -> DataFrame:
     left = unknown.select("unit", F.length("unit").alias("size"), groups("unit").alias("u_groups")).withColumn("need", F.greatest(F.lit(2), F.col("size") - 4))
     ranked = left.select("*", F.explode("u_groups").alias("gram")).join(counts, "gram", "left").groupBy("unit", "size", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram"))).alias("order"))
     asked = ranked.select("unit", "size", "need", F.explode(F.slice("order", 1, F.greatest(F.lit(1), F.size("order") - F.col("need") + 1))).alias("g")).select("unit", "size", "need", "g.gram", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("length"))
-    met = asked.join(right.select("candidate", "n", "length", F.explode("c_groups").alias("gram")), ["gram", "length"]).select("unit", "need", "candidate", "n").distinct()
+    met = asked.join(right.select("candidate", "n", "length", F.explode("c_groups").alias("gram")), ["gram", "length"]).select("unit", "need", "candidate", "n").where(F.levenshtein("unit", "candidate", MOST_EDITS) >= 0).distinct()
     return met.where(F.size(F.array_intersect(groups("unit"), groups("candidate"))) >= F.col("need")).select("unit", "candidate", "n")
 
 
