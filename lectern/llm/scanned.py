@@ -30,8 +30,8 @@ BROKEN = 0.4
 SHARE, KNOWN, CORRECTION = 2e-7, 2, 3
 #: From this share of unknown words on, a text is not in a language whose words are known, and none of them is taken for misread.
 STRANGE = 0.5
-#: Letters by which a misread word differs at most from the right one: two for each sign that was taken for two, and one more.
-MOST_EDITS = 3
+#: Letters by which a misread word differs from the right one: two where a sign was taken for two, and in long words a quarter of them, at most.
+MOST_EDITS = 2
 #: Most frequent known words that the ranking is fitted on at most.
 FIT_WORDS = 2000
 #: What scanners take for what.
@@ -630,7 +630,7 @@ def _candidates(unknown: DataFrame, vocab: DataFrame, often: int) -> DataFrame:
     left = unknown.select("unit", F.length("unit").alias("size"), groups("unit").alias("u_groups")).withColumn("need", F.greatest(F.lit(2), F.col("size") - 4))
     ranked = left.select("*", F.explode("u_groups").alias("gram")).join(counts, "gram", "left").groupBy("unit", "size", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram"))).alias("order"))
     asked = ranked.select("unit", "size", "need", F.explode(F.slice("order", 1, F.greatest(F.lit(1), F.size("order") - F.col("need") + 1))).alias("g")).select("unit", "size", "need", "g.gram", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("length"))
-    met = asked.join(right.select("candidate", "n", "length", F.explode("c_groups").alias("gram")), ["gram", "length"]).select("unit", "need", "candidate", "n").where(F.levenshtein("unit", "candidate", MOST_EDITS) >= 0).distinct()
+    met = asked.join(right.select("candidate", "n", "length", F.explode("c_groups").alias("gram")), ["gram", "length"]).select("unit", "need", "candidate", "n").where(F.levenshtein("unit", "candidate") <= F.greatest(F.lit(MOST_EDITS), F.floor(F.length("unit") / 4))).distinct()
     return met.where(F.size(F.array_intersect(groups("unit"), groups("candidate"))) >= F.col("need")).select("unit", "candidate", "n")
 
 
@@ -738,13 +738,15 @@ def noise(docs: DataFrame) -> DataFrame:
     spoken = found.where("role in ('word', 'broken')").select("unit").distinct()
     unknown = cut(spoken.join(known, F.col("unit") == F.col("known_unit"), "left_anti").where(F.length("unit") >= 3))
     places = lambda frame, *columns: frame.select(*columns, F.explode("places").alias("p")).select(*columns, "p.*")
-    odd = places(found.where("role = 'word'").select("unit", "places").join(unknown, "unit", "left_semi")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("odd"))
-    strange = odd.join(found.where("role = 'words'").select("doc_id", "at"), "doc_id").where(F.col("odd") >= STRANGE * F.col("at")).select("doc_id").distinct()
-    fixes = cut(word_corrections(unknown, vocab, words_often))
+    odd = cut(places(found.where("role = 'word'").select("unit", "places").join(unknown, "unit", "left_semi"), "unit"))
+    strange = cut(odd.groupBy("doc_id").agg(F.count(F.lit(1)).alias("odd")).join(found.where("role = 'words'").select("doc_id", "at"), "doc_id").where(F.col("odd") >= STRANGE * F.col("at")).select("doc_id").distinct())
+    broken_units = found.where("role = 'broken'").select("doc_id", "unit").join(unknown, "unit", "left_semi")
+    asked = odd.select("doc_id", "unit").unionByName(broken_units).join(strange, "doc_id", "left_anti").select("unit").distinct()
+    fixes = cut(word_corrections(asked, vocab, words_often))
     furniture_rows = found.where("role = 'furniture'").select("doc_id", "line_no", F.col("unit").alias("noise_kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("correction"), *nowhere)
     shape = ["doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", "place", "size"]
     taken = places(found.where("role = 'joined'").select("unit", F.col("second").alias("correction"), "places"), "unit", "correction").select(*shape)
-    misread = places(found.where("role = 'word'").select("unit", "places").join(fixes.select("unit", "correction"), "unit"), "unit", "correction").select(*shape)
+    misread = odd.join(fixes.select("unit", "correction"), "unit").select(*shape)
     broken = found.where("role = 'broken'").drop("places").join(seen.select("unit", F.col("n").alias("joined_n")), "unit", "left").join(seen.select(F.col("unit").alias("second"), F.col("n").alias("hyphen_n")), "second", "left").join(fixes.select("unit", "correction"), "unit", "left")
     joined_n, hyphen_n = F.coalesce("joined_n", F.lit(0)), F.coalesce("hyphen_n", F.lit(0))
     w = hyphen_weights(vocab.where(~F.col("unit").rlike(_HAN.pattern) & (F.col("n") >= words_known)), seen.where(F.contains("unit", F.lit("-")) & (F.col("n") >= words_known)))
