@@ -9,15 +9,15 @@ from pyspark.sql.window import Window
 
 def page_kinds(blocks: DataFrame) -> DataFrame:
     """doc_id, page, page_kind: scanned where boxes hold no text, mixed where half the blocks or more have boxes, else text."""
-    own = blocks.where("page is not null").select("doc_id", "block_index", "kind", "page", "text", F.col("bbox").isNotNull().alias("boxed")).distinct()
-    pages = own.groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.when(F.col("kind") != "image", F.length("text"))), F.lit(0)).alias("chars"), F.count_if("boxed").alias("boxes"), F.count(F.lit(1)).alias("blocks"))
+    own = blocks.where("page is not null").select("doc_id", "block_index", "kind", "page", F.length("text").alias("signs"), F.col("bbox").isNotNull().alias("boxed")).distinct()
+    pages = own.groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.when(F.col("kind") != "image", F.col("signs"))), F.lit(0)).alias("chars"), F.count_if("boxed").alias("boxes"), F.count(F.lit(1)).alias("blocks"))
     kind = F.when((F.col("chars") == 0) & (F.col("boxes") > 0), "scanned").when((F.col("boxes") * 2 >= F.col("blocks")) & (F.col("chars") > 0), "mixed").otherwise("text")
     return pages.select("doc_id", "page", kind.alias("page_kind"))
 
 
 def joined_offsets(blocks: DataFrame) -> DataFrame:
     """doc_id, block_index, joined_start, joined_end: the blocks with a text one after another, a line break between."""
-    own = blocks.select("doc_id", "block_index", F.length("text").alias("n"), "text").distinct().where("text <> ''")
+    own = blocks.select("doc_id", "block_index", F.length("text").alias("n")).where("n > 0").distinct()
     upto = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("block_index").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return own.select("doc_id", "block_index", (upto - F.col("n") - 1).cast("bigint").alias("joined_start"), (upto - 1).cast("bigint").alias("joined_end"))
 

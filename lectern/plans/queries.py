@@ -154,25 +154,6 @@ def issue_budget(spark: SparkSession, sf: str) -> DataFrame:
     return issues.budget(_documents(spark, sf), limit=50)
 
 
-@query()
-def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    """Precision and recall of grammar findings against the expected ones, per group of cases."""
-    cases = table(spark, sf, "detection_cases").dropDuplicates(["case_id"])
-    found = issues.raw_issues(cases, rules.Options(security=False, sensitive=False), doc_id="case_id").select(F.col("doc_id").alias("case_id"), "start", "end", "type")
-    expected = cases.select("case_id", F.explode("expected").alias("e")).select("case_id", "e.start", "e.end", "e.type")
-    return jobs.evaluate(found, expected, cases)
-
-
-@query("""WITH c AS (SELECT DISTINCT case_id, case_group, expected FROM detection_cases), e AS (SELECT case_id, case_group, unnest(expected) AS x FROM c),
-    k AS (SELECT case_id, case_group, x.start AS s, x."end" AS f, x.type AS t, count(*) AS n FROM e GROUP BY ALL)
-    SELECT case_group, CAST(sum(n) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(1 AS DOUBLE) AS "precision", CAST(1 AS DOUBLE) AS recall FROM k GROUP BY ROLLUP (case_group)""")
-def evaluated_expected(spark: SparkSession, sf: str) -> DataFrame:
-    """The evaluation of the expected findings against themselves."""
-    cases = table(spark, sf, "detection_cases").select("case_id", "case_group", "expected").distinct()
-    expected = cases.select("case_id", F.explode("expected").alias("e")).select("case_id", "e.start", "e.end", "e.type")
-    return jobs.evaluate(expected, expected, cases)
-
-
 @query()
 def scenario_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Issues of the consistency rules of each document's scenario."""
@@ -281,13 +262,13 @@ def repeated_boxes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_ISSUES} SELECT rule_id, severity, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM v GROUP BY rule_id, severity")
 def recorded_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded issues by rule and severity."""
-    return table(spark, sf, "verification_issues").distinct().groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return table(spark, sf, "verification_issues").select("issue_row_id", "rule_id", "severity", "confidence").distinct().groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 @query(f"{_ISSUES} SELECT CASE issue_type {' '.join(f'WHEN {t!r} THEN {lex.LAYER_LABELS[x]!r}' for t, x in lex.LAYERS.items())} ELSE '语篇/语体层' END AS layer_label, count(*) AS n FROM v GROUP BY 1")
 def localized_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded issues by the label of their type's layer."""
-    own = table(spark, sf, "verification_issues").distinct().withColumn("own_layer", issues._table(lex.LAYERS, F.col("issue_type"), "discourse"))
+    own = table(spark, sf, "verification_issues").select("issue_row_id", "issue_type").distinct().withColumn("own_layer", issues._table(lex.LAYERS, F.col("issue_type"), "discourse"))
     return own.groupBy(issues._table(lex.LAYER_LABELS, F.col("own_layer"), "").alias("layer_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -296,13 +277,13 @@ def issue_order(spark: SparkSession, sf: str) -> DataFrame:
     """The place of each recorded issue in its document."""
     kind = F.when(F.col("issue_type") == "custom_term", 0).when(F.col("issue_type") == "banned_word", 1).otherwise(2)
     order = Window.partitionBy("doc_id").orderBy("start_pos", "end_pos", kind, "issue_row_id")
-    return table(spark, sf, "verification_issues").distinct().select("issue_row_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
+    return table(spark, sf, "verification_issues").select("issue_row_id", "doc_id", "start_pos", "end_pos", "issue_type").distinct().select("issue_row_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
 
 
 @query(f"{_ISSUES} SELECT issue_row_id FROM v WHERE confidence < 0.85 AND coalesce(layer, '') <> 'security' AND issue_type NOT LIKE 'pii%' AND issue_type NOT IN ('banned_word', 'custom_term', 'variant_char')")
 def review_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded issues that a reviewer should see."""
-    own = table(spark, sf, "verification_issues").distinct()
+    own = table(spark, sf, "verification_issues").select("issue_row_id", "confidence", "layer", "issue_type").distinct()
     return own.where((F.col("confidence") < 0.85) & (F.coalesce("layer", F.lit("")) != "security") & ~F.col("issue_type").startswith("pii") & ~F.col("issue_type").isin("banned_word", "custom_term", "variant_char")).select("issue_row_id")
 
 
@@ -311,7 +292,7 @@ def review_candidates(spark: SparkSession, sf: str) -> DataFrame:
     SELECT issue_row_id, coalesce(reach > start_pos, false) OR coalesce(nxt < end_pos, false) OR same > 1 AS conflict FROM o""")
 def edit_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Which recorded issues can't all be accepted."""
-    own = table(spark, sf, "verification_issues").distinct().select("doc_id", F.col("issue_row_id").alias("edit_id"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))
+    own = table(spark, sf, "verification_issues").select("doc_id", F.col("issue_row_id").alias("edit_id"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end")).distinct()
     return edits.conflicts(own).select(F.col("edit_id").alias("issue_row_id"), "conflict")
 
 
@@ -319,8 +300,8 @@ def edit_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 def edited_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the recorded suggestions put in, where these fit their text and don't conflict."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    own = table(spark, sf, "verification_issues").distinct().where("suggestion is not null").select("doc_id", F.col("issue_row_id").alias("edit_id"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "original", F.col("suggestion").alias("replacement"))
-    return edits.apply_edits(docs, edits.valid(own, docs)).select("doc_id", F.sha2("text", 256).alias("text_hash"), "edits")
+    own = table(spark, sf, "verification_issues").where("suggestion is not null").select("doc_id", F.col("issue_row_id").alias("edit_id"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "original", F.col("suggestion").alias("replacement")).distinct()
+    return edits.apply_edits(docs, own).select("doc_id", F.sha2("text", 256).alias("text_hash"), "edits")
 
 
 @query("WITH t AS (SELECT doc_id, text, '编辑' AS w FROM documents) SELECT doc_id, CAST((length(text) - length(replace(text, w, ''))) // length(w) AS BIGINT) AS places FROM t WHERE contains(text, w)")
@@ -332,14 +313,14 @@ def literal_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def review_sample(spark: SparkSession, sf: str) -> DataFrame:
     """At most five recorded candidates of each document, shared out among types."""
-    own = table(spark, sf, "verification_issues").distinct().where("confidence < 0.85").select("doc_id", F.col("issue_row_id").alias("issue_index"), F.col("issue_type").alias("type"))
+    own = table(spark, sf, "verification_issues").where("confidence < 0.85").select("doc_id", F.col("issue_row_id").alias("issue_index"), F.col("issue_type").alias("type")).distinct()
     return review.sample(own, 5)
 
 
 @query()
 def issue_report(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's recorded issues as a table of markup."""
-    own = table(spark, sf, "verification_issues").distinct().withColumn("issue_index", F.col("issue_row_id"))
+    own = table(spark, sf, "verification_issues").select("doc_id", F.col("issue_row_id").alias("issue_index"), "rule_id", "severity", "original", "suggestion").distinct()
     return review.report(own)
 
 
@@ -353,7 +334,7 @@ def overlapping_blocks(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_ISSUES}, v2 AS (SELECT issue_row_id, severity, confidence, CASE issue_row_id % 3 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'uncertain' END AS verdict FROM v) SELECT issue_row_id, CASE WHEN verdict = 'uncertain' THEN 'info' ELSE severity END AS severity, CASE WHEN verdict = 'uncertain' THEN least(confidence, 0.55) ELSE confidence END AS confidence FROM v2 WHERE verdict IS DISTINCT FROM 'false_positive'")
 def judged_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded issues after made-up verdicts on two thirds of them."""
-    own = table(spark, sf, "verification_issues").distinct().select("doc_id", F.col("issue_row_id").alias("issue_index"), "severity", "confidence")
+    own = table(spark, sf, "verification_issues").select("doc_id", F.col("issue_row_id").alias("issue_index"), "severity", "confidence").distinct()
     verdicts = own.select("doc_id", "issue_index", F.when(F.col("issue_index") % 3 == 0, "false_positive").when(F.col("issue_index") % 3 == 1, "uncertain").alias("verdict")).where("verdict is not null")
     return review.judged(own, verdicts).select(F.col("issue_index").alias("issue_row_id"), "severity", "confidence")
 
@@ -399,3 +380,6 @@ def job_claims(spark: SparkSession, sf: str) -> DataFrame:
 def scenario_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """The checks of each scenario's profile."""
     return spark.createDataFrame([(s, c) for s, own in rules.PROFILES.items() for c in own], "scenario string, check_name string")
+
+
+from . import further  # noqa: E402, F401  registers its queries here
