@@ -21,6 +21,7 @@ CASES = (
     "a\n\n\n\nb  \n 行首空格",
     "请联系13800138000或test@example.com，卡号4111111111111111。",
     "目的是为了提高工作效率，原因是天气不好造成的。虽然下雨了。",
+    "免费赠送⼈工检查，，改善生活水平，避免事故不再发生。由于天气原因。",
 )
 
 
