@@ -26,6 +26,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 250, 1500
 SURE = 0.9
 #: Buckets for hashed character n-grams.
 BUCKETS = 1 << 16
+#: How much the share of Kana and the constant count beside an n-gram vector of length one.
+KANA_WEIGHT, BIAS = 100.0, 10.0
 #: Other spellings of the labels.
 SPELLED = {"zho": "zh", "chi": "zh", "cmn": "zh", "eng": "en", "jpn": "ja", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "kor": "ko", "tha": "th", "chinese": "zh", "english": "en", "japanese": "ja", "german": "de", "french": "fr", "spanish": "es", "russian": "ru", "korean": "ko", "thai": "th", "jp": "ja", "kr": "ko", "cn": "zh"}
 
@@ -256,14 +258,17 @@ class Identifier:
             w = _machine(both, np.where(in_family((f,))[latin], 1.0, -1.0), BUCKETS + len(every))
             self.latin[:, k], self.latin_script[:, k] = w[:BUCKETS], w[BUCKETS:]
         for k, f in enumerate(LATIN[:2]):
-            self.latin[:, 3 + k] = self._pair(units, own, FAMILIES[f], vectors)
-        self.han = np.zeros((BUCKETS, 1), np.float32)
-        self.han[:, 0] = self._pair(units, own, FAMILIES["han_kana"], None)
+            self.latin[:, 3 + k] = self._pair(own, FAMILIES[f], vectors)
+        # the share of Kana is a feature of this pair's machine, beside the n-grams
+        at = np.flatnonzero(np.isin(own, FAMILIES["han_kana"]))
+        rows = [(np.append(v, [BUCKETS, BUCKETS + 1]), np.append(x, [KANA_WEIGHT * script[i, KANA], BIAS])) for i, (v, x) in zip(at, _features([units[i][0] for i in at]))]
+        w = _machine(rows, np.where(own[at] == FAMILIES["han_kana"][0], 1.0, -1.0), BUCKETS + 2)
+        self.han, self.kana = w[:BUCKETS, None].astype(np.float32), w[BUCKETS:].tolist()
 
     @staticmethod
-    def _pair(units, own, pair: tuple[str, str], vectors) -> np.ndarray:
+    def _pair(own, pair: tuple[str, str], vectors) -> np.ndarray:
         at = np.flatnonzero(np.isin(own, pair))
-        rows = [vectors[i] for i in at] if vectors else _features([units[i][0] for i in at])
+        rows = [vectors[i] for i in at]
         return _machine(rows, np.where(own[at] == pair[0], 1.0, -1.0), BUCKETS)
 
     def languages(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -283,8 +288,7 @@ class Identifier:
                     out[k] = (FAMILIES[family][0], _confidence(sure[k]))
         han = np.flatnonzero(group == self.groups.index(("han_kana",)))
         if len(han):
-            # the share of Kana is the part of the pair's evidence that no n-gram list holds
-            pair = _sums(self.han, [texts[k] for k in han])[:, 0] + 40 * (0.05 - shares[han, KANA])
+            pair = _sums(self.han, [texts[k] for k in han])[:, 0] + self.kana[0] * KANA_WEIGHT * shares[han, KANA] + self.kana[1] * BIAS
             for k, s in zip(han.tolist(), pair.tolist()):
                 out[k] = (FAMILIES["han_kana"][0 if s > 0 else 1], _confidence(min(4 * abs(s), sure[k])))
         latin = np.flatnonzero((group == len(self.groups) - 1) & (shares[:, :2].sum(1) > 0))
@@ -329,7 +333,7 @@ def whole_sentence(unit: str) -> bool:
     """Whether a piece is a sentence of its own, not a heading, an entry or a remnant."""
     unit = unit.strip()
     n = len(unit)
-    if _WIDE.search(unit, 0, 60):
+    if _WIDE.search(unit):
         return n >= 8 and bool(_ENDS.search(unit))
     if _THAI.search(unit):
         return n >= 12
