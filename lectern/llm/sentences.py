@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import code_points, texts_of
 from ..session import cut, map_arrow, ship, spread
@@ -184,10 +185,11 @@ def compiled() -> tuple[np.ndarray, np.ndarray, int]:
     return nexts, begin, 0
 
 
-def run(symbols_: np.ndarray, block: int = 256) -> np.ndarray:
-    """Places where units begin. The input is cut into blocks; each block becomes a function from state to state, the functions are
-    composed by a prefix scan of doubling steps, and each block is then run from its own first state."""
-    nexts, begin, first = compiled()
+def run(symbols_: np.ndarray, block: int = 256, first: int | None = None) -> np.ndarray:
+    """Places where units begin, from a first state on. The input is cut into blocks; each block becomes a function from state to state, the functions
+    are composed by a prefix scan of doubling steps, and each block is then run from its own first state."""
+    nexts, begin, start = compiled()
+    first = start if first is None else first
     n = len(nexts) // SYMBOLS
     size = len(symbols_)
     if not size:
@@ -214,6 +216,27 @@ def run(symbols_: np.ndarray, block: int = 256) -> np.ndarray:
     return np.flatnonzero(out.T.reshape(-1)[:size])
 
 
+def function_of(symbols_: np.ndarray, block: int = 256) -> np.ndarray:
+    """The state that a stretch of input leads to from each state, composed of those of its blocks by halves."""
+    nexts, _, _ = compiled()
+    n = len(nexts) // SYMBOLS
+    full, rest = len(symbols_) // block, len(symbols_) % block
+    out = np.arange(n)
+    if full:
+        grid = np.ascontiguousarray(symbols_[: full * block].astype(np.intp).reshape(full, block).T) * n
+        functions = np.tile(np.arange(n), (full, 1))
+        for column in grid:
+            functions = nexts[functions + column[:, None]]
+        while len(functions) > 1:
+            half = len(functions) // 2
+            joined = np.take_along_axis(functions[1 : 2 * half : 2], functions[0 : 2 * half : 2], axis=1)
+            functions = np.concatenate([joined, functions[2 * half :]])
+        out = functions[0]
+    for c in symbols_[len(symbols_) - rest :]:
+        out = nexts[out + int(c) * n]
+    return out
+
+
 def units_of(texts: list[str]) -> list[list[tuple[int, int]]]:
     """(start, end) of the sentence units of each text, trimmed of white space."""
     points, bounds = code_points([t + "\n" for t in texts])
@@ -240,9 +263,91 @@ def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """doc_id, sent_no, sent_start, sent_end of every sentence unit, white space trimmed at both ends.
 
     A line break always ends a unit, and a line without marks is one. Null, empty and blank texts have no units; repeated rows repeat
-    theirs. One narrow pass; of the input only the positions leave it.
+    theirs. One narrow pass; of the input only the positions leave it. Texts of more than LONG signs are dealt to many tasks in chunks.
+    """
+    source = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    return _units(source.where(F.length("text") <= LONG)).unionByName(long_units(source.where(F.length("text") > LONG)))
+
+
+#: Signs of a text from which it is read in chunks by many tasks, of a chunk, and of the text on either side of a chunk by which its edges are read.
+LONG, CHUNK, EDGE = 2_000_000, 200_000, 1_000
+
+
+def chunked(text: str, chunk: int = CHUNK) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text: each ends behind its last line break, or where it has none, after `chunk` signs."""
+    out, start = [], 0
+    while start < len(text):
+        end = min(len(text), start + chunk)
+        if end < len(text):
+            at = text.rfind("\n", start, end)
+            end = at + 1 if at >= 0 else end
+        out.append((start, end))
+        start = end
+    return out
+
+
+def _chunk_symbols(piece: str, low: int, high: int) -> np.ndarray:
+    """The input of a chunk [low, high) of a piece of text, read with what stands around it."""
+    return symbols(piece, _table()[code_points([piece])[0]])[low:high]
+
+
+def long_units(source: DataFrame, chunk: int = CHUNK, edge: int = EDGE) -> DataFrame:
+    """The units of texts in chunks that many tasks read.
+
+    Each chunk becomes the function from state to state that the transducer is on it; the functions of a text, some forty numbers each, are composed in the order of the
+    chunks, which gives each its first state; from there the chunk is read again for its units. A unit that goes on over an edge is put together
+    from what the chunks say of their ends. A text twice in the table has its units twice.
     """
-    return _units(spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))))
+    ship(source.sparkSession)
+    numbered = source.withColumn("copy", F.monotonically_increasing_id())
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for d, t, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for n, (a, b) in enumerate(chunked(t, chunk)):
+                low, high = max(0, a - edge), min(len(t), b + edge)
+                rows.append((d, c, n, a, a - low, b - low, t[low:high]))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "copy", "chunk", "at", "low", "high", "piece"])
+
+    pieces = cut(map_arrow(numbered.select("doc_id", "text", "copy"), lambda: deal, "doc_id bigint, copy bigint, chunk int, at bigint, low int, high int, piece string").repartition("copy", "chunk"))
+
+    def function(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told = [function_of(_chunk_symbols(p, a, b)).tolist() for p, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.list_(pa.int32()))], names=["copy", "chunk", "f"])
+
+    functions = map_arrow(pieces.select("copy", "chunk", "piece", "low", "high"), lambda: function, "copy bigint, chunk int, f array<int>")
+    ordered = functions.groupBy("copy").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "f"))), lambda x: x["f"]).alias("fs"))
+    states = F.aggregate("fs", F.array(F.lit(compiled()[2])), lambda acc, f: F.concat(acc, F.array(F.get(f, F.element_at(acc, -1)))))
+    first = ordered.select("copy", F.posexplode(states).alias("chunk", "state"))
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for d, c, n, at, low, high, piece, state in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            begins = run(_chunk_symbols(piece, low, high), first=state).tolist()
+            body = piece[low:high]
+            stop = lambda a, b, body=body: a + len(body[a:b].rstrip())
+            lead = stop(0, begins[0] if begins else len(body))
+            own = [(at + a + len(body[a:b]) - len(body[a:b].lstrip()), at + stop(a, b)) for a, b in zip(begins, begins[1:])]
+            last = begins[-1] if begins else None
+            begin = None if last is None else at + last + len(body[last:]) - len(body[last:].lstrip())
+            rows.append((d, c, n, [{"start": a, "end": b} for a, b in own if b > a], at + lead if lead else None, begin, None if last is None else at + stop(last, len(body))))
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), span, pa.int64(), pa.int64(), pa.int64())
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "copy", "chunk", "own", "lead", "begin", "open"])
+
+    told = cut(map_arrow(pieces.join(first, ["copy", "chunk"]).select("doc_id", "copy", "chunk", "at", "low", "high", "piece", "state"), lambda: read, "doc_id bigint, copy bigint, chunk int, own array<struct<start:bigint,end:bigint>>, lead bigint, begin bigint, open bigint"))
+    # a unit open at a chunk's end goes on through the leads of the chunks after it, up to and with the next in which one begins
+    order = Window.partitionBy("copy").orderBy("chunk")
+    run_no = F.sum(F.col("begin").isNotNull().cast("int")).over(order)
+    marked = told.select("doc_id", "copy", "chunk", "lead", "begin", "open", run_no.alias("run"), (run_no - F.col("begin").isNotNull().cast("int")).alias("before"))
+    opened = marked.where("begin is not null").select("doc_id", "copy", "run", "begin", "open")
+    leads = marked.where("lead is not null").groupBy("copy", F.col("before").alias("run")).agg(F.max("lead").alias("lead"))
+    across = opened.join(leads, ["copy", "run"], "left").select("doc_id", "copy", F.col("begin").alias("start"), F.greatest("open", F.coalesce("lead", F.col("open"))).alias("end")).where("end > start")
+    within = told.select("doc_id", "copy", F.explode("own").alias("u")).select("doc_id", "copy", "u.start", "u.end")
+    number = F.row_number().over(Window.partitionBy("copy").orderBy("start")) - 1
+    return within.unionByName(across).select("doc_id", number.cast("int").alias("sent_no"), F.col("start").cast("int").alias("sent_start"), F.col("end").cast("int").alias("sent_end"))
 
 
 def _units(source: DataFrame) -> DataFrame:
@@ -282,4 +387,4 @@ def asked_sentences(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     asked = cut(tasks.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct())
     source = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     own = source.join(F.broadcast(asked) if asked.count() <= MOST_ASKED else asked, "doc_id", "left_semi")
-    return _units(own).select("doc_id", "sent_start", "sent_end")
+    return _units(own.where(F.length("text") <= LONG)).unionByName(long_units(own.where(F.length("text") > LONG))).select("doc_id", "sent_start", "sent_end")

@@ -444,6 +444,30 @@ def test_blocks_compose():
             assert sentences.run(symbols, block).tolist() == out
 
 
+def test_long_texts_in_chunks(spark):
+    rng = random.Random(41)
+    parts = [EN, DE, ZH, "Dr. Ames came. ", 'He said "yes. No." then. ', "กขค งจ ฉช ", "\n", "  ", "Fig. 3 of v2.1.0! ", "（好。）", "x" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (1, 5, 40, 120)] + ["word " * 200, " " * 500 + "A. B", texts_ := "One two. " * 60, texts_]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    want = [(k, n, a, b) for k, t in enumerate(texts) for n, (a, b) in enumerate(sentences.units_of([t])[0])]
+    assert sorted(tuple(r) for r in sentences.long_units(frame, chunk=173, edge=120).collect()) == want
+    assert sentences.long_units(frame.where("false")).count() == 0
+
+
+def test_functions_compose():
+    rng = np.random.default_rng(3)
+    nexts, _, first = sentences.compiled()
+    n = len(nexts) // sentences.SYMBOLS
+    for size in (0, 1, 255, 256, 257, 3000):
+        symbols = rng.integers(0, sentences.SYMBOLS, size).astype(np.uint8)
+        f = sentences.function_of(symbols)
+        for s in (first, 5, n - 1):
+            t = s
+            for c in symbols:
+                t = nexts[int(c) * n + t]
+            assert f[s] == t
+
+
 def test_sentence_tables(spark):
     rows = sentences.sentences(docs(spark, AWKWARD)).collect()
     assert {r.doc_id for r in rows} == {3, 4, 5, 6, 7, 8} and len([r for r in rows if r.doc_id == 5]) == 1800
