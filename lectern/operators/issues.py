@@ -49,10 +49,10 @@ def raw_issues(docs: DataFrame, options: Options = Options(), doc_id: str = "doc
         own = batch.column(2).to_pylist() if settings else [None] * batch.num_rows
         for d, t, mine in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), own):
             chosen = own_options(options, mine)
-            found = findings(t, chosen)
+            page = Page(t)
+            found = findings(t, chosen, page)
             if not found:
                 continue
-            page = Page(t)
             shields = Stretches(span for _, s in chosen.glossary if s.strip() for span in standing(t, s.strip()))
             for check, k, f in found:
                 a, b = max(0, f.start - 15), min(len(t), f.end + 15)
