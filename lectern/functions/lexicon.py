@@ -160,3 +160,11 @@ LAYER_ORDER = ("character", "vocabulary", "sentence", "format", "discourse", "se
 LAYER_LABELS = dict(zip(LAYER_ORDER, ("字符层", "词汇层", "句子层", "标点/格式层", "语篇/语体层", "合规/安全层")))
 # Default confidence of a rule; 0.7 for all others.
 CONFIDENCE = {"cn_typo": 0.95, "en_spelling": 0.95, "custom_glossary": 1.0, "banned_word": 1.0, "irregular_char": 0.95, "mixed_punct": 0.85, "half_in_cn_context": 0.85, "multi_space": 0.9, "redundant_de": 0.75}
+
+# Spoken expressions, each with written ones; of use only where a check for them is asked for.
+COLLOQUIAL = {
+    "然后": ("随后", "继而", "此后"), "就是说": ("即", "也就是说", "换言之"), "所以说": ("因此", "由此可见", "故而"), "其实吧": ("其实", "实际上", "事实上"), "反正": ("无论如何", "总之", "不管怎样"),
+    "咱们": ("我们", "我方", "本公司"), "啥": ("什么", "何种"), "咋": ("怎么", "如何", "怎样"), "特别地": ("尤其", "格外", "特别"), "非常地": ("十分", "极为", "非常"),
+    "挺好的": ("较好", "良好", "尚可"), "挺不错的": ("优秀", "出色", "良好"), "搞": ("做", "进行", "完成"), "弄": ("做", "处理", "准备"), "咱们公司": ("本公司", "我公司", "我司"),
+    "一块儿": ("一起", "一同", "共同"), "赶紧": ("尽快", "迅即", "加紧"), "马上就": ("即将", "随即", "立刻"), "有点儿": ("略有", "稍有", "有些"), "一点儿": ("稍", "略", "些许"),
+}

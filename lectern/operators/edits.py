@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 from bisect import bisect_right
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,28 +192,48 @@ def rechecked(docs: DataFrame, edits: DataFrame, options: Options = Options()) -
     return issues_of(apply_edits(docs, edits), options)
 
 
+def _folded(text: str) -> tuple[str, dict[int, int], dict[int, int]]:
+    """(a text without case and width, where in the text the signs begin that begin at a place of it, and end that end there).
+
+    Signs that are read as one, such as a letter and its accent, are folded as one, so that no match begins or ends in the middle of them.
+    """
+    out: list[str] = []
+    starts, ends = {}, {}
+    at = size = 0
+    for sign in regex.findall(r"\X", text):
+        part = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", sign).upper().lower())
+        starts[size] = at
+        size += len(part)
+        at += len(sign)
+        ends[size] = at
+        out.append(part)
+    return "".join(out), starts, ends
+
+
+def folded_places(text: str, key: str) -> list[tuple[int, int]]:
+    """Where a folded literal stands in a text, one place after the other."""
+    hay, starts, ends = _folded(text)
+    found = []
+    k = hay.find(key) if key else -1
+    while k >= 0:
+        if k in starts and k + len(key) in ends:
+            found.append((starts[k], ends[k + len(key)]))
+            k = hay.find(key, k + len(key))
+        else:
+            k = hay.find(key, k + 1)
+    return found
+
+
 def search(docs: DataFrame, needle: str, fold: bool = False) -> DataFrame:
-    """doc_id, start, end of the non-overlapping places of a literal; with fold, whatever case, width and accents."""
+    """doc_id, start, end of the non-overlapping places of a literal; with fold, whatever its case and width. An empty literal stands nowhere."""
     ship(docs.sparkSession)
+    key = _folded(needle)[0] if fold else needle
 
-    def folded(t: str) -> tuple[str, list[int]]:
-        out, at = [], []
-        for k, c in enumerate(t):
-            f = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).upper().lower())
-            out.append(f)
-            at += [k] * len(f)
-        return "".join(out), [*at, len(t)]
-
-    key = folded(needle)[0] if fold else needle
+    def plain(t: str) -> list[tuple[int, int]]:
+        return [(m.start(), m.end()) for m in re.finditer(re.escape(key), t)] if key else []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hay, at = folded(t) if fold else (t, range(len(t) + 1))
-            k = hay.find(key) if key else -1
-            while k >= 0:
-                rows.append((d, at[k], at[k + len(key) - 1] + 1))
-                k = hay.find(key, k + len(key))
+        rows = [(d, a, b) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in (folded_places(t, key) if fold else plain(t))]
         columns = list(zip(*rows)) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "start", "end"])
 
@@ -234,3 +256,29 @@ def difference(original: str, modified: str, max_work: int = MAX_WORK, max_edits
         return None
     out = [(head + i, head + j, b[x:y]) for kind, i, j, x, y in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind != "equal"] if a or b else []
     return out if len(out) <= max_edits else None
+
+
+def differences(pairs: DataFrame, max_work: int = MAX_WORK, max_edits: int = MAX_EDITS) -> DataFrame:
+    """doc_id, status (ok, or too_large beyond the bounds), edits (start, end, replacement) that turn each original into its modified text. pairs: doc_id, original, modified; nulls count as empty."""
+    ship(pairs.sparkSession)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told = [difference(a or "", b or "", max_work, max_edits) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        lists = [[dict(zip(("start", "end", "replacement"), e)) for e in x or ()] for x in told]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(["too_large" if x is None else "ok" for x in told]), pa.array(lists, kind)], names=["doc_id", "status", "edits"])
+
+    return map_arrow(pairs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "original", "modified"), lambda: work, "doc_id bigint, status string, edits array<struct<start:int,end:int,replacement:string>>")
+
+
+def artifact_faults(events: DataFrame) -> DataFrame:
+    """artifact_id, version, fault: reservations and results of exports that don't go on from what there is.
+
+    events: artifact_id, version, state (pending or ready). Versions begin at one and grow by one with each reservation; a result of another version than the last
+    reserved one is stale, and one that was ready already is a double. Repeated rows count once.
+    """
+    order = Window.partitionBy("artifact_id").orderBy("nth")
+    rows = events.select("artifact_id", "version", "state", "nth").distinct().withColumn("reserved", F.coalesce(F.max(F.when(F.col("state") == "pending", F.col("version"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    done = F.coalesce(F.max(F.when(F.col("state") == "ready", F.col("version"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fault = F.when((F.col("state") == "pending") & (F.col("version") != F.col("reserved") + 1), "gap").when((F.col("state") == "ready") & (F.col("version") != F.col("reserved")), "stale").when((F.col("state") == "ready") & (done == F.col("version")), "double")
+    return rows.withColumn("fault", fault).where("fault is not null").select("artifact_id", "version", "fault")

@@ -202,3 +202,18 @@ def located(issues: DataFrame, blocks: DataFrame, width: int = 4096) -> DataFram
     at = F.when(F.col("inside"), F.struct("block_index", "block_id", (F.col("start") - F.col("global_start")).alias("block_start"), (F.col("end") - F.col("global_start")).alias("block_end")))
     found = met.groupBy("doc_id", "start", "end", "issue_no").agg(F.min(at).alias("at"), F.first("row").alias("row"))
     return found.select("row.*", "at.block_index", "at.block_id", "at.block_start", "at.block_end")
+
+
+def navigated(issues: DataFrame, offset: int, layers: tuple[str, ...] = (), severities: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, issue_row_id, start, end: of each document, the issue at a place or the next one behind it, among those of the layers and severities asked for.
+
+    An issue that holds the place comes before one behind it; of equal ones, the shorter and then the earlier row. No filter lets all through. Without an issue there or
+    behind, a document has the first one.
+    """
+    kept = issues
+    for column, values in (("layer", layers), ("severity", severities)):
+        if values:
+            kept = kept.where(F.col(column).isin(*values))
+    rank = F.when((F.col("start") <= offset) & (F.col("end") > offset), 0).when(F.col("start") >= offset, 1).otherwise(2)
+    best = F.min(F.struct(rank, "start", "end", "issue_row_id"))
+    return kept.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.issue_row_id", "b.start", "b.end")

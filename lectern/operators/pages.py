@@ -309,3 +309,14 @@ def boxes_of(blocks: DataFrame) -> DataFrame:
     """The boxes that blocks with a place on a page have, each with full confidence; repeated rows count once."""
     sides = [F.element_at("bbox", k + 1).alias(c) for k, c in enumerate(_SIDES)]
     return blocks.where("bbox is not null and size(bbox) = 4 and page is not null").select("doc_id", "page", F.col("block_index").alias("box_index"), F.coalesce("text", F.lit("")).alias("text"), F.lit(1.0).alias("confidence"), *sides).distinct()
+
+
+def grid_cells(boxes: DataFrame, rulings: DataFrame) -> DataFrame:
+    """doc_id, page, box_index, row_index, cell_index: the cell of a ruled table that holds the middle of each box; boxes outside it are left out.
+
+    rulings: doc_id, page, xs, ys: sorted places of the lines. The lines of a page's table are few, so a box carries them.
+    """
+    at = lambda places, v: F.size(F.filter(places, lambda p: p <= v)) - 1
+    met = boxes.join(rulings, ["doc_id", "page"]).withColumn("cell_index", at("xs", (F.col("x0") + F.col("x1")) / 2)).withColumn("row_index", at("ys", (F.col("y0") + F.col("y1")) / 2))
+    inside = (F.col("cell_index") >= 0) & (F.col("cell_index") < F.size("xs") - 1) & (F.col("row_index") >= 0) & (F.col("row_index") < F.size("ys") - 1)
+    return met.where(inside).select("doc_id", "page", "box_index", "row_index", "cell_index")

@@ -154,7 +154,7 @@ def answers(reviews: DataFrame) -> DataFrame:
         lists = [[dict(zip(("issue_index", "verdict", "reason"), v)) for v in x] if isinstance(x, list) else [] for x in told]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if isinstance(x, list) else x for x in told], pa.string()), pa.array(lists, kind)], names=["doc_id", "problem", "verdicts"])
 
-    return map_arrow(reviews.select("doc_id", "answer", "expected"), lambda: work, "doc_id bigint, problem string, verdicts array<struct<issue_index:int,verdict:string,reason:string>>")
+    return map_arrow(reviews.select(F.col("doc_id").cast("bigint").alias("doc_id"), "answer", F.col("expected").cast("int").alias("expected")), lambda: work, "doc_id bigint, problem string, verdicts array<struct<issue_index:int,verdict:string,reason:string>>")
 
 
 def reviewed(issues: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import masks, statistics
 from ..operators import dictionary, edits, issues, jobs, pages, review, rules, scenarios
 from ..session import table
 from ..sources import documents
@@ -363,3 +364,141 @@ def updated_jobs(spark: SparkSession, sf: str) -> DataFrame:
     last = table(spark, sf, "job_events").groupBy("job_id").agg(F.max_by("status", F.struct("sequence", "received_at")).alias("status"), (F.max("received_at") + F.expr("interval 30 day")).alias("expires_at"))
     stale = ~F.col("status").isin(*jobs.FINAL) & (F.col("expires_at") <= F.lit("2031-06-01 00:00:00").cast("timestamp"))
     return last.select("job_id", F.when(stale, "failed").otherwise(F.col("status")).alias("status"), stale.alias("changed"))
+
+
+# ------------------------------------------------------------------------------------------------- operators in cases of their own
+def _texts(spark: SparkSession, texts: tuple[str | None, ...]) -> DataFrame:
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string").coalesce(1)
+
+
+@query("SELECT * FROM (VALUES ('咱们公司马上就搞定', 0, 2, '我们'), ('咱们公司马上就搞定', 0, 4, '本公司'), ('咱们公司马上就搞定', 4, 7, '即将'), ('咱们公司马上就搞定', 7, 8, '做')) t(text, \"start\", \"end\", suggestion)")
+def case_colloquial_expr(spark: SparkSession, sf: str) -> DataFrame:
+    """Spoken expressions, where they are asked for."""
+    text = "咱们公司马上就搞定"
+    return issues.raw_issues(_texts(spark, (text,)), rules.Options(only=("colloquial",), more=("colloquial",))).select(F.lit(text).alias("text"), "start", "end", "suggestion")
+
+
+@query("SELECT * FROM (VALUES ('某词和某词', 0, 2, 'sensitive_words'), ('某词和某词', 3, 5, 'sensitive_words')) t(text, \"start\", \"end\", rule_id)")
+def case_sensitive_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that are given as forbidden."""
+    return issues.of_findings(issues.raw_issues(_texts(spark, ("某词和某词",)), rules.Options(only=("sensitive",), forbidden=("某词",)))).select(F.lit("某词和某词").alias("text"), "start", "end", "rule_id")
+
+
+_MASKED = (
+    ("see `x y` now", [(4, 9)]), ("```\na\n```\nb", [(0, 10)]), ("go to https://a.test/b?c, d", [(6, 25)]), ("mail a.b@c.test!", [(5, 15)]), ("the snake_case name", [(4, 14)]), ("open ./a/b.txt here", [(5, 14)]), ("read notes.md and a.b", [(5, 13)]), ("plain 中文", []),
+    ("~~~\nopen", [(0, 8)]), ("GB/T 123-45 | Name", [(0, 18)]),
+)
+
+
+@query(_values([(k, a, b) for k, (_, own) in enumerate(_MASKED) for a, b in own], 'doc_id, "start", "end"'))
+def mask_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The technical stretches of texts."""
+    return masks.technical_spans(_texts(spark, tuple(t for t, _ in _MASKED)))
+
+
+@query("SELECT * FROM (VALUES (0, 'zh', 3, '总字数'), (1, 'en', 3, '总单词数'), (2, 'zh', 0, '总字数'), (3, 'zh', 2, '总字数'), (4, 'zh', 0, '总字数')) t(doc_id, language, primary_count, primary_label)")
+def word_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages and word counts as an editor shows them."""
+    return statistics.word_counts(_texts(spark, ("中文 test", "hello world\nnext", "", "12 3.5", None))).withColumn("doc_id", F.col("doc_id").cast("int"))
+
+
+@query(f"WITH c AS ({_values(EXPECTED, _CASE_COLUMNS)}) SELECT 'severity' AS dimension, severity AS \"key\", count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'rule_id', rule_id, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'total', '', count(*) FROM c")
+def summary_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of the cases' issues, but for types and layers."""
+    return issues.summary(issues.of_findings(issues.raw_issues(spark.createDataFrame([(k, t, s) for k, (_, s, t) in enumerate(CASES)], f"doc_id bigint, text string, settings struct<{_SETTINGS}>").coalesce(1), settings="settings"))).where("dimension in ('severity', 'rule_id', 'total')")
+
+
+@query(f"WITH c AS ({_values(EXPECTED, _CASE_COLUMNS)}), n AS (SELECT case_name, count(*) AS n FROM c GROUP BY ALL) SELECT case_name, CAST(n AS BIGINT) AS issues, n > 2 AS many FROM n")
+def issue_counts_of_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """How many issues each case gives."""
+    return _case_issues(spark).groupBy("case_name").agg(F.count(F.lit(1)).alias("issues")).withColumn("many", F.col("issues") > 2)
+
+
+@query("SELECT * FROM (VALUES (0, '账号 and the end', 2, '【删除:帐号→修改为:账号】 and 【删除:teh→修改为:the】 end'), (1, 'same', 0, 'same'), (2, 'new', 1, '【删除:→修改为:new】'), (3, 'ac', 1, 'a【删除:b】c')) t(doc_id, text, edits, tracked)")
+def edit_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with edits put in, and with what was and is; conflicting ones and those that don't fit are left out."""
+    docs = _texts(spark, ("帐号 and teh end", "same", "", "abc"))
+    rows = [(0, 1, 0, 2, "帐号", "账号"), (0, 2, 7, 10, "teh", "the"), (0, 3, 0, 2, "xx", "y"), (1, 4, 0, 2, "sa", "x"), (1, 5, 1, 3, "am", "y"), (2, 6, 0, 0, "", "new"), (3, 7, 1, 2, "b", "")]
+    own = spark.createDataFrame(rows, "doc_id int, edit_id int, start int, end int, original string, replacement string").coalesce(1)
+    plain, tracked = (edits.apply_edits(docs, own, t).withColumn("doc_id", F.col("doc_id").cast("int")) for t in (False, True))
+    return plain.join(tracked.select("doc_id", F.col("text").alias("tracked")), "doc_id")
+
+
+@query("SELECT * FROM (VALUES (0, 'ok', 1, 1, 2, 'x'), (1, 'ok', 0, NULL, NULL, NULL), (2, 'ok', 1, 1, 1, 'b'), (3, 'too_large', 0, NULL, NULL, NULL), (4, 'ok', 1, 0, 10, 'bbbbbbbbbb'), (5, 'ok', 1, 0, 3, '')) t(doc_id, status, edits, \"start\", \"end\", replacement)")
+def diff_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences of texts within a bound of work."""
+    pairs = spark.createDataFrame([(0, "abc", "axc"), (1, "same", "same"), (2, "ac", "abc"), (3, "a" * 11, "b" * 11), (4, "a" * 10, "b" * 10), (5, "abc", None)], "doc_id int, original string, modified string").coalesce(1)
+    first = F.get("edits", F.lit(0))
+    return edits.differences(pairs, 120).select(F.col("doc_id").cast("int").alias("doc_id"), "status", F.size("edits").alias("edits"), first["start"].alias("start"), first["end"].alias("end"), first["replacement"].alias("replacement"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, 4), (0, 5, 9), (1, 3, 7), (2, 0, 5)) t(doc_id, \"start\", \"end\")")
+def fold_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of a literal, whatever its case and width; an accent is part of its letter."""
+    return edits.search(_texts(spark, ("Café CAFÉ cafe", "ab ｃａｆé", "cafe\u0301", "cafe", None)), "cAFé", fold=True).withColumn("doc_id", F.col("doc_id").cast("int"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (4, 'b'), (6, 'b')) t(issue_index, type)")
+def sample_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Four of eight candidates, shared out between two types."""
+    own = spark.createDataFrame([(0, 1, "a"), *((0, k, "b") for k in range(2, 7))], "doc_id int, issue_index int, type string").coalesce(1)
+    return review.sample(own, 4).select("issue_index", "type")
+
+
+_FILES = (
+    ("a.txt", "中文".encode("gbk"), "中文", "ok"), ("b.md", "<p class=\"x\">a &amp; b</p>".encode(), "a & b", "ok"), ("c.csv", "a,b\n1,2".encode("utf-16"), "a,b\n1,2", "ok"), ("d.rtf", b"{\\rtf1 A\\u20013?\\par B\\'e9}", "A中\nBé", "ok"),
+    ("e.docx", b"PK", None, "failed: no archive"), ("f.pdf", b"%PDF-1.7", None, "needs_adapter"), ("g.xyz", b"x", None, "missing_parser"),
+)
+
+
+@query(_values([(n, n.rsplit(".", 1)[1], t, s) for n, _, t, s in _FILES], "source_name, file_type, text, parse_status"))
+def file_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of each type, read by the reader of their type."""
+    return documents.dispatched(spark.createDataFrame([(n, bytearray(d)) for n, d, *_ in _FILES], "source_name string, content binary").coalesce(1))
+
+
+@query(f"{_V}, k AS (SELECT *, CASE WHEN start_pos <= 200 AND end_pos > 200 THEN 0 WHEN start_pos >= 200 THEN 1 ELSE 2 END AS rank FROM v WHERE severity IN ('error', 'warning')) SELECT doc_id, arg_min(issue_row_id, (rank, start_pos, end_pos, issue_row_id)) AS issue_row_id FROM k GROUP BY doc_id")
+def next_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document, the error or warning at a place or next behind it."""
+    own = table(spark, sf, "verification_issues").select("doc_id", "issue_row_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "layer", "severity").distinct()
+    return issues.navigated(own, 200, severities=("error", "warning")).select("doc_id", "issue_row_id")
+
+
+@query(f"{_V}, c AS (SELECT doc_id, severity, count(*) AS n FROM v GROUP BY ALL) SELECT doc_id, string_agg('<span class=\"chip\">' || coalesce(severity, '') || ' ' || n || '</span>', '' ORDER BY '<span class=\"chip\">' || coalesce(severity, '') || ' ' || n || '</span>') AS html FROM c GROUP BY doc_id")
+def report_chips(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers of recorded issues for the heads of reports."""
+    return review.chips(table(spark, sf, "verification_issues").select("doc_id", "issue_row_id", "severity").distinct())
+
+
+@query(f"{_BOXES}, m AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM b) SELECT doc_id, page, block_index AS box_index, CASE WHEN cy < 300 THEN 0 ELSE 1 END AS row_index, CASE WHEN cx < 200 THEN 0 WHEN cx < 400 THEN 1 ELSE 2 END AS cell_index FROM m WHERE cx >= 0 AND cx < 10000 AND cy >= 0 AND cy < 10000")
+def ruled_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks' boxes in a grid of two rows and three columns."""
+    own = pages.boxes_of(table(spark, sf, "document_blocks"))
+    places = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    rulings = own.select("doc_id", "page").distinct().select("doc_id", "page", places(0, 200, 400, 10_000).alias("xs"), places(0, 300, 10_000).alias("ys"))
+    return pages.grid_cells(own, rulings)
+
+
+@query("SELECT * FROM (VALUES ('a', 3, 'gap'), ('a', 1, 'stale'), ('b', 1, 'double')) t(artifact_id, version, fault)")
+def artifact_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Reservations and results of exports that don't go on from what there is."""
+    rows = [("a", 1, "pending", 0), ("a", 3, "pending", 1), ("a", 1, "ready", 2), ("a", 3, "ready", 3), ("b", 1, "pending", 0), ("b", 1, "ready", 1), ("b", 1, "ready", 2), ("b", 1, "ready", 2)]
+    return edits.artifact_faults(spark.createDataFrame(rows, "artifact_id string, version int, state string, nth int").coalesce(1))
+
+
+_ORDERED = (("帐号，，重复重复 teh", "txt", "academic"), ("有数据显示，帐号。", "pdf", "news"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'cn_typo'), (0, 1, 'en_spelling'), (0, 2, 'repeat_punct'), (0, 3, 'repeat_word_cn'), (1, 0, 'cn_typo'), (1, 1, 'scenario.news.vague_source')) t(doc_id, place, rule_id)")
+def canonical_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of rules and scenarios in the order of layers."""
+    docs = spark.createDataFrame([(k, *c) for k, c in enumerate(_ORDERED)], "doc_id bigint, text string, file_type string, scenario string").coalesce(1)
+    return issues.canonical(docs).select(F.col("doc_id").cast("int").alias("doc_id"), "place", "rule_id")
+
+
+@query("SELECT * FROM (VALUES (0, 0, 8, 'documnet', 'document', 'warning'), (1, 4, 7, 'plen', NULL, 'info')) t(doc_id, a, b, original, suggestion, severity) WHERE doc_id = 0")
+def spelling_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that a dictionary lacks and that are one edit from its words."""
+    words = spark.createDataFrame([("document", 1000), ("documents", 20), ("colour", 9)], "word string, n bigint").coalesce(1)
+    found = dictionary.spelling_issues(_texts(spark, ("documnet and colour", "metadata `documnet` Documnet")), words)
+    return found.select(F.col("doc_id").cast("int").alias("doc_id"), F.col("start").alias("a"), F.col("end").alias("b"), "original", "suggestion", "severity")

@@ -124,11 +124,13 @@ def from_docx(data: bytes) -> str:
     archive = zipfile.ZipFile(io.BytesIO(data))
     parts = ["word/document.xml", *sorted(n for n in archive.namelist() if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n))]
     lines: list[str] = []
+    seen: set[str] = set()  # headers and footers repeat from section to section
     for part in parts:
         for p in ElementTree.fromstring(archive.read(part)).iter(f"{_WORD}p"):
             text = "".join((n.text or "") if n.tag == f"{_WORD}t" else "\t" if n.tag == f"{_WORD}tab" else "\n" if n.tag == f"{_WORD}br" else "" for n in p.iter()).strip()
-            if text and (part == parts[0] or text not in lines):
+            if text and (part == parts[0] or text not in seen):
                 lines.append(text)
+                seen.add(text)
     return "\n".join(lines)
 
 
