@@ -108,7 +108,7 @@ def spelling_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _V = "WITH v AS (SELECT DISTINCT doc_id, issue_row_id, rule_id, issue_type, severity, layer, confidence, start_pos, end_pos, original, suggestion FROM verification_issues)"
-_RECORDED = ["doc_id", "issue_row_id", "rule_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "original", "suggestion"]
+_RECORDED = ["doc_id", "issue_row_id", "rule_id", "start_pos AS start", "end_pos AS `end`", "original", "suggestion"]
 
 
 @query(f"""{_V}, m AS (SELECT v.*, d.text, length(d.text) AS size, CASE WHEN end_pos > start_pos THEN end_pos WHEN length(original) > 0 AND start_pos + length(original) <= length(d.text) AND substr(d.text, start_pos + 1, length(original)) = original THEN start_pos + length(original) END AS e FROM v JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL),
@@ -118,7 +118,7 @@ _RECORDED = ["doc_id", "issue_row_id", "rule_id", F.col("start_pos").alias("star
     FROM l LEFT JOIN b ON b.doc_id = l.doc_id AND b.block_index = l.block_index""")
 def adapted_issues(spark: SparkSession, sf: str) -> DataFrame:
     """The recorded issues as issues of their texts and blocks."""
-    own = issues.adapted(table(spark, sf, "verification_issues").select(*_RECORDED), table(spark, sf, "documents"), table(spark, sf, "document_blocks"))
+    own = issues.adapted(table(spark, sf, "verification_issues").selectExpr(*_RECORDED), table(spark, sf, "documents"), table(spark, sf, "document_blocks"))
     return own.select("issue_row_id", "start", "end", "original", "block_index", "block_start", "auto_fixable")
 
 

@@ -1,7 +1,10 @@
 """Files and streams."""
 
 import io
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 from lectern.operators.issues import issues_of
 from lectern.sources import files
@@ -16,6 +19,12 @@ def docx(*paragraphs):
     return out.getvalue()
 
 
+def test_entry_needs_no_session():
+    """The catalogue of queries is there before any session is, and each SQL belongs to a query."""
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(s) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
 def test_decoding():
     assert files.decoded("中文".encode("gbk")) == "中文" and files.decoded("中文".encode()) == "中文"
     assert files.without_markup("<p a=\"b\">x &amp; y</p>") == "x & y" and files.without_markup("a < b") == "a < b"
