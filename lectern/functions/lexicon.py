@@ -3,77 +3,86 @@
 from __future__ import annotations
 
 
-def _pairs(text: str) -> dict[str, str]:
-    words = text.split()
-    return dict(zip(words[::2], words[1::2]))
-
 
 # Chinese words often written wrongly, each with the right form.
-CHINESE_TYPOS = _pairs("""
-帐号 账号 帐户 账户 帐单 账单 帐目 账目 帐款 账款 帐本 账本 按装 安装 震憾 震撼 烦燥 烦躁 气慨 气概 膺品 赝品 按奈 按捺
-一股作气 一鼓作气 悬梁刺骨 悬梁刺股 融汇贯通 融会贯通 默守成规 墨守成规 迫不急待 迫不及待 变本加利 变本加厉 走头无路 走投无路
-拾人牙惠 拾人牙慧 甘败下风 甘拜下风 始终不逾 始终不渝 无微不致 无微不至 不可思异 不可思议 名列前矛 名列前茅 巧夺天功 巧夺天工
-破斧沉舟 破釜沉舟 滥芋充数 滥竽充数 原形必露 原形毕露 浮想连翩 浮想联翩 貌和神离 貌合神离 汗流夹背 汗流浃背 陈词烂调 陈词滥调
-不径而走 不胫而走 按步就班 按部就班 鞭辟入理 鞭辟入里 关怀倍至 关怀备至 好高鹜远 好高骛远 黄梁美梦 黄粱美梦 流光异彩 流光溢彩
-鬼鬼崇崇 鬼鬼祟祟 饮鸠止渴 饮鸩止渴 如火如茶 如火如荼 贪脏枉法 贪赃枉法 脍灸人口 脍炙人口 委屈求全 委曲求全 声名雀起 声名鹊起
-凭心而论 平心而论 事得其反 适得其反 谈笑风声 谈笑风生 不加思索 不假思索 一诺千斤 一诺千金 鼎立相助 鼎力相助 人情事故 人情世故
-人才汇萃 人才荟萃 颠复 颠覆 松驰 松弛 一张一驰 一张一弛 泊来品 舶来品 侯车室 候车室 侯选人 候选人 冒然 贸然 幅射 辐射
-天翻地复 天翻地覆 言简意骇 言简意赅 不落巢臼 不落窠臼 脏款 赃款 装祯 装帧 渡假 度假 欢渡 欢度 兰天白云 蓝天白云 九洲 九州
-做月子 坐月子 蓝球 篮球 既使 即使 做为 作为 涉及到 涉及 付诸于 付诸 凯旋归来 凯旋 免费赠送 赠送 互相厮打 厮打
-""")
+CHINESE_TYPOS = {
+    "帐号": "账号", "帐户": "账户", "帐单": "账单", "帐目": "账目", "帐款": "账款", "帐本": "账本", "按装": "安装", "震憾": "震撼", "烦燥": "烦躁", "气慨": "气概", "膺品": "赝品", "按奈": "按捺",
+    "一股作气": "一鼓作气", "悬梁刺骨": "悬梁刺股", "融汇贯通": "融会贯通", "默守成规": "墨守成规", "迫不急待": "迫不及待", "变本加利": "变本加厉", "走头无路": "走投无路", "拾人牙惠": "拾人牙慧", "甘败下风": "甘拜下风",
+    "始终不逾": "始终不渝", "无微不致": "无微不至", "不可思异": "不可思议", "名列前矛": "名列前茅", "巧夺天功": "巧夺天工", "破斧沉舟": "破釜沉舟", "滥芋充数": "滥竽充数", "原形必露": "原形毕露", "浮想连翩": "浮想联翩",
+    "貌和神离": "貌合神离", "汗流夹背": "汗流浃背", "陈词烂调": "陈词滥调", "不径而走": "不胫而走", "按步就班": "按部就班", "鞭辟入理": "鞭辟入里", "关怀倍至": "关怀备至", "好高鹜远": "好高骛远", "黄梁美梦": "黄粱美梦",
+    "流光异彩": "流光溢彩", "鬼鬼崇崇": "鬼鬼祟祟", "饮鸠止渴": "饮鸩止渴", "如火如茶": "如火如荼", "贪脏枉法": "贪赃枉法", "脍灸人口": "脍炙人口", "委屈求全": "委曲求全", "声名雀起": "声名鹊起", "凭心而论": "平心而论",
+    "事得其反": "适得其反", "谈笑风声": "谈笑风生", "不加思索": "不假思索", "一诺千斤": "一诺千金", "鼎立相助": "鼎力相助", "人情事故": "人情世故", "人才汇萃": "人才荟萃", "颠复": "颠覆", "松驰": "松弛",
+    "一张一驰": "一张一弛", "泊来品": "舶来品", "侯车室": "候车室", "侯选人": "候选人", "冒然": "贸然", "幅射": "辐射", "天翻地复": "天翻地覆", "言简意骇": "言简意赅", "不落巢臼": "不落窠臼", "脏款": "赃款",
+    "装祯": "装帧", "渡假": "度假", "欢渡": "欢度", "兰天白云": "蓝天白云", "九洲": "九州", "做月子": "坐月子", "蓝球": "篮球", "既使": "即使", "做为": "作为", "涉及到": "涉及", "付诸于": "付诸",
+    "凯旋归来": "凯旋", "免费赠送": "赠送", "互相厮打": "厮打",
+}
 # Those of them that repeat a meaning.
 REDUNDANT_WORDS = frozenset("涉及到 付诸于 凯旋归来 免费赠送 互相厮打".split())
 
-# English misspellings, each with the right form (`a lot` is written with a plus sign).
-ENGLISH_TYPOS = {k: v.replace("+", " ") for k, v in _pairs("""
-teh the recieve receive occured occurred seperate separate definately definitely neccessary necessary occassion occasion accomodate accommodate
-arguement argument beleive believe calender calendar cemetary cemetery changable changeable collegue colleague comming coming commitee committee
-concious conscious definitly definitely desireable desirable disipline discipline embarass embarrass enviroment environment existance existence
-experiance experience familar familiar finaly finally florescent fluorescent foriegn foreign goverment government gramar grammar happend happened
-harras harass knowlege knowledge liason liaison libary library lisence license maintainance maintenance millenium millennium noticable noticeable
-persistant persistent posession possession prefered preferred priviledge privilege probaly probably publically publicly realy really recomend recommend
-refered referred religous religious repetion repetition rythm rhythm sieze seize similiar similar sincerly sincerely speach speech tommorow tomorrow
-tounge tongue truely truly unfortunatly unfortunately untill until wierd weird writeing writing alot a+lot thier their tommorrow tomorrow wich which
-thru through occassionally occasionally accross across adress address allmost almost allready already allways always apparant apparent
-appearence appearance becuase because begining beginning buisness business camoflauge camouflage carefull careful carrer career catagory category
-cliches cliches collaegue colleague completly completely controled controlled defendent defendant definatly definitely desination destination
-dissapoint disappoint dissappear disappear dissaster disaster doubtfull doubtful eigth eighth embarras embarrass enviromental environmental
-exagerate exaggerate excellant excellent expresso espresso facillitate facilitate firey fiery flourescent fluorescent forseeable foreseeable
-fourtune fortune freind friend furneral funeral gaurd guard grammer grammar happyness happiness harrased harassed heirarchy hierarchy hellow hello
-hierachy hierarchy horrifyed horrified humerous humorous hygenic hygienic hypocracy hypocrisy idiosyncracy idiosyncrasy imitiate imitate
-immidiately immediately independant independent indispensible indispensable innoculate inoculate intelectual intellectual inteligent intelligent
-interupt interrupt irresistable irresistible jist gist knowlegable knowledgeable labatory laboratory lenght length liesure leisure liquify liquefy
-loosing losing managable manageable medeval medieval millepede millipede miniscule minuscule mischievious mischievous mispell misspell momento memento
-necesary necessary noticably noticeably nucular nuclear ommision omission orignal original outragous outrageous pavillion pavilion percieve perceive
-perseverence perseverance personell personnel persue pursue playright playwright possesion possession potatos potatoes presense presence
-primative primitive professer professor promiss promise pronounciation pronunciation prophecey prophecy quanitity quantity
-questionaire questionnaire quizes quizzes reccomend recommend reciept receipt rediculous ridiculous reguard regard relevent relevant
-repitition repetition resistence resistance secratary secretary seige siege sheild shield similer similar supercede supersede supress suppress
-surprize surprise tempature temperature tendancy tendency threshhold threshold twelth twelfth tyrany tyranny underate underrate upholstry upholstery
-vaccum vacuum vehical vehicle wellfare welfare wilfull willful writting writing yatch yacht yeild yield
-""").items()}
+# English misspellings, each with the right form.
+ENGLISH_TYPOS = {
+    "teh": "the", "recieve": "receive", "occured": "occurred", "seperate": "separate", "definately": "definitely", "neccessary": "necessary",
+    "occassion": "occasion", "accomodate": "accommodate", "arguement": "argument", "beleive": "believe", "calender": "calendar",
+    "cemetary": "cemetery", "changable": "changeable", "collegue": "colleague", "comming": "coming", "commitee": "committee", "concious": "conscious",
+    "definitly": "definitely", "desireable": "desirable", "disipline": "discipline", "embarass": "embarrass", "enviroment": "environment",
+    "existance": "existence", "experiance": "experience", "familar": "familiar", "finaly": "finally", "florescent": "fluorescent",
+    "foriegn": "foreign", "goverment": "government", "gramar": "grammar", "happend": "happened", "harras": "harass", "knowlege": "knowledge",
+    "liason": "liaison", "libary": "library", "lisence": "license", "maintainance": "maintenance", "millenium": "millennium",
+    "noticable": "noticeable", "persistant": "persistent", "posession": "possession", "prefered": "preferred", "priviledge": "privilege",
+    "probaly": "probably", "publically": "publicly", "realy": "really", "recomend": "recommend", "refered": "referred", "religous": "religious",
+    "repetion": "repetition", "rythm": "rhythm", "sieze": "seize", "similiar": "similar", "sincerly": "sincerely", "speach": "speech",
+    "tommorow": "tomorrow", "tounge": "tongue", "truely": "truly", "unfortunatly": "unfortunately", "untill": "until", "wierd": "weird",
+    "writeing": "writing", "alot": "a lot", "thier": "their", "tommorrow": "tomorrow", "wich": "which", "thru": "through",
+    "occassionally": "occasionally", "accross": "across", "adress": "address", "allmost": "almost", "allready": "already", "allways": "always",
+    "apparant": "apparent", "appearence": "appearance", "becuase": "because", "begining": "beginning", "buisness": "business",
+    "camoflauge": "camouflage", "carefull": "careful", "carrer": "career", "catagory": "category", "cliches": "cliches", "collaegue": "colleague",
+    "completly": "completely", "controled": "controlled", "defendent": "defendant", "definatly": "definitely", "desination": "destination",
+    "dissapoint": "disappoint", "dissappear": "disappear", "dissaster": "disaster", "doubtfull": "doubtful", "eigth": "eighth",
+    "embarras": "embarrass", "enviromental": "environmental", "exagerate": "exaggerate", "excellant": "excellent", "expresso": "espresso",
+    "facillitate": "facilitate", "firey": "fiery", "flourescent": "fluorescent", "forseeable": "foreseeable", "fourtune": "fortune",
+    "freind": "friend", "furneral": "funeral", "gaurd": "guard", "grammer": "grammar", "happyness": "happiness", "harrased": "harassed",
+    "heirarchy": "hierarchy", "hellow": "hello", "hierachy": "hierarchy", "horrifyed": "horrified", "humerous": "humorous", "hygenic": "hygienic",
+    "hypocracy": "hypocrisy", "idiosyncracy": "idiosyncrasy", "imitiate": "imitate", "immidiately": "immediately", "independant": "independent",
+    "indispensible": "indispensable", "innoculate": "inoculate", "intelectual": "intellectual", "inteligent": "intelligent", "interupt": "interrupt",
+    "irresistable": "irresistible", "jist": "gist", "knowlegable": "knowledgeable", "labatory": "laboratory", "lenght": "length",
+    "liesure": "leisure", "liquify": "liquefy", "loosing": "losing", "managable": "manageable", "medeval": "medieval", "millepede": "millipede",
+    "miniscule": "minuscule", "mischievious": "mischievous", "mispell": "misspell", "momento": "memento", "necesary": "necessary",
+    "noticably": "noticeably", "nucular": "nuclear", "ommision": "omission", "orignal": "original", "outragous": "outrageous",
+    "pavillion": "pavilion", "percieve": "perceive", "perseverence": "perseverance", "personell": "personnel", "persue": "pursue",
+    "playright": "playwright", "possesion": "possession", "potatos": "potatoes", "presense": "presence", "primative": "primitive",
+    "professer": "professor", "promiss": "promise", "pronounciation": "pronunciation", "prophecey": "prophecy", "quanitity": "quantity",
+    "questionaire": "questionnaire", "quizes": "quizzes", "reccomend": "recommend", "reciept": "receipt", "rediculous": "ridiculous",
+    "reguard": "regard", "relevent": "relevant", "repitition": "repetition", "resistence": "resistance", "secratary": "secretary", "seige": "siege",
+    "sheild": "shield", "similer": "similar", "supercede": "supersede", "supress": "suppress", "surprize": "surprise", "tempature": "temperature",
+    "tendancy": "tendency", "threshhold": "threshold", "twelth": "twelfth", "tyrany": "tyranny", "underate": "underrate", "upholstry": "upholstery",
+    "vaccum": "vacuum", "vehical": "vehicle", "wellfare": "welfare", "wilfull": "willful", "writting": "writing", "yatch": "yacht", "yeild": "yield",
+}
 
 # Truncated idioms and the sign each lacks.
-TRUNCATED_IDIOMS = _pairs("""
-迫不及 迫不及待 不言而 不言而喻 不约而 不约而同 一知半 一知半解 一鼓作 一鼓作气 一帆风 一帆风顺 一丝不 一丝不苟 不假思 不假思索
-理所当 理所当然 顺理成 顺理成章 无微不 无微不至 有目共 有目共睹 举一反 举一反三 相辅相 相辅相成 相得益 相得益彰 破釜沉 破釜沉舟
-墨守成 墨守成规 融会贯 融会贯通 潜移默 潜移默化 精打细 精打细算 胸有成 胸有成竹 旗开得 旗开得胜 首屈一 首屈一指 刻不容 刻不容缓
-""")
+TRUNCATED_IDIOMS = {
+    "迫不及": "迫不及待", "不言而": "不言而喻", "不约而": "不约而同", "一知半": "一知半解", "一鼓作": "一鼓作气", "一帆风": "一帆风顺", "一丝不": "一丝不苟", "不假思": "不假思索", "理所当": "理所当然",
+    "顺理成": "顺理成章", "无微不": "无微不至", "有目共": "有目共睹", "举一反": "举一反三", "相辅相": "相辅相成", "相得益": "相得益彰", "破釜沉": "破釜沉舟", "墨守成": "墨守成规", "融会贯": "融会贯通",
+    "潜移默": "潜移默化", "精打细": "精打细算", "胸有成": "胸有成竹", "旗开得": "旗开得胜", "首屈一": "首屈一指", "刻不容": "刻不容缓",
+}
 
 # Words in a spelling that is not recommended, each with the recommended one.
-VARIANT_WORDS = _pairs("""
-帐户 账户 帐号 账号 帐单 账单 帐目 账目 帐款 账款 帐本 账本 脚色 角色 搭当 搭档 蹓跶 溜达 车箱 车厢 定货 订货 定购 订购 定阅 订阅
-定单 订单 抹煞 抹杀 折魔 折磨 辈份 辈分 份量 分量 身分 身份 图象 图像 录象 录像 想像 想象 象徵 象征 交待 交代
-""")
+VARIANT_WORDS = {
+    "帐户": "账户", "帐号": "账号", "帐单": "账单", "帐目": "账目", "帐款": "账款", "帐本": "账本", "脚色": "角色", "搭当": "搭档", "蹓跶": "溜达", "车箱": "车厢", "定货": "订货", "定购": "订购",
+    "定阅": "订阅", "定单": "订单", "抹煞": "抹杀", "折魔": "折磨", "辈份": "辈分", "份量": "分量", "身分": "身份", "图象": "图像", "录象": "录像", "想像": "想象", "象徵": "象征", "交待": "交代",
+}
 
 # Radicals that stand for ordinary signs.
-RADICALS = _pairs("""
-⻔ 门 ⻳ 龟 ⻰ 龙 ⻢ 马 ⻛ 风 ⻜ 飞 ⻤ 鬼 ⻥ 鱼 ⻦ 鸟 ⻧ 卤 ⻨ 麦 ⻩ 黄 ⻪ 龟 ⻫ 齐 ⻬ 齐 ⻭ 齿 ⻮ 齿 ⻯ 龙 ⻱ 龟 ⻲ 龟 ⻵ 门 ⻶ 斗 ⻷ 斗 ⻸ 斗 ⻹ 斗 ⻺ 斗 ⻻ 斗
-⼀ 一 ⼆ 二 ⼈ 人 ⼊ 入 ⼏ 几 ⼝ 口 ⼟ 土 ⼤ 大 ⼥ 女 ⼦ 子 ⼩ 小 ⼭ 山 ⼯ 工 ⼰ 己 ⼲ 干 ⼼ 心 ⼿ 手 ⽂ 文 ⽅ 方 ⽆ 无 ⽇ 日 ⽉ 月 ⽊ 木 ⽔ 水 ⽕ 火
-⽜ 牛 ⽝ 犬 ⽟ 玉 ⽣ 生 ⽤ 用 ⽥ 田 ⽩ 白 ⽬ 目 ⽯ 石 ⽴ 立 ⽵ 竹 ⽶ 米 ⽹ 网 ⽺ 羊 ⽼ 老 ⽽ 而 ⽿ 耳 ⾁ 肉 ⾃ 自 ⾄ 至 ⾊ 色 ⾍ 虫 ⾎ 血 ⾏ 行 ⾐ 衣
-⾒ 见 ⾓ 角 ⾔ 言 ⾕ 谷 ⾖ 豆 ⾙ 贝 ⾚ 赤 ⾛ 走 ⾜ 足 ⾝ 身 ⾞ 车 ⾦ 金 ⾧ 长 ⾩ 门 ⾬ 雨 ⾯ 面 ⾰ 革 ⾵ 风 ⾶ 飞 ⾷ 食 ⾸ 首 ⾹ 香 ⾺ 马 ⾻ 骨 ⾼ 高
-⿁ 鬼 ⿂ 鱼 ⿃ 鸟 ⿄ 卤 ⿅ 鹿 ⿆ 麦 ⿇ 麻 ⿈ 黄 ⿊ 黑 ⿑ 齐 ⿒ 齿 ⿓ 龙 ⿔ 龟
-""")
+RADICALS = {
+    "⻔": "门", "⻳": "龟", "⻰": "龙", "⻢": "马", "⻛": "风", "⻜": "飞", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻪": "龟", "⻫": "齐",
+    "⻬": "齐", "⻭": "齿", "⻮": "齿", "⻯": "龙", "⻱": "龟", "⻲": "龟", "\u2ef5": "门", "\u2ef6": "斗", "\u2ef7": "斗", "\u2ef8": "斗", "\u2ef9": "斗",
+    "\u2efa": "斗", "\u2efb": "斗", "⼀": "一", "⼆": "二", "⼈": "人", "⼊": "入", "⼏": "几", "⼝": "口", "⼟": "土", "⼤": "大", "⼥": "女", "⼦": "子", "⼩": "小",
+    "⼭": "山", "⼯": "工", "⼰": "己", "⼲": "干", "⼼": "心", "⼿": "手", "⽂": "文", "⽅": "方", "⽆": "无", "⽇": "日", "⽉": "月", "⽊": "木", "⽔": "水", "⽕": "火",
+    "⽜": "牛", "⽝": "犬", "⽟": "玉", "⽣": "生", "⽤": "用", "⽥": "田", "⽩": "白", "⽬": "目", "⽯": "石", "⽴": "立", "⽵": "竹", "⽶": "米", "⽹": "网", "⽺": "羊",
+    "⽼": "老", "⽽": "而", "⽿": "耳", "⾁": "肉", "⾃": "自", "⾄": "至", "⾊": "色", "⾍": "虫", "⾎": "血", "⾏": "行", "⾐": "衣", "⾒": "见", "⾓": "角", "⾔": "言",
+    "⾕": "谷", "⾖": "豆", "⾙": "贝", "⾚": "赤", "⾛": "走", "⾜": "足", "⾝": "身", "⾞": "车", "⾦": "金", "⾧": "长", "⾩": "门", "⾬": "雨", "⾯": "面", "⾰": "革",
+    "⾵": "风", "⾶": "飞", "⾷": "食", "⾸": "首", "⾹": "香", "⾺": "马", "⾻": "骨", "⾼": "高", "⿁": "鬼", "⿂": "鱼", "⿃": "鸟", "⿄": "卤", "⿅": "鹿", "⿆": "麦",
+    "⿇": "麻", "⿈": "黄", "⿊": "黑", "⿑": "齐", "⿒": "齿", "⿓": "龙", "⿔": "龟",
+}
 
 # Idioms often misused, with what may be meant.
 MISUSED_IDIOMS = {
@@ -108,47 +117,30 @@ CONJUNCTIONS = (
 )
 
 # Names of the same thing, the one to prefer first.
-SYNONYMS = tuple(tuple(x.split("|")) for x in """苹果公司|Apple公司|Apple|Apple Inc.|蘋果公司
-谷歌|Google|谷歌公司|Google公司
-微软|Microsoft|微软公司|Microsoft公司
-腾讯|Tencent|腾讯公司
-字节跳动|ByteDance
-亚马逊|Amazon
-脸书|Facebook
-特斯拉|Tesla
-华为|Huawei|华为公司
-阿里巴巴|Alibaba|阿里
-人工智能|AI
-机器学习|ML
-深度学习|DL
-虚拟现实|VR
-增强现实|AR
-混合现实|MR
-自然语言处理|NLP
-物联网|IoT
-区块链|Blockchain
-应用程序|APP|App
-操作系统|OS
-数据库|Database
-云计算|Cloud Computing
-新冠肺炎|COVID-19|COVID
-世界卫生组织|WHO
-联合国|UN
-国际货币基金组织|IMF
-北京|北京市
-上海|上海市
-美国|USA|United States|美利坚合众国
-英国|UK|United Kingdom""".split("\n"))
+SYNONYMS = (
+    ("苹果公司", "Apple公司", "Apple", "Apple Inc.", "蘋果公司"), ("谷歌", "Google", "谷歌公司", "Google公司"), ("微软", "Microsoft", "微软公司", "Microsoft公司"),
+    ("腾讯", "Tencent", "腾讯公司"), ("字节跳动", "ByteDance"), ("亚马逊", "Amazon"), ("脸书", "Facebook"), ("特斯拉", "Tesla"), ("华为", "Huawei", "华为公司"),
+    ("阿里巴巴", "Alibaba", "阿里"), ("人工智能", "AI"), ("机器学习", "ML"), ("深度学习", "DL"), ("虚拟现实", "VR"), ("增强现实", "AR"), ("混合现实", "MR"), ("自然语言处理", "NLP"),
+    ("物联网", "IoT"), ("区块链", "Blockchain"), ("应用程序", "APP", "App"), ("操作系统", "OS"), ("数据库", "Database"), ("云计算", "Cloud Computing"),
+    ("新冠肺炎", "COVID-19", "COVID"), ("世界卫生组织", "WHO"), ("联合国", "UN"), ("国际货币基金组织", "IMF"), ("北京", "北京市"), ("上海", "上海市"),
+    ("美国", "USA", "United States", "美利坚合众国"), ("英国", "UK", "United Kingdom"),
+)
 
 # Superlatives that advertising may not use.
-SUPERLATIVES = tuple("""国家级 最高级 最佳 顶级 极致 极品 第一 唯一 首席 首选 王牌 首个 首款 销量第一 第一品牌 领导品牌 领先品牌 世界领先 国际领先 全球领先
-全球首发 全网最低 史上最 绝无仅有 前无古人 史无前例 空前绝后 举世无双 独一无二 万能 百分之百 永久 永远 至尊 领袖 独家 绝版 鼻祖 始祖 祖传 纯天然 无添加 零风险""".split())
+SUPERLATIVES = (
+    "国家级", "最高级", "最佳", "顶级", "极致", "极品", "第一", "唯一", "首席", "首选", "王牌", "首个", "首款", "销量第一", "第一品牌", "领导品牌", "领先品牌", "世界领先", "国际领先", "全球领先", "全球首发",
+    "全网最低", "史上最", "绝无仅有", "前无古人", "史无前例", "空前绝后", "举世无双", "独一无二", "万能", "百分之百", "永久", "永远", "至尊", "领袖", "独家", "绝版", "鼻祖", "始祖", "祖传", "纯天然", "无添加",
+    "零风险",
+)
 
 # Places that need a prefix.
 TERRITORIES = {"香港": "中国香港", "台湾": "中国台湾", "澳门": "中国澳门"}
 
 # Verbs and their third person.
-THIRD_PERSON = _pairs("go goes have has do does work works walk walks run runs eat eats play plays like likes need needs want wants know knows say says make makes take takes use uses")
+THIRD_PERSON = {
+    "go": "goes", "have": "has", "do": "does", "work": "works", "walk": "walks", "run": "runs", "eat": "eats", "play": "plays", "like": "likes",
+    "need": "needs", "want": "wants", "know": "knows", "say": "says", "make": "makes", "take": "takes", "use": "uses",
+}
 
 # Layer of each issue type; `discourse` for all others.
 LAYERS = {t: layer for layer, types in {
