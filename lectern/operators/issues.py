@@ -217,3 +217,22 @@ def navigated(issues: DataFrame, offset: int, layers: tuple[str, ...] = (), seve
     rank = F.when((F.col("start") <= offset) & (F.col("end") > offset), 0).when(F.col("start") >= offset, 1).otherwise(2)
     best = F.min(F.struct(rank, "start", "end", "issue_row_id"))
     return kept.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.issue_row_id", "b.start", "b.end")
+
+
+def faults(issues: DataFrame, docs: DataFrame) -> DataFrame:
+    """The issues with fault: null, or what is wrong with them against their text: their span, the length of their original, or what it says.
+
+    Each issue meets its text by document; only the slice is compared. Issues of unknown documents are left out.
+    """
+    met = issues.join(docs.select("doc_id", "text"), "doc_id")
+    start, end = F.col("start"), F.col("end")
+    wrong = F.when(F.col("text").isNull() | (start < 0) | (end <= start) | (end > F.length("text")), "span").when(F.length("original") != end - start, "length").when(F.col("text").substr(start + 1, end - start) != F.col("original"), "original")
+    return met.withColumn("fault", wrong).drop("text")
+
+
+def within_budget(docs: DataFrame, options: Options = Options(), limit: int = ISSUE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(the issues of the documents whose raw findings are no more than the limit, doc_id and raw_count of the others). A document beyond it is an error of its own and
+    has no issues at all, not some."""
+    raw = raw_issues(docs, options)
+    many = raw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("raw_count")).where(F.col("raw_count") > limit)
+    return of_findings(raw.join(many.select("doc_id"), "doc_id", "left_anti")).drop("technical", "shielded"), many

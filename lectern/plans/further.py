@@ -457,6 +457,13 @@ def file_cases(spark: SparkSession, sf: str) -> DataFrame:
     return documents.dispatched(spark.createDataFrame([(n, bytearray(d)) for n, d, *_ in _FILES], "source_name string, content binary").coalesce(1))
 
 
+@query(f"""{_V}, k AS (SELECT v.*, d.text FROM v JOIN documents d USING (doc_id)) SELECT issue_row_id, CASE WHEN text IS NULL OR start_pos < 0 OR end_pos <= start_pos OR end_pos > length(text) THEN 'span' WHEN length(original) <> end_pos - start_pos THEN 'length' WHEN substr(text, start_pos + 1, end_pos - start_pos) <> original THEN 'original' ELSE 'none' END AS fault FROM k""")
+def issue_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with each recorded issue against its text."""
+    own = table(spark, sf, "verification_issues").select("doc_id", "issue_row_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "original").distinct()
+    return issues.faults(own, table(spark, sf, "documents")).select("issue_row_id", F.coalesce("fault", F.lit("none")).alias("fault"))
+
+
 @query(f"{_V}, k AS (SELECT *, CASE WHEN start_pos <= 200 AND end_pos > 200 THEN 0 WHEN start_pos >= 200 THEN 1 ELSE 2 END AS rank FROM v WHERE severity IN ('error', 'warning')) SELECT doc_id, arg_min(issue_row_id, (rank, start_pos, end_pos, issue_row_id)) AS issue_row_id FROM k GROUP BY doc_id")
 def next_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Of each document, the error or warning at a place or next behind it."""

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity
 from ..session import map_arrow, ship
-from .files import ENCODINGS, MAX_ENTRY, parsed, safe_archive
+from .files import ENCODINGS, MAX_ENTRY, parsed, rtf_escaped, safe_archive
 
 # What may be uploaded: extension, MIME type, bytes it begins with, whether the text is read here.
 FORMATS = (
@@ -191,17 +191,4 @@ def exported(docs: DataFrame, edits: DataFrame, tracked: bool = False) -> DataFr
 
 def as_rtf(text: str) -> bytes:
     """A text as an RTF file that reads back as it is, but for white space around it."""
-    out = []
-    for c in text:
-        if c in "\\{}":
-            out.append("\\" + c)
-        elif c == "\n":
-            out.append("\\par\n")
-        elif c == "\t":
-            out.append("\\tab ")
-        elif c.isascii():
-            out.append(c)
-        else:
-            units = c.encode("utf-16-le", "surrogatepass")
-            out += [f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2)]
-    return ("{\\rtf1\\ansi\\uc1 " + "".join(out) + "}").encode("ascii")
+    return ("{\\rtf1\\ansi\\uc1 " + rtf_escaped(text) + "}").encode("ascii")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import zipfile
@@ -52,54 +53,132 @@ def without_markup(text: str) -> str:
     return re.sub(r"[<>]", "", re.sub(r"\b[\w-]+=\"[^\"]*\"", "", "".join(parser.parts)))
 
 
-def from_rtf(data: bytes) -> str:
-    """The text of an RTF file: groups on a stack, unicode signs with their fallbacks, bytes of the code page, silent destinations."""
-    source = data.decode("latin-1")
-    page, skip, silent, pending = "cp1252", 1, False, bytearray()
-    stack: list[tuple[int, bool]] = []
-    out: list[str] = []
-    drop = 0
-
-    def flush() -> None:
-        if pending:
-            out.append(bytes(pending).decode(page, "replace"))
-            pending.clear()
-
-    for m in re.finditer(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)|[\r\n]+", source):
-        word, number, byte, sign, brace, plain = m.groups()
-        if byte is None:
-            flush()
-        if brace == "{":
-            stack.append((skip, silent))
-        elif brace == "}":
-            if stack:
-                skip, silent = stack.pop()
-        elif word:
-            if word == "ansicpg" and number:
-                page = f"cp{number}"
-            elif word == "uc" and number:
-                skip = int(number)
-            elif word in _SILENT:
+class _Rtf:
+    """The signs of an RTF file with the stretch of its bytes that each comes from: groups on a stack, unicode signs with their fallbacks, bytes of the
+    code page, silent destinations."""
+
+    def __init__(self, data: bytes):
+        self.source = data.decode("latin-1")
+        self.signs: list[tuple[str, int, int]] = []
+        self._decoder = codecs.getincrementaldecoder("cp1252")("replace")
+        self._since: int | None = None
+        self._read()
+        self._join_halves()
+        while self.signs and self.signs[-1][0].isspace():
+            self.signs.pop()
+        blank = next((k for k, (c, *_) in enumerate(self.signs) if not c.isspace()), 0)
+        del self.signs[:blank]
+
+    def _byte(self, value: int, start: int, end: int) -> None:
+        self._since = start if self._since is None else self._since
+        for c in self._decoder.decode(bytes([value])):
+            self.signs.append((c, self._since, end))
+            self._since = None
+
+    def _read(self) -> None:
+        skip, silent, drop = 1, False, 0
+        stack: list[tuple[int, bool]] = []
+        for m in re.finditer(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)|[\r\n]+", self.source):
+            word, number, byte, sign, brace, plain = m.groups()
+            if brace == "{":
+                stack.append((skip, silent))
+            elif brace == "}":
+                if stack:
+                    skip, silent = stack.pop()
+            elif word:
+                if word == "ansicpg" and number:
+                    self._decoder = codecs.getincrementaldecoder(f"cp{number}")("replace")
+                elif word == "uc" and number:
+                    skip = int(number)
+                elif word in _SILENT:
+                    silent = True
+                elif word == "u" and number and not silent:
+                    self.signs.append((chr(int(number) % 0x10000), *m.span()))
+                    drop = skip
+                elif word in _BREAKS and not silent:
+                    self.signs.append((_BREAKS[word], *m.span()))
+            elif sign == "*":
                 silent = True
-            elif word == "u" and number and not silent:
-                out.append(chr(int(number) % 0x10000))
-                drop = skip
-            elif word in _BREAKS and not silent:
-                out.append(_BREAKS[word])
-        elif sign == "*":
-            silent = True
-        elif not silent and byte:
-            if drop:
-                drop -= 1
+            elif silent:
+                continue
+            elif byte:
+                if drop:
+                    drop -= 1
+                    self._widen(m.end())
+                else:
+                    self._byte(int(byte, 16), *m.span())
+            elif sign:
+                shown = {"~": " ", "_": "‑", "-": ""}.get(sign, sign if sign in "\\{}" else "")
+                if shown:
+                    self.signs.append((shown, *m.span()))
+            elif plain:
+                fallback = min(drop, len(plain))
+                if fallback:
+                    self._widen(m.start() + fallback)
+                    drop -= fallback
+                for k in range(fallback, len(plain)):
+                    at = m.start() + k
+                    self._byte(ord(plain[k]), at, at + 1) if plain[k] > "\x7f" else self.signs.append((plain[k], at, at + 1))
+
+    def _widen(self, end: int) -> None:
+        """The last sign's stretch takes in what stands for it where unicode signs are not read."""
+        c, a, _ = self.signs[-1]
+        self.signs[-1] = (c, a, end)
+
+    def _join_halves(self) -> None:
+        out: list[tuple[str, int, int]] = []
+        for c, a, b in self.signs:
+            if out and "\ud800" <= out[-1][0] <= "\udbff" and "\udc00" <= c <= "\udfff":
+                out[-1] = ((out[-1][0] + c).encode("utf-16", "surrogatepass").decode("utf-16"), out[-1][1], b)
             else:
-                pending.append(int(byte, 16))
-        elif not silent and sign:
-            out.append({"~": " ", "_": "‑", "-": ""}.get(sign, sign if sign in "\\{}" else ""))
-        elif not silent and plain:
-            out.append(plain[drop:])
-            drop = max(0, drop - len(plain))
-    flush()
-    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+                out.append((c, a, b))
+        self.signs = [("\ufffd" if "\ud800" <= c <= "\udfff" else c, a, b) for c, a, b in out]
+
+
+def from_rtf(data: bytes) -> str:
+    """The text of an RTF file, without white space around it."""
+    return "".join(c for c, *_ in _Rtf(data).signs)
+
+
+def rtf_escaped(text: str) -> str:
+    """A text as it stands in an RTF file: signs outside ASCII as unicode escapes, control signs escaped, lines as paragraphs."""
+    out = []
+    for c in text:
+        if c in "\\{}":
+            out.append("\\" + c)
+        elif c == "\n":
+            out.append("\\par\n")
+        elif c == "\t":
+            out.append("\\tab ")
+        elif c.isascii():
+            out.append(c)
+        else:
+            units = c.encode("utf-16-le", "surrogatepass")
+            out += [f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2)]
+    return "".join(out)
+
+
+def edited_rtf(data: bytes, edits: list[tuple[int, int, str]], tracked: bool = False) -> bytes:
+    """An RTF file with edits (start, end, replacement) of its text put in where the signs stand; all else of it stays as it is.
+
+    Tracked, what was is struck through and what is, underlined. Edits must not overlap and must lie in the text.
+    """
+    rtf = _Rtf(data)
+    cuts: list[tuple[int, int, str]] = []
+    for a, b, new in edits:
+        if not 0 <= a <= b <= len(rtf.signs):
+            raise ValueError("an edit lies outside the text")
+        at = rtf.signs[a][1] if a < len(rtf.signs) else rtf.signs[-1][2] if rtf.signs else rtf.source.rfind("}")
+        put = rtf_escaped(new)
+        if tracked:
+            old = "".join(c for c, *_ in rtf.signs[a:b])
+            put = ("{\\strike " + rtf_escaped(old) + "}" if old else "") + ("{\\ul " + put + "}" if put else "")
+        cuts.append((at, at, put))
+        cuts += [(x, y, "") for _, x, y in rtf.signs[a:b]]
+    source = rtf.source
+    for x, y, put in sorted(cuts, key=lambda c: (c[0], c[1]), reverse=True):
+        source = source[:x] + put + source[y:]
+    return source.encode("latin-1")
 
 
 def safe_archive(data: bytes, required: tuple[str, ...] = ()) -> str | None:

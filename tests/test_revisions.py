@@ -99,6 +99,20 @@ def test_sources(spark, tmp_path):
     assert docs_.count() == 3 and blocks.count() == 3 and re.fullmatch(r"[0-9a-f-]{36}", docs_.first().document_id)
 
 
+def test_edited_rtf():
+    source = ("{~rtf1~ansi~ansicpg936{~fonttbl{~f0 Arial;}}{~b A}~u20013?b~par C~'d6~'d0 d~{e~}~u-10179?~u-8704?.}").replace("~", chr(92)).encode()
+    text = files.from_rtf(source)
+    assert text == "A中b\nC中 d{e}😀."
+    for a in range(len(text) + 1):
+        for b in range(a, len(text) + 1):
+            assert files.from_rtf(files.edited_rtf(source, [(a, b, "审{x")])) == text[:a] + "审{x" + text[b:]
+    both = files.edited_rtf(source, [(0, 1, "Z"), (9, 10, "!")])
+    assert files.from_rtf(both) == "Z中b\nC中 d{!}😀." and b"fonttbl" in both and b"{\\b " in both
+    assert files.from_rtf(files.edited_rtf(source, [(0, 1, "Z")], tracked=True)) == "AZ" + text[1:]
+    with pytest.raises(ValueError):
+        files.edited_rtf(source, [(0, 99, "")])
+
+
 def test_registry(spark):
     docs = spark.createDataFrame([(1, "帐号，，重复重复")], "doc_id bigint, text string")
     own = Registry()
