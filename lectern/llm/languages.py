@@ -334,10 +334,10 @@ def whole_sentence(unit: str) -> bool:
     unit = unit.strip()
     n = len(unit)
     if _WIDE.search(unit):
-        return n >= 8 and bool(_ENDS.search(unit))
+        return n >= 4 and bool(_ENDS.search(unit))
     if _THAI.search(unit):
-        return n >= 12
-    return n >= 18 and unit.count(" ") >= 3 and bool(_ENDS.search(unit))
+        return n >= 8
+    return unit.count(" ") >= 1 and bool(_ENDS.search(unit))
 
 
 def profile(texts: list[str], identifier: Identifier) -> list[tuple[list[tuple[int, int, str, float]], dict[str, float], str, float]]:
