@@ -26,8 +26,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 250, 1500
 SURE = 0.9
 #: Buckets for hashed character n-grams.
 BUCKETS = 1 << 16
-#: How much the share of Kana and the constant count beside an n-gram vector of length one.
-KANA_WEIGHT, BIAS = 100.0, 10.0
+#: How much the share of Kana, the constant and the share of known letter groups count beside an n-gram vector of length one.
+KANA_WEIGHT, BIAS, USUAL_WEIGHT = 100.0, 10.0, 10.0
 #: Other spellings of the labels.
 SPELLED = {"zho": "zh", "chi": "zh", "cmn": "zh", "eng": "en", "jpn": "ja", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "kor": "ko", "tha": "th", "chinese": "zh", "english": "en", "japanese": "ja", "german": "de", "french": "fr", "spanish": "es", "russian": "ru", "korean": "ko", "thai": "th", "jp": "ja", "kr": "ko", "cn": "zh"}
 
@@ -138,7 +138,7 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _machine(vectors: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, rounds: int = 8, cost: float = 10.0, seed: int = 11) -> np.ndarray:
+def _machine(vectors: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, rounds: int = 12, cost: float = 1.0, seed: int = 11) -> np.ndarray:
     """A linear support vector machine by dual coordinate descent (hinge loss)."""
     w, alpha = np.zeros(size), np.zeros(len(vectors))
     norms = [float(v @ v) or 1.0 for _, v in vectors]
@@ -245,17 +245,19 @@ class Identifier:
         latin = np.flatnonzero(in_family(LATIN))
         vectors = dict(zip(latin.tolist(), _features([units[k][0] for k in latin])))
         self.latin = np.zeros((BUCKETS, 3 + 2), np.float32)
-        self.latin_script = np.zeros((script.shape[1], 3))
-        dense = BUCKETS + every
+        self.latin_script = np.zeros((script.shape[1] + 1, 3))
+        dense = BUCKETS + np.arange(len(every) + 1)
         seen = np.zeros(1 << 16, np.int32)
         for i in latin:
             if own[i] != "und":
                 np.add.at(seen, vectors[i][0], 1)
         # how usual the letter groups of a text are in the Latin languages: groups of 2 and 3 letters that several units hold
         self.usual = (seen >= 3).astype(np.float32)
-        both = [(np.concatenate([vectors[i][0], dense]), np.concatenate([vectors[i][1], script[i]])) for i in latin]
+        # how many of a text's letter groups are known tells whether there is a language; which one it is does not depend on that
+        known = USUAL_WEIGHT * (0.75 - _usual(self.usual, [units[i][0] for i in latin]))
+        both = [[(np.concatenate([vectors[i][0], dense]), np.concatenate([vectors[i][1], script[i], [u * k]])) for i, k in zip(latin, known)] for u in (0.0, 1.0)]
         for k, f in enumerate(LATIN):
-            w = _machine(both, np.where(in_family((f,))[latin], 1.0, -1.0), BUCKETS + len(every))
+            w = _machine(both[f == "none"], np.where(in_family((f,))[latin], 1.0, -1.0), BUCKETS + len(dense))
             self.latin[:, k], self.latin_script[:, k] = w[:BUCKETS], w[BUCKETS:]
         for k, f in enumerate(LATIN[:2]):
             self.latin[:, 3 + k] = self._pair(own, FAMILIES[f], vectors)
@@ -295,13 +297,12 @@ class Identifier:
         if len(latin):
             own = [texts[k] for k in latin]
             sums = _sums(self.latin, own)
-            sums[:, :3] += shares[latin] @ self.latin_script
-            usual = _usual(self.usual, own)
+            sums[:, :3] += np.hstack([shares[latin], USUAL_WEIGHT * (0.75 - _usual(self.usual, own))[:, None]]) @ self.latin_script
             family = sums[:, :2].argmax(1)
             at = np.arange(len(own))
             best, other, pair = sums[at, family], sums[at, 1 - family], sums[at, 3 + family]
-            none = (usual < 0.5) | ((sums[:, 2] > best) & (usual < 0.85))
-            margin = np.where(none, np.maximum(2 * (0.85 - usual), sums[:, 2] - best), np.minimum(best - other, 2 * np.abs(pair)))
+            none = sums[:, 2] > best
+            margin = np.where(none, sums[:, 2] - best, np.minimum(best - other, 2 * np.abs(pair)))
             for k, f, first, n, m in zip(latin.tolist(), family.tolist(), (pair > 0).tolist(), none.tolist(), margin.tolist()):
                 out[k] = ("und" if n else FAMILIES[LATIN[f]][0 if first else 1], _confidence(m))
         return out
