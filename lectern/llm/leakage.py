@@ -129,7 +129,7 @@ class _Group:
     def found(self, norm: str) -> dict[int, list[list[int]]]:
         q, grams = self.q, self.grams
         out: dict[int, list[list[int]]] = {}
-        if not any(norm[k : k + q] in grams for k in range(0, len(norm) - q + 1, q)):
+        if grams.isdisjoint([norm[k : k + q] for k in range(0, len(norm) - q + 1, q)]):
             return out
         automaton = self.automaton
         for end, state, length in automaton.matches(norm):
