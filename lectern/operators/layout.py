@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def page_kinds(blocks: DataFrame) -> DataFrame:
-    """doc_id, page, page_kind: scanned where boxes hold no text, mixed where half the blocks or more have boxes, else text."""
-    own = blocks.where("page is not null").select("doc_id", "block_index", "kind", "page", F.length("text").alias("signs"), F.col("bbox").isNotNull().alias("boxed")).distinct()
-    pages = own.groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.when(F.col("kind") != "image", F.col("signs"))), F.lit(0)).alias("chars"), F.count_if("boxed").alias("boxes"), F.count(F.lit(1)).alias("blocks"))
-    kind = F.when((F.col("chars") == 0) & (F.col("boxes") > 0), "scanned").when((F.col("boxes") * 2 >= F.col("blocks")) & (F.col("chars") > 0), "mixed").otherwise("text")
-    return pages.select("doc_id", "page", kind.alias("page_kind"))
+#: Share of a page that pictures cover where it is a mixed one, and signs of text that make it readable.
+COVERED, READABLE = 0.5, 1
+
+
+def page_kinds(texts: DataFrame, images: DataFrame, page_area: float) -> DataFrame:
+    """doc_id, page, chars, cover, page_kind: scanned where pictures stand and no text, mixed where they cover half of the page and there is text, else text.
+
+    texts and images are blocks; pictures that overlap cover what they cover together. Pages of either are told.
+    """
+    signs = texts.where("page is not null").select("doc_id", "block_index", "page", F.length("text").alias("signs")).distinct().groupBy("doc_id", "page").agg(F.coalesce(F.sum("signs"), F.lit(0)).alias("chars"))
+    met = signs.join(union_area(images), ["doc_id", "page"], "full").select("doc_id", "page", F.coalesce("chars", F.lit(0)).alias("chars"), F.round(F.least(F.lit(1.0), F.coalesce("area", F.lit(0.0)) / page_area), 6).alias("cover"))
+    kind = F.when((F.col("chars") < READABLE) & (F.col("cover") > 0), "scanned").when((F.col("cover") >= COVERED) & (F.col("chars") >= READABLE), "mixed").otherwise("text")
+    return met.withColumn("page_kind", kind)
 
 
 def joined_offsets(blocks: DataFrame) -> DataFrame:

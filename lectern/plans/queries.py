@@ -231,12 +231,17 @@ def issue_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return issues.located(own, table(spark, sf, "document_blocks")).select("issue_row_id", "block_index")
 
 
-@query("""WITH b AS (SELECT DISTINCT doc_id, block_index, kind, page, length(text) AS n, bbox FROM document_blocks WHERE page IS NOT NULL),
-    p AS (SELECT doc_id, page, sum(n) FILTER (kind <> 'image') AS chars, count(*) FILTER (bbox IS NOT NULL) AS boxes, count(*) AS blocks FROM b GROUP BY ALL)
-    SELECT doc_id, page, CASE WHEN coalesce(chars, 0) = 0 AND boxes > 0 THEN 'scanned' WHEN boxes * 2 >= blocks AND chars > 0 THEN 'mixed' ELSE 'text' END AS page_kind FROM p""")
+_AREA = """e AS (SELECT DISTINCT doc_id, page, unnest([y0, y1]) AS y FROM b), s AS (SELECT *, lead(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS upto FROM e), i AS (SELECT s.doc_id, s.page, y, upto, x0, x1 FROM s JOIN b ON s.doc_id = b.doc_id AND s.page = b.page AND y0 <= y AND upto <= y1),
+    o AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), a AS (SELECT doc_id, page, round(sum(greatest(0, x1 - greatest(x0, coalesce(reach, x0))) * (upto - y)), 4) AS area FROM o GROUP BY ALL)"""
+_BOXED = "b AS (SELECT DISTINCT doc_id, page, block_index, bbox[1] AS x0, bbox[2] AS y0, bbox[3] AS x1, bbox[4] AS y1 FROM document_blocks WHERE bbox IS NOT NULL AND len(bbox) = 4 AND page IS NOT NULL AND bbox[3] > bbox[1] AND bbox[4] > bbox[2]{})"
+
+
+@query(f"""WITH {_BOXED.format(' AND block_index % 2 = 0')}, {_AREA}, t AS (SELECT DISTINCT doc_id, block_index, page, length(text) AS n FROM document_blocks WHERE page IS NOT NULL AND block_index % 2 = 1), c AS (SELECT doc_id, page, coalesce(sum(n), 0) AS chars FROM t GROUP BY ALL),
+    m AS (SELECT doc_id, page, coalesce(chars, 0) AS chars, least(1, coalesce(area, 0) / 20000) AS cover FROM c FULL JOIN a USING (doc_id, page)) SELECT doc_id, page, CASE WHEN chars < 1 AND cover > 0 THEN 'scanned' WHEN cover >= 0.5 AND chars >= 1 THEN 'mixed' ELSE 'text' END AS page_kind FROM m""")
 def page_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as text, scanned or mixed."""
-    return layout.page_kinds(table(spark, sf, "document_blocks"))
+    """Pages as text, scanned or mixed, where every second block is taken for a picture."""
+    blocks = table(spark, sf, "document_blocks")
+    return layout.page_kinds(blocks.where("block_index % 2 = 1"), blocks.where("block_index % 2 = 0"), 20_000.0).select("doc_id", "page", "page_kind")
 
 
 @query("""WITH b AS (SELECT DISTINCT doc_id, block_index, text FROM document_blocks),
@@ -247,7 +252,7 @@ def block_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return layout.joined_offsets(table(spark, sf, "document_blocks"))
 
 
-@query()
+@query(f"WITH {_BOXED.format('')}, {_AREA} SELECT doc_id, page, area FROM a")
 def box_area(spark: SparkSession, sf: str) -> DataFrame:
     """Area that the boxes of each page cover together."""
     return layout.union_area(table(spark, sf, "document_blocks"))

@@ -113,7 +113,11 @@ def test_layout(spark):
     blocks = spark.createDataFrame([(1, 0, "paragraph", "t", 1, [0.0, 0.0, 10.0, 10.0]), (1, 1, "paragraph", "t", 1, [1.0, 0.0, 10.0, 10.0]), (1, 2, "paragraph", "u", 1, [5.0, 5.0, 20.0, 10.0]), (1, 3, "paragraph", "v", 1, None)], "doc_id bigint, block_index int, kind string, text string, page int, bbox array<double>")
     assert [r.area for r in layout.union_area(blocks).collect()] == [150.0]
     assert [(r.block_index, r.repeats) for r in layout.overlapping_boxes(blocks).collect()] == [(1, 0)]
-    assert [r.page_kind for r in layout.page_kinds(blocks).collect()] == ["mixed"]
+    area = layout.union_area(blocks).first().area
+    kinds = lambda texts, images, size: [(r.page, r.page_kind) for r in layout.page_kinds(texts, images, size).collect()]
+    page = blocks.first().page
+    assert kinds(blocks, blocks, 2 * area) == [(page, "mixed")] and kinds(blocks, blocks, 2 * area + 1) == [(page, "text")]
+    assert kinds(blocks.where("false"), blocks, 2 * area) == [(page, "scanned")] and kinds(blocks, blocks.where("false"), 1.0) == [(page, "text")]
 
 
 def test_budget_of_documents(spark):
