@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import identity
+from ..operators.edits import apply_edits, spliced
 from ..session import map_arrow, ship
-from .files import ENCODINGS, MAX_ENTRY, parsed, rtf_escaped, safe_archive
+from .docx import edited_docx
+from .files import ENCODINGS, MAX_ENTRY, decoded, edited_rtf, parsed, rtf_escaped, safe_archive
 
 # What may be uploaded: extension, MIME type, bytes it begins with, whether the text is read here.
 FORMATS = (
@@ -134,6 +136,39 @@ def mapped_blocks(docs: DataFrame, page_map: DataFrame) -> DataFrame:
     return mapped.unionByName(whole)
 
 
+def edited_files(files: DataFrame, edits: DataFrame, tracked: bool = False) -> DataFrame:
+    """source_name, content, status: RTF and DOCX files, and files of text, with the edits of their texts put in where these stand.
+
+    files: source_name, content; edits: source_name, start, end, replacement, by places in the text that the file is read as. A file whose edits overlap, or
+    don't fit, comes back with a null content and says why; one without edits as it is; types without a writer are needs_adapter.
+    """
+    ship(files.sparkSession)
+    lists = edits.groupBy("source_name").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("replacement")))).alias("own"))
+
+    def one(name: str, data: bytes, own: list[tuple[int, int, str]]) -> tuple[bytes | None, str]:
+        kind = name.rsplit(".", 1)[-1].lower()
+        if any(b > c or (a, b) == (c, d) for (a, b, _), (c, d, _) in zip(own, own[1:])):
+            return None, "conflict"
+        try:
+            if kind == "rtf":
+                return edited_rtf(data, own, tracked), "ok"
+            if kind == "docx":
+                return edited_docx(data, own, tracked), "ok"
+            if kind in ("txt", "md", "csv"):
+                text = decoded(data)
+                done, n = spliced(text, [(a, b, text[a:b], new) for a, b, new in own], tracked)
+                return (done.encode("utf-8", "surrogatepass"), "ok") if n == len(own) else (None, "failed: an edit lies outside the text")
+        except (ValueError, KeyError) as error:
+            return None, f"failed: {error}"
+        return None, "needs_adapter"
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told = [(d, "ok") if not own or d is None else one(n or "", d, [tuple(e.values()) for e in own]) for n, d, own in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in told], pa.binary()), pa.array([s for _, s in told])], names=["source_name", "content", "status"])
+
+    return map_arrow(files.select("source_name", "content").join(lists, "source_name", "left").select("source_name", "content", "own"), lambda: work, "source_name string, content binary, status string")
+
+
 def load_dictionary(content: bytes, name: str) -> tuple[dict, str]:
     """(entries, version) of a dictionary in JSON: an object of non-empty words with a word or null each, or a list of words. The version is the hash of its bytes."""
     import hashlib
@@ -172,8 +207,6 @@ def exported(docs: DataFrame, edits: DataFrame, tracked: bool = False) -> DataFr
 
     RTF comes back as RTF: signs outside ASCII as unicode escapes, control signs escaped, lines as paragraphs.
     """
-    from ..operators.edits import apply_edits
-
     done = apply_edits(docs, edits, tracked).join(docs.select("doc_id", "source_name", F.lower("file_type").alias("file_type")), "doc_id")
     ship(docs.sparkSession)
 

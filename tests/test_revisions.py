@@ -1,14 +1,17 @@
 """Edits, revisions, reviews, leases, uploads and the registry."""
 
+import io
 import itertools
 import random
 import re
+import zipfile
 
 import pytest
 
 from lectern.operators import edits, issues, jobs, review
 from lectern.plans.registry import Registry
 from lectern.sources import documents, files
+from lectern.sources.docx import Package, edited_docx
 from lectern.streaming import jobs as streams
 
 
@@ -113,6 +116,42 @@ def test_edited_rtf():
         files.edited_rtf(source, [(0, 99, "")])
 
 
+def docx(body, header=""):
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="urn:x" mc:Ignorable="w14"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/header1.xml", f"<w:hdr {space}>{header}</w:hdr>")
+        z.writestr("word/media/x.bin", b"kept")
+    return out.getvalue()
+
+
+def test_edited_docx():
+    source = docx("<w:p><w:r><w:rPr><w:b/></w:rPr><w:t> 帐</w:t></w:r><w:r><w:t>号 and</w:t><w:tab/><w:t>more </w:t></w:r></w:p><w:p/><w:p><w:r><w:t>last</w:t></w:r></w:p>", "<w:p><w:r><w:t>head</w:t></w:r></w:p>")
+    text = files.from_docx(source)
+    assert text == "帐号 and\tmore\nlast\nhead" and Package(source).text == text
+    for a in range(len(text)):
+        for b in range(a, len(text) + 1):
+            if "\n" in text[a:b] or (a == b and text[a : a + 1] == "\n"):
+                continue
+            assert files.from_docx(edited_docx(source, [(a, b, "新x")])) == text[:a] + "新x" + text[b:], (a, b)
+    done = edited_docx(source, [(0, 2, "账号"), (13, 14, "")], tracked=True)
+    parts = zipfile.ZipFile(io.BytesIO(done))
+    xml = parts.read("word/document.xml").decode()
+    assert "<w:b" in xml and xml.count("<w:del ") == 3 and xml.count("<w:ins ") == 1 and "w14" in xml and parts.read("word/media/x.bin") == b"kept"
+    with pytest.raises(ValueError):
+        edited_docx(source, [(0, len(text), "")])
+
+
+def test_edited_files(spark):
+    source = docx("<w:p><w:r><w:t>帐号</w:t></w:r></w:p>")
+    own = spark.createDataFrame([("a.docx", bytearray(source)), ("b.rtf", bytearray(documents.as_rtf("帐号"))), ("c.txt", bytearray("帐号".encode())), ("d.pdf", bytearray(b"%PDF")), ("e.txt", bytearray(b"x")), ("f.txt", bytearray(b"abc")), (None, None)], "source_name string, content binary")
+    rows = [(n, 0, 2, "账号") for n in ("a.docx", "b.rtf", "c.txt", "d.pdf")] + [("f.txt", 0, 2, "x"), ("f.txt", 1, 3, "y")]
+    told = {r.source_name: (r.status, r.content and bytes(r.content)) for r in documents.edited_files(own, spark.createDataFrame(rows, "source_name string, start int, end int, replacement string")).collect()}
+    assert files.from_docx(told["a.docx"][1]) == files.from_rtf(told["b.rtf"][1]) == told["c.txt"][1].decode() == "账号"
+    assert told["d.pdf"] == ("needs_adapter", None) and told["e.txt"] == ("ok", b"x") and told["f.txt"] == ("conflict", None) and told[None] == ("ok", None)
+
+
 def test_registry(spark):
     docs = spark.createDataFrame([(1, "帐号，，重复重复")], "doc_id bigint, text string")
     own = Registry()
