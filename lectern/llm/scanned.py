@@ -76,6 +76,21 @@ def _grams(line: str) -> Counter:
     return Counter(t[k : k + 2] for k in range(len(t) - 1)) or Counter([t])
 
 
+#: Share of pairs of letters that two lines have in common to be held against each other.
+ALIKE = 0.6
+
+
+def _alike_matrix(grams: list[Counter]) -> np.ndarray:
+    """What _alike gives of each two of a few lines."""
+    names = {x: k for k, x in enumerate({x for g in grams for x in g})}
+    counts = np.zeros((len(grams), len(names)), np.int32)
+    for k, g in enumerate(grams):
+        counts[k, [names[x] for x in g]] = list(g.values())
+    shared = np.minimum(counts[:, None, :], counts[None, :, :]).sum(2)
+    sizes = counts.sum(1)
+    return 2 * shared / np.maximum(1, sizes[:, None] + sizes[None, :])
+
+
 def _alike(a: Counter, b: Counter) -> float:
     n = sum((a & b).values())
     return 2 * n / max(1, sum(a.values()) + sum(b.values()))
@@ -190,13 +205,11 @@ def head_classifier(seed: int = 3) -> np.ndarray:
                 lines.append(f"[{page + 3}]")
                 kind.append(3)
         pages = {k for k, x in enumerate(kind) if x == 3}
-        grams = [_grams(x) for x in lines]
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines)):
-                alike = _alike(grams[i], grams[j])
-                if alike >= 0.6 and not {i, j} & pages:
-                    rows.append(pair_features(lines, pages, 46, i, j, alike))
-                    truth.append(float(kind[i] == kind[j] == 1))
+        share = _alike_matrix([_grams(x) for x in lines])
+        for i, j in zip(*np.nonzero(np.triu(share >= ALIKE, 1))):
+            if not {int(i), int(j)} & pages:
+                rows.append(pair_features(lines, pages, 46, int(i), int(j), float(share[i, j])))
+                truth.append(float(kind[i] == kind[j] == 1))
     return _logistic(np.array(rows), np.array(truth))
 
 
@@ -208,10 +221,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.0
     return w
 
 
-#: Share of pairs of letters that two lines have in common to be held against each other.
-ALIKE = 0.6
-
-
 def _alike_lines(asked: list[int], grams: dict[int, Counter]) -> Iterator[tuple[int, int, float]]:
     """(asked line, other line, share in common) of all pairs of lines that are ALIKE, one for each different other line.
 
@@ -626,7 +635,7 @@ def _candidates(unknown: DataFrame, vocab: DataFrame, often: int) -> DataFrame:
     padded = lambda c: F.concat(F.lit("^"), F.col(c), F.lit("$"))
     groups = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda k: F.substring(padded(c), k, 2)))
     right = vocab.where((F.col("n") >= often) & (F.length("unit") >= 3)).select(F.col("unit").alias("candidate"), "n", F.length("unit").alias("length"), groups("unit").alias("c_groups"))
-    counts = cut(right.select(F.explode("c_groups").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("words")))  # pairs of letters
+    counts = right.select(F.explode("c_groups").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("words"))  # pairs of letters
     left = unknown.select("unit", F.length("unit").alias("size"), groups("unit").alias("u_groups")).withColumn("need", F.greatest(F.lit(2), F.col("size") - 4))
     ranked = left.select("*", F.explode("u_groups").alias("gram")).join(counts, "gram", "left").groupBy("unit", "size", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("words", F.lit(0)).alias("words"), "gram"))).alias("order"))
     asked = ranked.select("unit", "size", "need", F.explode(F.slice("order", 1, F.greatest(F.lit(1), F.size("order") - F.col("need") + 1))).alias("g")).select("unit", "size", "need", "g.gram", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("length"))
@@ -736,10 +745,10 @@ def noise(docs: DataFrame) -> DataFrame:
     own = found.where("role = 'word' and instr(unit, '-') > 0").groupBy("unit").agg(F.sum(F.size("places")).alias("n"))
     seen = cut(vocab.where(~F.col("unit").rlike(_HAN.pattern)).select("unit", "n").unionByName(own).groupBy("unit").agg(F.sum("n").alias("n")))
     spoken = found.where("role in ('word', 'broken')").select("unit").distinct()
-    unknown = cut(spoken.join(known, F.col("unit") == F.col("known_unit"), "left_anti").where(F.length("unit") >= 3))
+    unknown = spoken.where(F.length("unit") >= 3).join(known, F.col("unit") == F.col("known_unit"), "left_anti")
     places = lambda frame, *columns: frame.select(*columns, F.explode("places").alias("p")).select(*columns, "p.*")
     odd = cut(places(found.where("role = 'word'").select("unit", "places").join(unknown, "unit", "left_semi"), "unit"))
-    strange = cut(odd.groupBy("doc_id").agg(F.count(F.lit(1)).alias("odd")).join(found.where("role = 'words'").select("doc_id", "at"), "doc_id").where(F.col("odd") >= STRANGE * F.col("at")).select("doc_id").distinct())
+    strange = odd.groupBy("doc_id").agg(F.count(F.lit(1)).alias("odd")).join(found.where("role = 'words'").select("doc_id", "at"), "doc_id").where(F.col("odd") >= STRANGE * F.col("at")).select("doc_id").distinct()
     broken_units = found.where("role = 'broken'").select("doc_id", "unit").join(unknown, "unit", "left_semi")
     asked = odd.select("doc_id", "unit").unionByName(broken_units).join(strange, "doc_id", "left_anti").select("unit").distinct()
     fixes = cut(word_corrections(asked, vocab, words_often))
@@ -756,7 +765,7 @@ def noise(docs: DataFrame) -> DataFrame:
     parts = found.where("role in ('broken', 'tail')").drop("places").join(fixes, "unit").where(F.when(F.col("role") == "broken", F.col("place") < F.abs("at")).otherwise(F.col("place") >= F.abs("at")))
     misparts = parts.select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", *nowhere)
     han = found.where("role = 'han'").select("unit", "places")
-    han_fixes = cut(han_corrections(han.select("unit").distinct(), vocab, windows_often))
+    han_fixes = han_corrections(han.select("unit").distinct(), vocab, windows_often)
     signs = places(han.join(han_fixes, "unit"), "unit", "correction").select(*shape)
     told = misread.unionByName(misparts).unionByName(signs).join(strange, "doc_id", "left_anti")
     return furniture_rows.unionByName(told).unionByName(taken).unionByName(hyphens)
