@@ -207,7 +207,8 @@ def document_version(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", identity.source_version(F.col("text")).alias("version"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('document:' || file_type || ':' || coalesce(source_name, '') || ':sha256:' || sha256(text))) AS h FROM documents)
+    SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS identity FROM d""")
 def document_identity(spark: SparkSession, sf: str) -> DataFrame:
     """Identifiers of documents by type, name and version."""
     docs = table(spark, sf, "documents")
@@ -258,7 +259,8 @@ def box_area(spark: SparkSession, sf: str) -> DataFrame:
     return layout.union_area(table(spark, sf, "document_blocks"))
 
 
-@query()
+@query(f"""WITH {_BOXED.format('').replace('block_index,', 'block_index, text,', 1)}, m AS (SELECT p.doc_id, p.page, p.block_index AS first, q.block_index, greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) AS shared, (p.x1 - p.x0) * (p.y1 - p.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) AS both_
+    FROM b p JOIN b q ON p.doc_id = q.doc_id AND p.page = q.page AND p.text = q.text AND p.block_index < q.block_index) SELECT doc_id, page, block_index, min(first) AS repeats FROM m WHERE shared >= 0.5 * (both_ - shared) AND shared > 0 GROUP BY ALL""")
 def repeated_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of a page with the same text and nearly the same box."""
     return layout.overlapping_boxes(table(spark, sf, "document_blocks"))
@@ -302,7 +304,12 @@ def edit_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return edits.conflicts(own).select(F.col("edit_id").alias("issue_row_id"), "conflict")
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT doc_id, issue_row_id, start_pos, end_pos, original, suggestion FROM verification_issues WHERE suggestion IS NOT NULL),
+    f AS (SELECT e.*, d.text FROM e JOIN documents d USING (doc_id) WHERE start_pos >= 0 AND end_pos >= start_pos AND end_pos <= length(d.text) AND substr(d.text, start_pos + 1, end_pos - start_pos) = original),
+    o AS (SELECT *, max(end_pos) OVER w AS reach, count(*) OVER (PARTITION BY doc_id, start_pos, end_pos) AS same, lag(end_pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos, issue_row_id) AS prev FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY start_pos, end_pos, issue_row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT doc_id FROM o GROUP BY doc_id HAVING bool_or(coalesce(reach > start_pos, false) OR same > 1)),
+    s AS (SELECT doc_id, string_agg(substr(text, prev + 1, start_pos - prev) || suggestion, '' ORDER BY start_pos, end_pos) || substr(any_value(text), max(end_pos) + 1) AS t, count(*) AS n FROM o WHERE doc_id NOT IN (SELECT doc_id FROM g) GROUP BY doc_id)
+    SELECT d.doc_id, sha256(coalesce(s.t, d.text)) AS text_hash, CAST(coalesce(s.n, 0) AS INT) AS edits FROM documents d LEFT JOIN s USING (doc_id)""")
 def edited_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the recorded suggestions put in, where these fit their text and don't conflict."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -323,7 +330,11 @@ def review_sample(spark: SparkSession, sf: str) -> DataFrame:
     return review.sample(own, 5)
 
 
-@query()
+_SAFE = "replace(replace(replace(coalesce({}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT doc_id, issue_row_id, rule_id, severity, original, suggestion FROM verification_issues), r AS (SELECT doc_id, issue_row_id, '<tr><td>' || issue_row_id || '</td><td>' || {_SAFE.format('rule_id')} || '</td><td>' || {_SAFE.format('severity')} || '</td><td>' || {_SAFE.format('original')} || '</td><td>' || {_SAFE.format('suggestion')} || '</td></tr>' AS x FROM v)
+    SELECT doc_id, '<table>' || string_agg(x, '' ORDER BY issue_row_id, x) || '</table>' AS html FROM r GROUP BY doc_id""")
 def issue_report(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's recorded issues as a table of markup."""
     own = table(spark, sf, "verification_issues").select("doc_id", F.col("issue_row_id").alias("issue_index"), "rule_id", "severity", "original", "suggestion").distinct()
