@@ -745,7 +745,8 @@ def noise(docs: DataFrame) -> DataFrame:
     own = found.where("role = 'word' and instr(unit, '-') > 0").groupBy("unit").agg(F.sum(F.size("places")).alias("n"))
     seen = cut(vocab.where(~F.col("unit").rlike(_HAN.pattern)).select("unit", "n").unionByName(own).groupBy("unit").agg(F.sum("n").alias("n")))
     spoken = found.where("role in ('word', 'broken')").select("unit").distinct()
-    unknown = spoken.where(F.length("unit") >= 3).join(known, F.col("unit") == F.col("known_unit"), "left_anti")
+    # written, these tables have a known size: small ones are broadcast, and the places of all words stay where they are
+    unknown = cut(spoken.where(F.length("unit") >= 3).join(known, F.col("unit") == F.col("known_unit"), "left_anti"))
     places = lambda frame, *columns: frame.select(*columns, F.explode("places").alias("p")).select(*columns, "p.*")
     odd = cut(places(found.where("role = 'word'").select("unit", "places").join(unknown, "unit", "left_semi"), "unit"))
     strange = odd.groupBy("doc_id").agg(F.count(F.lit(1)).alias("odd")).join(found.where("role = 'words'").select("doc_id", "at"), "doc_id").where(F.col("odd") >= STRANGE * F.col("at")).select("doc_id").distinct()
@@ -765,7 +766,7 @@ def noise(docs: DataFrame) -> DataFrame:
     parts = found.where("role in ('broken', 'tail')").drop("places").join(fixes, "unit").where(F.when(F.col("role") == "broken", F.col("place") < F.abs("at")).otherwise(F.col("place") >= F.abs("at")))
     misparts = parts.select("doc_id", "line_no", F.lit("misread").alias("noise_kind"), "unit", "correction", *nowhere)
     han = found.where("role = 'han'").select("unit", "places")
-    han_fixes = han_corrections(han.select("unit").distinct(), vocab, windows_often)
+    han_fixes = cut(han_corrections(han.select("unit").distinct(), vocab, windows_often))
     signs = places(han.join(han_fixes, "unit"), "unit", "correction").select(*shape)
     told = misread.unionByName(misparts).unionByName(signs).join(strange, "doc_id", "left_anti")
     return furniture_rows.unionByName(told).unionByName(taken).unionByName(hyphens)
