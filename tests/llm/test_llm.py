@@ -407,6 +407,42 @@ def test_near_pairs_in_blocks(spark, monkeypatch):
     assert len(found) == 900 and {tuple(r) for r in found} == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
 
 
+def test_places_of_many_texts():
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("ab一二") for _ in range(rng.randint(0, 90))) for _ in range(300)] + ["", "a" * 400, "ab" * 16]
+    of, rows = overlap.places_of_all(texts)
+    for k, t in enumerate(texts):
+        assert np.array_equal(rows[of == k], overlap.places_of(t))
+
+
+def test_bounds_lose_nothing():
+    """Bounds reach every common subsequence; texts side by side in one number give what each gives alone."""
+    rng = random.Random(22)
+    for letters in ("ab", "abcdefghij", "".join(map(chr, range(0x4E00, 0x4F00)))):
+        a, b = ([("".join(rng.choice(letters) for _ in range(rng.randint(1, 260)))) for _ in range(20)] for _ in range(2))
+        b += [a[0], a[1][:40] + a[1][47:]]
+        truth = np.array([[overlap.in_order(x, y) for y in b] for x in a])
+        assert np.array_equal(np.stack([overlap.in_order_of(b, x) for x in a]), truth)
+        i, j = map(np.ravel, np.indices(truth.shape))
+        assert overlap.Bounds(a, b).reach(i, j, truth.ravel()).all()
+
+
+def test_crowd_of_other_texts_is_told_by_bounds(monkeypatch):
+    """Texts that agree in a mark, but share no more than any others, are not compared letter by letter."""
+    rng = random.Random(23)
+    words = ["".join(rng.choice("etaoinshrdlucmfwygpbvk") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    texts = ["".join(rng.choice(words) for _ in range(50)) for _ in range(200)]
+    a, b = texts[:100], [*texts[100:], texts[0][:90] + texts[0][97:]]
+    asked = []
+    for cls, name in ((overlap, "in_order"), (overlap._Block, "in_order")):
+        monkeypatch.setattr(cls, name, lambda *x, run=getattr(cls, name): asked.append(1) or run(*x))
+    monkeypatch.setattr(overlap, "LED", 1 << 60)
+    marks = [np.stack([overlap.marks_of(t) for t in x]) for x in (a, b)]
+    zeros = [np.zeros(len(x), np.int64) for x in (a, b)]
+    found = {(int(x), int(y)) for i, j in overlap.near_pairs(a, b, *marks, zeros[0], tuple(zeros)) for x, y in zip(i, j)}
+    assert found == {(0, 100)} and len(asked) < 100  # of 10,100 pairs
+
+
 # ----------------------------------------------------------------------------------------------------------------------- 6
 @pytest.mark.parametrize(
     ("text", "units"),
