@@ -407,6 +407,39 @@ def test_near_pairs_in_blocks(spark, monkeypatch):
     assert len(found) == 900 and {tuple(r) for r in found} == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
 
 
+def test_terms_without_a_list_count_as_possible(spark):
+    """Two texts share one listed group and crowded ones: the crowded part keeps the pair open, though it has no list."""
+    rng = random.Random(25)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    form = word(400)
+    texts = [form + word(30) for _ in range(60)]
+    texts += [form + (tail := word(30)) + "x", form + tail[:-1] + "yy"]
+    cases = spark.createDataFrame([(k, t, ("train", "holdout")[k % 2], "s") for k, t in enumerate(texts)], "case_id bigint, text string, split string, source string")
+    _, classes = overlap.distinct_texts(cases)
+    vec, total = overlap.vectors(classes, overlap.places(classes))
+    own = {r.norm_text: (r.class_id, {t: np.log1p(total / n) for t, n in zip(r.terms, r.counts)}) for r in vec.withColumnRenamed("norm", "norm_text").collect()}
+    (a, va), (b, vb) = own[texts[60]], own[texts[61]]
+    dot = sum(w * vb.get(t, 0) for t, w in va.items()) / np.sqrt(sum(w * w for w in va.values()) * sum(w * w for w in vb.values()))
+    listed = sum(w * vb.get(t, 0) for t, w in va.items() if w > np.log1p(total / overlap.CROWD) - 1e-9) / np.sqrt(sum(w * w for w in va.values()) * sum(w * w for w in vb.values()))
+    cosine = (dot + listed) / 2
+    assert 0 < listed < cosine < dot
+    assert (a, b) in {(r.train_class, r.other_class) for r in overlap.linked_classes(classes, cosine=float(cosine))[0].collect()}
+
+
+def test_exact_way_finds_pairs_without_a_common_group(spark, monkeypatch):
+    """Each sixth letter is another one: no group of eight letters recurs, so lists and marks have nothing to meet in."""
+    monkeypatch.setattr(overlap, "BLOCK", 20)
+    rng = random.Random(24)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(60, 300))) for _ in range(60)]
+    texts += ["".join("xyz"[k % 3] if k % 6 == 5 else c for k, c in enumerate(t)) for t in texts[:30]] + [t + "q" * (len(t) // 4) for t in texts[:20]] + [texts[3], "", None]
+    rows = [(k, t, ("train", "holdout", None)[(k + k // 60) % 3], "s") for k, t in enumerate(texts)]
+    cases = spark.createDataFrame([*rows, rows[1]], "case_id bigint, text string, split string, source string")
+    truth = {(a, b) for a, t, s, _ in rows for b, u, z, _ in rows if a < b and (s == "train") != (z == "train") and t and u and overlap.in_order(t, u) >= 0.8 * max(len(t), len(u))}
+    found = [tuple(r) for r in overlap.overlaps(cases, exact=True).collect()]
+    assert len(truth) > 20 and set(found) == truth and len(found) == len(truth)
+    assert {tuple(r) for r in overlap.overlaps(cases).collect()} < truth
+
+
 def test_places_of_many_texts():
     rng = random.Random(21)
     texts = ["".join(rng.choice("ab一二") for _ in range(rng.randint(0, 90))) for _ in range(300)] + ["", "a" * 400, "ab" * 16]
@@ -420,7 +453,8 @@ def test_bounds_lose_nothing():
     rng = random.Random(22)
     for letters in ("ab", "abcdefghij", "".join(map(chr, range(0x4E00, 0x4F00)))):
         a, b = ([("".join(rng.choice(letters) for _ in range(rng.randint(1, 260)))) for _ in range(20)] for _ in range(2))
-        b += [a[0], a[1][:40] + a[1][47:]]
+        b += [a[0], a[1][:40] + a[1][47:], "".join(rng.choice(letters) for _ in range(5000))]
+        a.append(b[-1][:2500] + b[-1][2600:])
         truth = np.array([[overlap.in_order(x, y) for y in b] for x in a])
         assert np.array_equal(np.stack([overlap.in_order_of(b, x) for x in a]), truth)
         i, j = map(np.ravel, np.indices(truth.shape))
