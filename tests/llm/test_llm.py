@@ -411,7 +411,7 @@ def test_terms_without_a_list_count_as_possible(spark):
     """Two texts share one listed group and crowded ones: the crowded part keeps the pair open, though it has no list."""
     rng = random.Random(25)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
-    form = word(400)
+    form = word(2500)
     texts = [form + word(30) for _ in range(60)]
     texts += [form + (tail := word(30)) + "x", form + tail[:-1] + "yy"]
     cases = spark.createDataFrame([(k, t, ("train", "holdout")[k % 2], "s") for k, t in enumerate(texts)], "case_id bigint, text string, split string, source string")
@@ -421,7 +421,7 @@ def test_terms_without_a_list_count_as_possible(spark):
     (a, va), (b, vb) = own[texts[60]], own[texts[61]]
     dot = sum(w * vb.get(t, 0) for t, w in va.items()) / np.sqrt(sum(w * w for w in va.values()) * sum(w * w for w in vb.values()))
     listed = sum(w * vb.get(t, 0) for t, w in va.items() if w > np.log1p(total / overlap.CROWD) - 1e-9) / np.sqrt(sum(w * w for w in va.values()) * sum(w * w for w in vb.values()))
-    cosine = (dot + listed) / 2
+    cosine = dot - 1e-3
     assert 0 < listed < cosine < dot
     assert (a, b) in {(r.train_class, r.other_class) for r in overlap.linked_classes(classes, cosine=float(cosine))[0].collect()}
 
